@@ -2,7 +2,7 @@
 with a DuckDB oracle where SQL can express it."""
 
 from corpusworks.plans.registry import ORACLE, QUERIES
-from corpusworks.plans import docs_queries, session_queries, text_queries  # noqa: F401  (register)
+from corpusworks.plans import corpus_queries, docs_queries, session_queries, text_queries  # noqa: F401
 
 
 def all_queries():

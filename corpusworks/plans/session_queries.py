@@ -12,21 +12,15 @@ from corpusworks.functions import text as tf
 from corpusworks.operators import messages as msg
 from corpusworks.operators import sessions as ss
 from corpusworks.plans.registry import query
+from corpusworks.plans.sqlfrag import sql_strip
 from corpusworks.session import load_table
 
 SQL_TIME = ("strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn), "
             "'%Y-%m-%d %H:%M:%S')")
 SQL_TURNS = f"SELECT conv_id, turn, role, text AS content, {SQL_TIME} AS time FROM conversations"
 SQL_FENCED = "SELECT conv_id, turn, replace(text, '. ', '```') AS text FROM conversations"
-SQL_STRIP_CHARS = ("chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)"
-                   "||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)"
-                   "||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)"
-                   "||chr(8287)||chr(12288)")
 
 
-def sql_strip(x: str) -> str:
-    return f"trim({x}, {SQL_STRIP_CHARS})"
-
 
 def turns(spark, sf_dir):
     c = load_table(spark, sf_dir, "conversations")
