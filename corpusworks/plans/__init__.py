@@ -2,7 +2,8 @@
 with a DuckDB oracle where SQL can express it."""
 
 from corpusworks.plans.registry import ORACLE, QUERIES
-from corpusworks.plans import corpus_queries, docs_queries, session_queries, text_queries  # noqa: F401
+from corpusworks.plans import (  # noqa: F401  (register the catalogue)
+    corpus_queries, docs_queries, misc_queries, retrieval_queries, session_queries, text_queries)
 
 
 def all_queries():
