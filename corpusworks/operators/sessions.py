@@ -68,19 +68,22 @@ def with_session_fields(turns: DataFrame, key: str = "session", order: str = "tu
 
 
 def session_records(turns: DataFrame, key: str = "session", order: str = "turn",
-                    model_name: str | None = None, updated_at=None) -> DataFrame:
+                    model_name: str | None = None, updated_at: str = "now") -> DataFrame:
     """K5 nested record per session (the sessions store's JSON layout):
     model_name, session_id, created_at, updated_at, message_count, messages.
 
     This is an export format: one session becomes one record, so it is meant
     for sessions of bounded length; the long form is the scalable store.
+    ``updated_at``: "now" (write time, as a live session does) or "last"
+    (time of the last message, deterministic).
     """
     msgs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("role"),
                                                 F.col("content"), F.col("time"))))
     g = turns.groupBy(key).agg(msgs.alias("_m"))
     m = F.transform("_m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"),
                                              x["time"].alias("time")))
-    upd = updated_at if updated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    upd = (F.element_at(F.col("_m"), -1)["time"] if updated_at == "last"
+           else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
     return g.select(
         (F.lit(model_name) if model_name is not None else F.col(key).cast("string")).alias("model_name"),
         F.col(key).cast("string").alias("session_id"),
