@@ -75,51 +75,62 @@ def chunk_id(*cols) -> Column:
 
 # --------------------------------------------------------------------- C1
 
-def _merge_pieces(pieces: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    """Greedy packing of pieces joined by ``sep`` into chunks of <= size;
-    a new chunk starts with the longest tail of whole pieces <= overlap that
-    still leaves room for the next piece."""
-    out: list[str] = []
-    cur: list[str] = []
+def _merge_pieces(pieces: list[tuple[int, str]], sep: str, size: int, overlap: int) -> list[tuple[int, str]]:
+    """Greedy packing of (offset, piece) joined by ``sep`` into chunks of
+    <= size; a new chunk starts with the longest tail of whole pieces <=
+    overlap that still leaves room for the next piece. Chunks are stripped;
+    offsets follow the text."""
+    out: list[tuple[int, str]] = []
+    cur: list[tuple[int, str]] = []
     total = 0
     sl = len(sep)
-    for p in pieces:
+
+    def emit():
+        raw = sep.join(p for _, p in cur)
+        text = raw.strip()
+        if text:
+            out.append((cur[0][0] + (len(raw) - len(raw.lstrip())), text))
+
+    for off, p in pieces:
         plen = len(p)
         if cur and total + sl + plen > size:
-            text = sep.join(cur).strip()
-            if text:
-                out.append(text)
+            emit()
             while cur and (total > overlap or total + sl + plen > size):
-                total -= len(cur[0]) + (sl if len(cur) > 1 else 0)
+                total -= len(cur[0][1]) + (sl if len(cur) > 1 else 0)
                 cur.pop(0)
         total += plen + (sl if cur else 0)
-        cur.append(p)
-    text = sep.join(cur).strip()
-    if text:
-        out.append(text)
+        cur.append((off, p))
+    if cur:
+        emit()
     return out
 
 
-def _split_recursive(text: str, size: int, overlap: int, seps: list[str]) -> list[str]:
+def _split_recursive(text: str, base: int, size: int, overlap: int, seps: list[str]) -> list[tuple[int, str]]:
     sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "" or s in text:
-            sep, rest = s, seps[i + 1:]
+    for i, s_ in enumerate(seps):
+        if s_ == "" or s_ in text:
+            sep, rest = s_, seps[i + 1:]
             break
-    pieces = text.split(sep) if sep else list(text)
-    out: list[str] = []
-    small: list[str] = []
-    for p in pieces:
+    if sep:
+        pieces, pos = [], 0
+        for p in text.split(sep):
+            pieces.append((base + pos, p))
+            pos += len(p) + len(sep)
+    else:
+        pieces = [(base + i, c) for i, c in enumerate(text)]
+    out: list[tuple[int, str]] = []
+    small: list[tuple[int, str]] = []
+    for off, p in pieces:
         if len(p) <= size:
-            small.append(p)
+            small.append((off, p))
             continue
         if small:
             out.extend(_merge_pieces(small, sep, size, overlap))
             small = []
         if rest:
-            out.extend(_split_recursive(p, size, overlap, rest))
+            out.extend(_split_recursive(p, off, size, overlap, rest))
         else:
-            out.append(p)
+            out.append((off, p))
     if small:
         out.extend(_merge_pieces(small, sep, size, overlap))
     return out
@@ -132,16 +143,8 @@ def recursive_split(text: str | None, size: int = K.CHUNK_SIZE, overlap: int = K
     check_chunk_args(size, overlap)
     if not text:
         return []
-    chunks = _split_recursive(text, size, overlap, list(seps or RECURSIVE_SEPARATORS))
-    res, pos = [], 0
-    for i, c in enumerate(chunks):
-        at = text.find(c, pos)
-        if at < 0:
-            at = text.find(c)
-        res.append((i, at, c))
-        if at >= 0:
-            pos = at + 1
-    return res
+    chunks = _split_recursive(text, 0, size, overlap, list(seps or RECURSIVE_SEPARATORS))
+    return [(i, at, c) for i, (at, c) in enumerate(chunks)]
 
 
 def recursive_chunk_udf(size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP):
@@ -184,25 +187,18 @@ def register_chunk_table_function(spark, name: str = "chunk_text"):
     return ChunkText
 
 
-def chunk_invariants_hold(text: str, chunks: list[str], size: int, overlap: int) -> bool:
-    """Test helper for C1's contract: every chunk <= size, chunks in order
-    cover all non-whitespace characters of the text."""
-    if any(len(c) > size for c in chunks):
-        return False
-    pos = 0
-    need = "".join(text.split())
-    got = []
-    for c in chunks:
-        at = text.find(c, pos)
-        if at < 0:
-            return False
-        # only the new part beyond what the previous chunk covered counts
-        got.append((at, at + len(c)))
-        pos = at + 1
+def chunk_invariants_hold(text: str, chunks: list[tuple[int, int, str]], size: int, overlap: int) -> bool:
+    """Test helper for C1's contract: every chunk <= size and equal to the
+    text at its offset, offsets non-decreasing, and the chunks together cover
+    every non-whitespace character of the text."""
     covered = set()
-    for a, b in got:
-        covered.update(range(a, b))
-    return all(i in covered for i, ch in enumerate(text) if not ch.isspace()) and bool(need) == bool(chunks)
+    last = -1
+    for _, at, c in chunks:
+        if len(c) > size or text[at:at + len(c)] != c or at < last:
+            return False
+        last = at
+        covered.update(range(at, at + len(c)))
+    return all(i in covered for i, ch_ in enumerate(text) if not ch_.isspace())
 
 
 __all__ = ["fixed_stride_chunks", "stride_starts", "stride_chunk_count", "chunk_id",

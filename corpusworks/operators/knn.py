@@ -56,7 +56,6 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, metric: str, exc
     def run(it):
         cand_d = np.full((nq, 0), np.inf)
         cand_id = np.zeros((nq, 0), dtype=np.int64)
-        cand_vec: list[np.ndarray] = []   # per query: stacked candidate vectors
         store_ids = np.zeros((0,), dtype=np.int64)
         store_vecs = np.zeros((0, qmat.shape[1]))
         for pdf in it:
@@ -84,7 +83,10 @@ def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, metric: str, exc
                 allc_i = np.concatenate([cand_id, np.broadcast_to(np.arange(base, base + len(bid)), d.shape)],
                                         axis=1)
                 keep = min(m, allc_d.shape[1])
-                sel = np.argpartition(allc_d, keep - 1, axis=1)[:, :keep]
+                # order by (distance, corpus id) so ties keep the smallest ids
+                allc_vid = np.concatenate([store_ids[cand_id] if cand_id.size else cand_id,
+                                           np.broadcast_to(bid, d.shape)], axis=1)
+                sel = np.lexsort((allc_vid, allc_d), axis=1)[:, :keep]
                 cand_d = np.take_along_axis(allc_d, sel, axis=1)
                 cand_id = np.take_along_axis(allc_i, sel, axis=1)
                 # compact the store to the rows still referenced
