@@ -82,6 +82,31 @@ class KnowledgeBaseStore:
         chunks = chunks.withColumn("chunk_id", ch.chunk_id("kb", "source", "ingest_seq", "doc_id", "chunk_no", "text"))
         return em.embed_hashed(chunks, "text", self.embed_dim)
 
+    def create_many(self, docs: DataFrame, kb_col: str, size: int = K.CHUNK_SIZE,
+                    overlap: int = K.CHUNK_OVERLAP, recursive: bool = True, source_col: str = "source",
+                    text_col: str = "text", id_col: str | None = None) -> list[str]:
+        """K1 for one base per value of ``kb_col``, written in a single job
+        (partitioned by kb). Fails if any of them exists."""
+        ch.check_chunk_args(size, overlap)
+        names = [r[0] for r in docs.select(kb_col).distinct().collect()]  # base names only
+        clash = [n for n in names if self.exists(n)]
+        if clash:
+            raise ValueError(f"knowledge bases already exist: {clash}")
+        seq = self._next_seq()
+        d = docs.select(F.col(kb_col).alias("_kb"), F.col(source_col).alias("source"),
+                        (F.col(id_col) if id_col else F.lit(None)).cast("long").alias("doc_id"),
+                        F.col(text_col).alias("text"))
+        chunks = (ch.recursive_chunks(d, "text", size, overlap) if recursive
+                  else ch.fixed_stride_chunks(d, "text", size, overlap))
+        chunks = chunks.select(F.col("_kb").alias("kb"), F.lit(seq).cast("long").alias("ingest_seq"), "source",
+                               basename("source", None).alias("basename"), "doc_id", "chunk_no", "text")
+        chunks = chunks.withColumn("chunk_id", ch.chunk_id("kb", "source", "ingest_seq", "doc_id", "chunk_no", "text"))
+        self._write(em.embed_hashed(chunks, "text", self.embed_dim))
+        ts = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+        self.spark.createDataFrame([(n, "create", None, seq, ts) for n in names], LOG_SCHEMA) \
+            .coalesce(1).write.mode("append").parquet(self.log_path)
+        return names
+
     def _write(self, chunks: DataFrame) -> None:
         chunks.write.mode("append").partitionBy("kb", "ingest_seq").parquet(self.chunk_path)
 

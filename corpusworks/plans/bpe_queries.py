@@ -46,14 +46,16 @@ def c10_vocabulary(spark, sf_dir):
 
 @query("c9_encode")
 def c9_encode(spark, sf_dir):
-    """Every document as BPE ids: doc_id, n_tokens, md5 of the id list."""
+    """Every document as BPE ids: doc_id, n_tokens, fingerprint of (pos, id) pairs."""
     vocab, _, final = trained(spark, sf_dir)
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode_texts(docs, "doc_id", "text", bpe.encode_words(final, vocab))
+    # order-sensitive fingerprint as a sum of per-token hashes: distributive,
+    # so a huge document is aggregated partially like any other group
     per_doc = ids.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token_id"))),
-                                       lambda x: x["token_id"].cast("string")), ",")).alias("ids_md5"))
+        F.sum(F.pmod(F.xxhash64("pos", "token_id"), F.lit(2147483647))).alias("ids_fingerprint"),
+        F.max("token_id").alias("max_id"))
     return per_doc
 
 

@@ -147,10 +147,7 @@ def k4_drop_base(spark, sf_dir):
     """K1 per source, K4 drop of one, A8 list of what remains."""
     d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     store = KnowledgeBaseStore(spark, scratch_dir(spark, "k4-store"))
-    for (s,) in d.select("source").distinct().orderBy("source").collect():
-        store._write(store._prepare(d.filter(F.col("source") == s), s, store._next_seq(), K.CHUNK_SIZE,
-                                    K.CHUNK_OVERLAP, False, "source", "text", "doc_id"))
-        store._append_log(s, "create", None, store._next_seq())
+    store.create_many(d, "source", recursive=False, id_col="doc_id")
     store.drop("src0")
     return store.list_bases()
 
