@@ -173,18 +173,22 @@ def _merge_word(syms: tuple, left: str, right: str) -> tuple:
 
 def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequency: int):
     """Exact BPE over a bounded word table held by one task: pair counts are
-    kept incrementally (only words containing the merged pair are touched),
-    the best pair comes from a heap with lazy deletion. Same order and ties
-    as the distributed rounds: count desc, then left, then right."""
+    kept incrementally (only words containing the merged pair are touched,
+    and only the pairs that change are updated), the best pair comes from a
+    heap with lazy deletion. Same order and ties as the distributed rounds:
+    count desc, then left, then right."""
     import heapq
     syms = [w[2] for w in words]
     cnt = [w[1] for w in words]
     pairs: dict[tuple, int] = {}
-    where: dict[tuple, set] = {}
+    where: dict[tuple, list] = {}      # word indices; may hold stale entries
     for i, sy in enumerate(syms):
-        for a, b in zip(sy, sy[1:]):
-            pairs[(a, b)] = pairs.get((a, b), 0) + cnt[i]
-            where.setdefault((a, b), set()).add(i)
+        seen = set()
+        for p in zip(sy, sy[1:]):
+            pairs[p] = pairs.get(p, 0) + cnt[i]
+            if p not in seen:
+                seen.add(p)
+                where.setdefault(p, []).append(i)
     heap = [(-c, a, b) for (a, b), c in pairs.items()]
     heapq.heapify(heap)
     merges = []
@@ -196,27 +200,27 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
         if c < min_frequency:
             break
         merges.append((len(merges), a, b, c))
-        changed = set()
-        for i in list(where.get((a, b), ())):
+        ab = a + b
+        delta: dict[tuple, int] = {}
+        for i in set(where.pop((a, b), ())):
             old = syms[i]
             new = _merge_word(old, a, b)
-            if new == old:
+            if len(new) == len(old):
                 continue
+            n = cnt[i]
             for p in zip(old, old[1:]):
-                pairs[p] -= cnt[i]
-                changed.add(p)
-            for p in zip(old, old[1:]):
-                s_ = where.get(p)
-                if s_ is not None:
-                    s_.discard(i)
+                delta[p] = delta.get(p, 0) - n
             for p in zip(new, new[1:]):
-                pairs[p] = pairs.get(p, 0) + cnt[i]
-                where.setdefault(p, set()).add(i)
-                changed.add(p)
+                delta[p] = delta.get(p, 0) + n
+                if p[0] == ab or p[1] == ab:
+                    where.setdefault(p, []).append(i)
             syms[i] = new
-        for p in changed:
-            v = pairs.get(p, 0)
+        for p, d in delta.items():
+            if d == 0:
+                continue
+            v = pairs.get(p, 0) + d
             if v > 0:
+                pairs[p] = v
                 heapq.heappush(heap, (-v, p[0], p[1]))
             else:
                 pairs.pop(p, None)
