@@ -24,10 +24,19 @@ PRETOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 
 def regex_tokens(df: DataFrame, id_col: str, text_col: str = "text",
+                 pattern: str = SIMPLE_TOKEN_PATTERN, with_length: bool = False) -> DataFrame:
+    """Long form: id, pos (0-based within the text), token [, n_tokens of the
+    text, carried on every row so no count/join pass is needed]."""
+    arr = df.select(id_col, F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0).alias("_a"))
+    extra = [F.size("_a").cast("long").alias("n_tokens")] if with_length else []
+    return arr.select(id_col, *extra, F.posexplode("_a").alias("pos", "token"))
+
+
+def token_counts(df: DataFrame, id_col: str, text_col: str = "text",
                  pattern: str = SIMPLE_TOKEN_PATTERN) -> DataFrame:
-    """Long form: id, pos (0-based within the text), token."""
-    return df.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0))
-                     .alias("pos", "token"))
+    """id, n (number of tokens of the text), without exploding."""
+    return df.select(id_col, F.size(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0)).cast("long")
+                     .alias("n"))
 
 
 def token_vocabulary(tokens: DataFrame, token_col: str = "token") -> DataFrame:
@@ -52,13 +61,29 @@ def _block_members(pos_col: str, stride: int, size: int):
 def blocks_from_positions(tok: DataFrame, key_cols: list[str], pos_col: str, value_col: str,
                           length_col: str, size: int = K.BLOCK_SIZE, stride: int = K.BLOCK_STRIDE) -> DataFrame:
     """Blocks over positioned tokens. ``tok`` has key_cols, pos, value and the
-    sequence length L of its key. Returns key_cols, block_no, ids (ARRAY)."""
-    t = tok.select(*key_cols, pos_col, value_col, length_col,
-                   F.explode(_block_members(pos_col, stride, size)).alias("block_no"))
-    t = t.filter(F.col("block_no") * stride < F.col(length_col) - size)
-    g = t.groupBy(*key_cols, "block_no").agg(
+    sequence length L of its key. Returns key_cols, block_no, ids (ARRAY).
+
+    With size = 2 * stride every token is shuffled once, into its half-block
+    (pos div stride, at most ``stride`` rows per group); block b is then half
+    b followed by half b + 1, paired by an equi join on the half index."""
+    if size != 2 * stride:
+        t = tok.select(*key_cols, pos_col, value_col, length_col,
+                       F.explode(_block_members(pos_col, stride, size)).alias("block_no"))
+        t = t.filter(F.col("block_no") * stride < F.col(length_col) - size)
+        g = t.groupBy(*key_cols, "block_no").agg(
+            F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(value_col).alias("v"))))
+            .alias("_m"))
+        return g.select(*key_cols, "block_no", F.transform("_m", lambda x: x["v"]).alias("ids"))
+    half = F.floor(F.col(pos_col) / stride).cast("long")
+    t = tok.filter(F.col(length_col) > size).select(*key_cols, half.alias("_h"), pos_col, value_col, length_col)
+    h = t.groupBy(*key_cols, "_h").agg(
+        F.max(length_col).alias("_L"),
         F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(value_col).alias("v")))).alias("_m"))
-    return g.select(*key_cols, "block_no", F.transform("_m", lambda x: x["v"]).alias("ids"))
+    h = h.select(*key_cols, "_h", "_L", F.transform("_m", lambda x: x["v"]).alias("_ids"))
+    first = h.filter(F.col("_h") * stride < F.col("_L") - size)
+    second = h.select(*key_cols, (F.col("_h") - 1).alias("_h"), F.col("_ids").alias("_ids2"))
+    j = first.join(second, list(key_cols) + ["_h"])
+    return j.select(*key_cols, F.col("_h").alias("block_no"), F.concat("_ids", "_ids2").alias("ids"))
 
 
 def ids_digest(ids_col: str = "ids"):
@@ -66,20 +91,24 @@ def ids_digest(ids_col: str = "ids"):
 
 
 def doc_blocks(tokens_with_ids: DataFrame, id_col: str, size: int = K.BLOCK_SIZE,
-               stride: int = K.BLOCK_STRIDE) -> DataFrame:
-    """C5 per document: blocks never cross documents."""
-    lens = tokens_with_ids.groupBy(id_col).agg(F.count(F.lit(1)).alias("_L"))
-    t = tokens_with_ids.join(lens.filter(F.col("_L") > size), id_col)
-    return blocks_from_positions(t, [id_col], "pos", "token_id", "_L", size, stride)
+               stride: int = K.BLOCK_STRIDE, length_col: str | None = None) -> DataFrame:
+    """C5 per document: blocks never cross documents. ``length_col`` (the
+    document's token count on every row) avoids a count-and-join pass."""
+    t = tokens_with_ids
+    if length_col is None:
+        lens = t.groupBy(id_col).agg(F.count(F.lit(1)).alias("_L"))
+        t, length_col = t.join(lens, id_col), "_L"
+    return blocks_from_positions(t, [id_col], "pos", "token_id", length_col, size, stride)
 
 
 def corpus_blocks(tokens_with_ids: DataFrame, id_col: str, size: int = K.BLOCK_SIZE,
-                  stride: int = K.BLOCK_STRIDE) -> DataFrame:
+                  stride: int = K.BLOCK_STRIDE, counts: DataFrame | None = None) -> DataFrame:
     """C5 over the whole corpus: documents in ``id_col`` order form one token
     sequence; global positions come from a distributed prefix sum of the
-    per-document token counts."""
-    counts = tokens_with_ids.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    off = running_offsets(counts, [], [id_col], "_n")
+    per-document token counts (``counts``: id, n - e.g. ``token_counts``)."""
+    if counts is None:
+        counts = tokens_with_ids.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    off = running_offsets(counts.select(id_col, F.col("n").alias("_n")), [], [id_col], "_n")
     t = tokens_with_ids.join(off.select(id_col, F.col("start").alias("_off"), F.col("group_total").alias("_L")),
                              id_col)
     t = t.withColumn("_gpos", F.col("_off") + F.col("pos"))

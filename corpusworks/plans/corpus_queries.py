@@ -137,8 +137,8 @@ _SQL_TOKENS = f"""
   g AS (SELECT t.doc_id, t.pos, v.token_id FROM t JOIN v USING (token))"""
 
 
-def token_ids(spark, sf_dir):
-    toks = tk.regex_tokens(docs(spark, sf_dir), "doc_id", "text")
+def token_ids(spark, sf_dir, with_length=False):
+    toks = tk.regex_tokens(docs(spark, sf_dir), "doc_id", "text", with_length=with_length)
     return tk.with_token_ids(toks, tk.token_vocabulary(toks))
 
 
@@ -151,7 +151,8 @@ WITH {_SQL_TOKENS},
 SELECT block_no, md5(string_agg(token_id::VARCHAR, ',' ORDER BY gpos)) AS ids_md5
 FROM b, n WHERE block_no * 64 < n.n - 128 GROUP BY block_no""")
 def c5_token_blocks_corpus(spark, sf_dir):
-    b = tk.corpus_blocks(token_ids(spark, sf_dir), "doc_id")
+    counts = tk.token_counts(docs(spark, sf_dir), "doc_id", "text")
+    b = tk.corpus_blocks(token_ids(spark, sf_dir), "doc_id", counts=counts)
     return b.select("block_no", tk.ids_digest("ids").alias("ids_md5"))
 
 
@@ -163,7 +164,7 @@ WITH {_SQL_TOKENS},
 SELECT b.doc_id, block_no, md5(string_agg(token_id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
 FROM b JOIN n USING (doc_id) WHERE block_no * 64 < n.n - 128 GROUP BY b.doc_id, block_no""")
 def c5_token_blocks_per_doc(spark, sf_dir):
-    b = tk.doc_blocks(token_ids(spark, sf_dir), "doc_id")
+    b = tk.doc_blocks(token_ids(spark, sf_dir, with_length=True), "doc_id", length_col="n_tokens")
     return b.select("doc_id", "block_no", tk.ids_digest("ids").alias("ids_md5"))
 
 

@@ -62,5 +62,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/cw-{name}-{uuid.uuid4().hex[:12]}"
 
 
+# tables whose rows carry enough per-row work (text, vectors) to spread them
+SPREAD_TABLES = {"documents", "conversations", "pages", "embeddings", "events", "benchmark"}
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan over the cluster's parallelism when it plans fewer
+    partitions (e.g. one large row group of long texts). The partition count
+    comes from the file listing, no job runs; on a large table the scan
+    already has more splits and nothing is added."""
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
