@@ -24,7 +24,9 @@ SQL_FENCED = "SELECT conv_id, turn, replace(text, '. ', '```') AS text FROM conv
 
 def turns(spark, sf_dir):
     c = load_table(spark, sf_dir, "conversations")
-    t = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    # timezone-independent (TIMESTAMP_NTZ arithmetic), like the oracle's naive timestamps
+    t = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(
+        hours=F.col("conv_id").cast("int"), mins=F.col("turn").cast("int"))
     return c.select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("content"),
                     tf.time_string(t).alias("time"))
 
