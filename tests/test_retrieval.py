@@ -86,3 +86,14 @@ def test_hashed_embedding(spark):
     assert abs(sum(x * x for x in v[1]) - 1.0) < 1e-6 and all(x == 0 for x in v[2])
     terms = {(r["bucket"], r["n"]) for r in em.hashed_terms(df, "id", "text", 16).collect()}
     assert sum(n for _, n in terms) == 3
+
+
+def test_user_embedder_hook(spark):
+    def make_model():
+        def predict(texts):
+            return np.stack([[float(len(t)), 1.0, 0.0] for t in texts]).astype(np.float32)
+        return predict
+
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
+    got = {r["id"]: list(r["embedding"]) for r in em.embed_with(df, make_model, "text", 3).collect()}
+    assert got == {1: [2.0, 1.0, 0.0], 2: [4.0, 1.0, 0.0]}
