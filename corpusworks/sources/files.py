@@ -182,10 +182,28 @@ def scan_documents(spark: SparkSession, paths: str | list[str],
     documents: source, ext, ordinal, text - one row per document.
     quarantine: source, ext, reason - unsupported formats and failed files.
     """
+    return split_documents(list_files(spark, paths, recursive), extractors)
+
+
+def stream_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                 glob: str | None = None) -> DataFrame:
+    """T2 source: new files arriving under ``path`` as a streaming binaryFile
+    DataFrame (path, modificationTime, length, content)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    r = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.load(path)
+
+
+def split_documents(files: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]] | None = None
+                    ) -> tuple[DataFrame, DataFrame]:
+    """S1-S7 over any (batch or streaming) binaryFile DataFrame."""
     table = dict(DEFAULT_EXTRACTORS)
     table.update(extractors or {})
-    files = list_files(spark, paths, recursive).select(
-        F.col("path").alias("source"), tf.file_ext("path").alias("ext"), "content")
+    files = files.select(F.col("path").alias("source"), tf.file_ext("path").alias("ext"), "content")
 
     # Text decoded JVM-side; invalid UTF-8 goes to quarantine
     txt = files.filter(F.col("ext") == ".txt").select(

@@ -84,3 +84,23 @@ def test_inventory(spark, tmp_dir):
     put(tmp_dir, "k/sub/b.bin", b"y" * 2048)
     r = fs.file_inventory(spark, os.path.join(tmp_dir, "k")).first()
     assert (r["files"], r["size_bytes"], r["size"]) == (2, 3048, "3.0 KB")
+
+
+def test_streaming_file_ingest(spark, tmp_dir):
+    """T2 with real files: new files -> documents -> knowledge base, once-only."""
+    from corpusworks.operators.kbstore import KnowledgeBaseStore
+    from corpusworks.session import scratch_dir
+    from corpusworks.streaming.ingest import ingest_stream
+    inbox = os.path.join(tmp_dir, "inbox")
+    put(inbox, "one.txt", "first document " * 100)
+    put(inbox, "two.json", json.dumps([{"q": "a"}, {"q": "b"}]))
+    put(inbox, "bad.txt", b"\xff\xfe")
+    docs, quarantine = fs.split_documents(fs.stream_files(spark, inbox, max_files_per_trigger=1))
+    store = KnowledgeBaseStore(spark, os.path.join(tmp_dir, "store"))
+    ck = scratch_dir(spark, "t2-files")
+    ingest_stream(docs, store, "inbox", ck)
+    got = {r["filename"]: r["chunk_count"] for r in store.list_documents("inbox").collect()}
+    assert got["two.json"] == 2 and got["one.txt"] >= 2 and "bad.txt" not in got
+    ingest_stream(docs, store, "inbox", ck)  # restart: nothing new, nothing doubled
+    again = {r["filename"]: r["chunk_count"] for r in store.list_documents("inbox").collect()}
+    assert again == got
