@@ -159,11 +159,13 @@ LOCAL_MAX_WORDS = 3_000_000       # distinct words trained in one task
 LOCAL_MAX_SYMBOLS = 60_000_000    # total byte symbols of those words
 
 
-def _merge_word(syms: tuple, left: str, right: str) -> tuple:
+def _merge_word(syms: tuple, left, right, merged=None) -> tuple:
+    """Merge every (left, right) occurrence, left to right, non-overlapping."""
+    merged = left + right if merged is None else merged
     out, i, n = [], 0, len(syms)
     while i < n:
         if i + 1 < n and syms[i] == left and syms[i + 1] == right:
-            out.append(left + right)
+            out.append(merged)
             i += 2
         else:
             out.append(syms[i])
@@ -176,9 +178,20 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
     kept incrementally (only words containing the merged pair are touched,
     and only the pairs that change are updated), the best pair comes from a
     heap with lazy deletion. Same order and ties as the distributed rounds:
-    count desc, then left, then right."""
+    count desc, then left, then right (symbols compared as hex strings).
+    Symbols are small integers internally; ``names`` maps them back."""
     import heapq
-    syms = [w[2] for w in words]
+    names: list[str] = []
+    code: dict[str, int] = {}
+
+    def sym(x: str) -> int:
+        i = code.get(x)
+        if i is None:
+            i = code[x] = len(names)
+            names.append(x)
+        return i
+
+    syms = [tuple(sym(x) for x in w[2]) for w in words]
     cnt = [w[1] for w in words]
     pairs: dict[tuple, int] = {}
     where: dict[tuple, list] = {}      # word indices; may hold stale entries
@@ -189,22 +202,22 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
             if p not in seen:
                 seen.add(p)
                 where.setdefault(p, []).append(i)
-    heap = [(-c, a, b) for (a, b), c in pairs.items()]
+    heap = [(-c, names[a], names[b], a, b) for (a, b), c in pairs.items()]
     heapq.heapify(heap)
     merges = []
     while len(merges) < budget and heap:
-        negc, a, b = heapq.heappop(heap)
+        negc, _, _, a, b = heapq.heappop(heap)
         c = pairs.get((a, b), 0)
         if c != -negc or c <= 0:
             continue
         if c < min_frequency:
             break
-        merges.append((len(merges), a, b, c))
-        ab = a + b
+        merges.append((len(merges), names[a], names[b], c))
+        ab = sym(names[a] + names[b])
         delta: dict[tuple, int] = {}
         for i in set(where.pop((a, b), ())):
             old = syms[i]
-            new = _merge_word(old, a, b)
+            new = _merge_word(old, a, b, ab)
             if len(new) == len(old):
                 continue
             n = cnt[i]
@@ -221,11 +234,11 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
             v = pairs.get(p, 0) + d
             if v > 0:
                 pairs[p] = v
-                heapq.heappush(heap, (-v, p[0], p[1]))
+                heapq.heappush(heap, (-v, names[p[0]], names[p[1]], p[0], p[1]))
             else:
                 pairs.pop(p, None)
                 where.pop(p, None)
-    return merges, syms
+    return merges, [tuple(names[x] for x in sy) for sy in syms]
 
 
 _LOCAL_SCHEMA = ("kind string, rank int, left string, right string, cnt long, word string, n long, "
