@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusworks.functions.text import basename
+from corpusworks.session import broadcast_if_small
 
 
 def list_documents(chunks: DataFrame, source_col: str = "source") -> DataFrame:
@@ -46,7 +47,8 @@ def apply_tombstones(chunks: DataFrame, tombstones: DataFrame, source_col: str =
     basename and on the full source), so both stay hash/broadcast joins and
     never become a nested loop.
     """
-    t = tombstones.select(F.col("kb").alias("_kb"), F.col("name").alias("_name"), F.col("seq").alias("_seq"))
+    t = broadcast_if_small(
+        tombstones.select(F.col("kb").alias("_kb"), F.col("name").alias("_name"), F.col("seq").alias("_seq")))
     c = chunks.withColumn("_base", basename(source_col, None))
     by_base = c.join(t, (c["kb"] == t["_kb"]) & (c["_base"] == t["_name"]) & (c["ingest_seq"] <= t["_seq"]),
                      "left_anti")
@@ -57,7 +59,7 @@ def apply_tombstones(chunks: DataFrame, tombstones: DataFrame, source_col: str =
 
 def removed_counts(chunks: DataFrame, tombstones: DataFrame, source_col: str = "source") -> DataFrame:
     """K3 report: per tombstone name the number of chunks it removes (0 = no match)."""
-    t = tombstones.select("kb", "name", "seq")
+    t = broadcast_if_small(tombstones.select("kb", "name", "seq"))
     c = chunks.select("kb", source_col, "ingest_seq").withColumn("_base", basename(source_col, None))
     hit_base = c.join(t, (c["kb"] == t["kb"]) & (c["_base"] == t["name"]) & (c["ingest_seq"] <= t["seq"]))
     hit_full = c.join(t, (c["kb"] == t["kb"]) & (c[source_col] == t["name"]) & (c["ingest_seq"] <= t["seq"])
@@ -70,13 +72,15 @@ def removed_counts(chunks: DataFrame, tombstones: DataFrame, source_col: str = "
 
 
 def keep_requested(rows: DataFrame, requested: DataFrame, on: str | list[str]) -> DataFrame:
-    """Left-semi join - keep rows whose key is in ``requested``."""
-    return rows.join(requested, on, "left_semi")
+    """Left-semi join - keep rows whose key is in ``requested``
+    (broadcast when the key list passes the size check)."""
+    return rows.join(broadcast_if_small(requested), on, "left_semi")
 
 
 def drop_requested(rows: DataFrame, requested: DataFrame, on: str | list[str]) -> DataFrame:
-    """Left-anti join - drop rows whose key is in ``requested``."""
-    return rows.join(requested, on, "left_anti")
+    """Left-anti join - drop rows whose key is in ``requested``
+    (broadcast when the key list passes the size check)."""
+    return rows.join(broadcast_if_small(requested), on, "left_anti")
 
 
 def names_frame(spark, kb: str, names: Iterable[str], seq: int) -> DataFrame:

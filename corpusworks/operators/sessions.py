@@ -134,8 +134,10 @@ def append_turns(exchanges: DataFrame, key: str = "session", time_col: str = "ti
 
 
 def delete_sessions(turns: DataFrame, ids: DataFrame, key: str = "session") -> DataFrame:
-    """K7: drop every message of the listed sessions (left anti join)."""
-    return turns.join(ids.select(key).distinct(), key, "left_anti")
+    """K7: drop every message of the listed sessions (left anti join; the id
+    list is broadcast when it passes the size check)."""
+    from corpusworks.session import broadcast_if_small
+    return turns.join(broadcast_if_small(ids.select(key).distinct()), key, "left_anti")
 
 
 def replay(turns: DataFrame, key: str = "session", order: str = "turn",

@@ -90,6 +90,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/cw-{name}-{uuid.uuid4().hex[:12]}"
 
 
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a size check: a bounded count (each task
+    stops after ``max_rows + 1`` rows). Above the bound the join is left to the
+    planner / AQE (shuffle join, skew split)."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 # tables whose rows carry enough per-row work (text, vectors) to spread them
 SPREAD_TABLES = {"documents", "conversations", "pages", "embeddings", "events", "benchmark"}
 
