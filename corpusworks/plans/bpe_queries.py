@@ -13,6 +13,53 @@ from corpusworks.session import load_table
 
 _TRAINED: dict[tuple, tuple] = {}
 
+# DuckDB twin of the GPT-2 style split. RE2 has no lookahead, so the words are
+# first cut with the same alternatives minus the lookahead one (whitespace runs
+# then stay whole) and the lookahead's effect is re-applied on the token list:
+# a whitespace run of 2+ chars before a token keeps all but its last char; that
+# last char is its own token unless it is a space, which instead starts the next
+# token (a contraction after it splits as " '" + letters, joined with a following
+# letter run).
+WSC = r"\t\n\x0B\x0C\r "  # Java's \s spelled out (RE2's \s lacks \x0B)
+P1 = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WSC + r"\p{L}\p{N}]+|[" + WSC + r"]+")
+CONTR = "('''s', '''t', '''re', '''ve', '''m', '''ll', '''d')"
+
+
+def ISWS(x: str) -> str:
+    """SQL: the token is a whitespace run."""
+    return f"regexp_full_match({x}, '[{WSC}]+')"
+
+
+def LONGSP(x: str) -> str:
+    """SQL: the token is a whitespace run of 2+ chars ending in a space."""
+    return f"({ISWS(x)} AND length({x}) >= 2 AND right({x}, 1) = ' ')"
+
+
+WORDS = f"""
+  t AS (SELECT regexp_extract_all(text, '{P1.replace(chr(39), chr(39) * 2)}') AS L FROM documents),
+  x AS (SELECT L, len(L) AS n FROM t),
+  e AS (SELECT flatten(list_transform(range(1, n + 1), lambda i:
+          CASE
+            WHEN {ISWS("L[i]")} AND length(L[i]) >= 2 AND i < n THEN
+              CASE WHEN right(L[i], 1) = ' ' THEN [left(L[i], length(L[i]) - 1)]
+                   ELSE [left(L[i], length(L[i]) - 1), right(L[i], 1)] END
+            WHEN i > 1 AND NOT {ISWS("L[i]")} AND {LONGSP("L[i-1]")} THEN
+              CASE WHEN L[i] IN {CONTR} THEN
+                     [' ''', substr(L[i], 2) || CASE WHEN i < n AND regexp_full_match(L[i+1], '\\p{{L}}+')
+                                                     THEN L[i+1] ELSE '' END]
+                   ELSE [' ' || L[i]] END
+            WHEN i > 2 AND L[i-1] IN {CONTR} AND {LONGSP("L[i-2]")} AND regexp_full_match(L[i], '\\p{{L}}+')
+              THEN []::VARCHAR[]
+            ELSE [L[i]] END)) AS toks FROM x),
+  w AS (SELECT unnest(toks) AS word FROM e),
+  wc AS (SELECT word, count(*)::BIGINT AS n FROM w GROUP BY word)"""
+SQL_C7 = f"WITH {WORDS} SELECT word, n FROM wc"
+SQL_C8 = f"""WITH {WORDS},
+  h AS (SELECT lower(hex(word)) AS hx, n FROM wc),
+  p AS (SELECT n, unnest(list_transform(range(0, length(hx) // 2 - 1),
+                 lambda j: struct_pack(l := substr(hx, 2 * j + 1, 2), r := substr(hx, 2 * j + 3, 2)))) AS pr FROM h)
+SELECT pr.l AS "left", pr.r AS "right", sum(n)::BIGINT AS n FROM p GROUP BY 1, 2"""
+
 
 def trained(spark, sf_dir, vocab_size=K.VOCAB_SIZE, min_frequency=K.MIN_PAIR_FREQUENCY):
     """(vocab, merges, final_words), trained once per (session, input, params)."""
@@ -23,7 +70,12 @@ def trained(spark, sf_dir, vocab_size=K.VOCAB_SIZE, min_frequency=K.MIN_PAIR_FRE
     return _TRAINED[key]
 
 
-@query("c8_first_pair_counts")
+@query("c7_word_counts", SQL_C7)
+def c7_word_counts(spark, sf_dir):
+    return tk.word_counts(load_table(spark, sf_dir, "documents").select("text"), "text", tk.PRETOKEN_PATTERN)
+
+
+@query("c8_first_pair_counts", SQL_C8)
 def c8_first_pair_counts(spark, sf_dir):
     """Round-1 pair counts of the byte-level word table (bytes as hex)."""
     docs = load_table(spark, sf_dir, "documents").select("text")

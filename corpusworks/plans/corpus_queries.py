@@ -183,8 +183,3 @@ def c6_gates(spark, sf_dir):
     from corpusworks.operators.gates import corpus_gates
     d = docs(spark, sf_dir)
     return corpus_gates(d, "text", sft.sft_dataset(d, "doc_id", "text", "\n"))
-
-
-@query("c7_word_counts")
-def c7_word_counts(spark, sf_dir):
-    return tk.word_counts(docs(spark, sf_dir), "text", tk.PRETOKEN_PATTERN)
