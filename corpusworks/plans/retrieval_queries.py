@@ -109,13 +109,40 @@ def v1_hashed_terms(spark, sf_dir):
     return em.hashed_terms(d, "doc_id", "text", 256).select("doc_id", "bucket", F.col("n").cast("long"))
 
 
-@query("v1_embed_dense")
+def _sql_dense(table: str, id_col: str, dim: int) -> str:
+    """DuckDB: hashed term counts -> L2-normalised dense FLOAT vector (zeros for no terms)."""
+    return f"""
+  SELECT d.{id_col} AS id,
+         list_transform(range(0, {dim}), lambda b: CASE WHEN c.norm > 0
+                        THEN (coalesce(c.m[b], 0) / c.norm)::FLOAT ELSE 0.0::FLOAT END) AS embedding
+  FROM {table} d LEFT JOIN (
+    SELECT id, map_from_entries(list(struct_pack(k := bucket, v := n))) AS m, sqrt(sum(n * n)) AS norm
+    FROM (SELECT id, bucket, count(*)::BIGINT AS n FROM (
+            SELECT {id_col} AS id,
+                   (('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))), 1, 6))::BIGINT
+                    % {dim})::INTEGER AS bucket
+            FROM {table}) GROUP BY 1, 2)
+    GROUP BY id) c ON c.id = d.{id_col}"""
+
+
+@query("v1_embed_dense", f"SELECT id AS doc_id, embedding FROM ({_sql_dense('documents', 'doc_id', 64)})")
 def v1_embed_dense(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     return em.embed_hashed(d, "text", em.DEFAULT_DIM).select("doc_id", "embedding")
 
 
-@query("j1_text_retrieval")
+@query("j1_text_retrieval", f"""
+WITH q AS ({_sql_dense('benchmark', 'item_id', 64)}),
+     c AS ({_sql_dense('documents', 'doc_id', 64)}),
+     d AS (SELECT q.id AS query_id, c.id AS doc_id,
+                  list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE))
+                    AS dot,
+                  sqrt(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE ** 2))) *
+                  sqrt(list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE ** 2))) AS den
+           FROM q, c),
+     r AS (SELECT query_id, doc_id, CASE WHEN den > 0 THEN 1.0 - dot / den ELSE 1.0 END AS dist FROM d),
+     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM r)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(dist, 6) AS dist FROM k WHERE rank <= {K.TOP_K}""")
 def j1_text_retrieval(spark, sf_dir):
     """Benchmark questions -> hashed embeddings -> top-3 documents (cosine)."""
     b = load_table(spark, sf_dir, "benchmark")
