@@ -162,14 +162,21 @@ LOCAL_MAX_SYMBOLS = 60_000_000    # total byte symbols of those words
 def _merge_word(syms: tuple, left, right, merged=None) -> tuple:
     """Merge every (left, right) occurrence, left to right, non-overlapping."""
     merged = left + right if merged is None else merged
-    out, i, n = [], 0, len(syms)
+    out: list = []
+    i, n = 0, len(syms)
     while i < n:
-        if i + 1 < n and syms[i] == left and syms[i + 1] == right:
+        try:
+            j = syms.index(left, i)
+        except ValueError:
+            out.extend(syms[i:])
+            break
+        if j + 1 < n and syms[j + 1] == right:
+            out.extend(syms[i:j])
             out.append(merged)
-            i += 2
+            i = j + 2
         else:
-            out.append(syms[i])
-            i += 1
+            out.extend(syms[i:j + 1])
+            i = j + 1
     return tuple(out)
 
 
@@ -217,6 +224,8 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
         delta: dict[tuple, int] = {}
         for i in set(where.pop((a, b), ())):
             old = syms[i]
+            if a not in old or b not in old:   # stale index entry
+                continue
             new = _merge_word(old, a, b, ab)
             if len(new) == len(old):
                 continue
