@@ -230,9 +230,22 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
             if len(new) == len(old):
                 continue
             n = cnt[i]
-            for p in zip(old, old[1:]):
+            # only pairs in the changed region differ: skip the common prefix
+            # before the first merge site and the common suffix after the last
+            f = old.index(a)
+            while old[f + 1] != b:
+                f = old.index(a, f + 1)
+            k = len(old) - f - 2            # symbols after the first site, unchanged at the end
+            tail = 0
+            while tail < k and old[-1 - tail] == new[-1 - tail] and not (
+                    old[-1 - tail] == b and old[-2 - tail] == a):
+                tail += 1
+            lo = max(f - 1, 0)
+            o_seg = old[lo:len(old) - tail + 1] if tail else old[lo:]
+            n_seg = new[lo:len(new) - tail + 1] if tail else new[lo:]
+            for p in zip(o_seg, o_seg[1:]):
                 delta[p] = delta.get(p, 0) - n
-            for p in zip(new, new[1:]):
+            for p in zip(n_seg, n_seg[1:]):
                 delta[p] = delta.get(p, 0) + n
                 if p[0] == ab or p[1] == ab:
                     where.setdefault(p, []).append(i)
