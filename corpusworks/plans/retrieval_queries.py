@@ -93,7 +93,9 @@ def p4_answer_with_sources(spark, sf_dir):
     return pr.answer_with_sources(answers, nn)
 
 
-@query("u6_batch_generate")
+@query("u6_batch_generate", """
+SELECT b.item_id AS query_id, b.text AS answer, CAST(NULL AS VARCHAR) AS error
+FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
 def u6_batch_generate(spark, sf_dir):
     qv, nn = retrieved_docs(spark, sf_dir)
     p = pr.retrieval_prompt(nn, qv.select("query_id", "question"))
