@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusworks import constants as K
-from corpusworks.functions import text as tf
 from corpusworks.operators import sessions as ss
 from corpusworks.operators.kbstore import KnowledgeBaseStore
 from corpusworks.plans.registry import query

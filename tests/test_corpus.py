@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 from corpusworks.operators import concat as cc

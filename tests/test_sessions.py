@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from corpusworks.operators import messages as msg
 from corpusworks.operators import sessions as ss

@@ -3,7 +3,6 @@ batch = stream for summaries and progress."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 from corpusworks.session import scratch_dir

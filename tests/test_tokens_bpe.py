@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from corpusworks.operators import bpe
 from corpusworks.operators import tokens as tk
