@@ -177,7 +177,7 @@ def register_chunk_table_function(spark, name: str = "chunk_text"):
     """``SELECT * FROM docs, LATERAL chunk_text(text, 1000, 200)``."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType="chunk_no: int, start: int, chunk: string")
+    @udtf(returnType="chunk_no: int, start: int, chunk: string", useArrow=True)
     class ChunkText:
         def eval(self, text, size=K.CHUNK_SIZE, overlap=K.CHUNK_OVERLAP):
             for i, s, c in recursive_split(text, int(size), int(overlap)):
