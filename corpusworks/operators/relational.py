@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 
+MAX_PREFERENCES = 10_000     # substring (theta) join needs the list broadcast
+MAX_LITERAL_MAP = 10_000     # larger mappings are joined as a table instead
+
 
 def preference_table(spark, preferences: Sequence[str] = tuple(K.MODEL_PREFERENCES)) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(preferences)], "pref_rank int, pref string")
@@ -21,9 +24,13 @@ def ranked_preference(names: DataFrame, prefs: DataFrame, group_cols: list[str],
     (preference is a substring of the lower-cased name), earliest position
     first; if nothing matches, the group's first name.
 
-    The preference list is a fixed, user-given list; it is broadcast and the
-    substring test runs as a broadcast nested-loop join against it only.
+    The preference list is a user-given list, checked to be at most
+    ``MAX_PREFERENCES`` entries and then broadcast, so the substring test
+    runs as a broadcast nested-loop join against it only.
     """
+    n = prefs.limit(MAX_PREFERENCES + 1).count()
+    if n > MAX_PREFERENCES:
+        raise ValueError(f"preference list longer than {MAX_PREFERENCES}; a substring join needs it broadcast")
     m = names.join(F.broadcast(prefs), F.instr(F.lower(F.col(name_col)), F.col("pref")) > 0)
     best = m.groupBy(*group_cols).agg(F.min_by(name_col, F.struct("pref_rank", pos_col)).alias("_best"))
     first = names.groupBy(*group_cols).agg(F.min_by(name_col, pos_col).alias("_first"))
@@ -35,7 +42,11 @@ def ranked_preference(names: DataFrame, prefs: DataFrame, group_cols: list[str],
 def lookup_with_default(df: DataFrame, mapping: dict[str, str], key_col: str, default: str,
                         out_col: str = "mapped") -> DataFrame:
     """Key -> value from a fixed mapping, ``default`` for missing keys.
-    The mapping is a literal map (no join needed for a fixed table)."""
+    A small mapping is a literal map (no join); a large one is joined as a
+    table (left join, AQE decides broadcast vs shuffle)."""
+    if len(mapping) > MAX_LITERAL_MAP:
+        table = df.sparkSession.createDataFrame(list(mapping.items()), f"{key_col} string, _v string")
+        return lookup_table_with_default(df, table, key_col, "_v", default, out_col)
     m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
     return df.withColumn(out_col, F.coalesce(m[F.col(key_col)], F.lit(default)))
 

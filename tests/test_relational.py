@@ -30,3 +30,15 @@ def test_union_names(spark):
     a = spark.createDataFrame([("b",), ("a",)], "x string")
     b = spark.createDataFrame([("a",), ("c",)], "y string")
     assert [r["name"] for r in rel.union_names(a, b).collect()] == ["a", "b", "c"]
+
+
+def test_bounds(spark):
+    import pytest
+    df = spark.createDataFrame([(str(i),) for i in range(5)], "k string")
+    big = {str(i): f"v{i}" for i in range(rel.MAX_LITERAL_MAP + 1)}
+    got = {r["k"]: r["mapped"] for r in rel.lookup_with_default(df, big, "k", "?").collect()}
+    assert got == {str(i): f"v{i}" for i in range(5)}
+    names = spark.createDataFrame([("g", "a", 0)], "grp string, name string, pos int")
+    prefs = spark.range(rel.MAX_PREFERENCES + 1).selectExpr("cast(id as int) as pref_rank", "cast(id as string) as pref")
+    with pytest.raises(ValueError):
+        rel.ranked_preference(names, prefs, ["grp"])
