@@ -258,3 +258,27 @@ def ingest_report(docs: DataFrame, quarantine: DataFrame) -> DataFrame:
                                    F.sum(F.length("text")).cast("long").alias("chars"))
     q = quarantine.groupBy("source").agg(F.first("reason").alias("reason"))
     return d.join(q, "source", "full")
+
+
+def ingest_totals(docs: DataFrame, quarantine: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """S8 totals of a scan: files read, documents, characters, fixed-stride
+    chunks (C2 count, no explode) and failed files - one row."""
+    from corpusworks.operators.chunk import stride_chunk_count
+    ok = docs.select("source", F.lit(1).alias("_doc"), F.length("text").cast("long").alias("_len"),
+                     stride_chunk_count("text", size, overlap).alias("_ch"), F.lit(None).cast("string").alias("_bad"))
+    bad = quarantine.select("source", F.lit(0).alias("_doc"), F.lit(0).cast("long").alias("_len"),
+                            F.lit(0).cast("long").alias("_ch"), F.col("source").alias("_bad"))
+    u = ok.unionByName(bad)   # one aggregate over both, no join
+    return u.agg(F.countDistinct(F.when(F.col("_doc") == 1, F.col("source"))).alias("files"),
+                 F.coalesce(F.sum("_doc"), F.lit(0)).cast("long").alias("documents"),
+                 F.coalesce(F.sum("_len"), F.lit(0)).cast("long").alias("characters"),
+                 F.coalesce(F.sum("_ch"), F.lit(0)).cast("long").alias("chunks"),
+                 F.countDistinct("_bad").alias("failed_files"))
+
+
+def require_documents(totals: DataFrame) -> dict:
+    """S8 gate: reading no document at all is an error (one-row report)."""
+    row = totals.first().asDict()
+    if not row["documents"]:
+        raise ValueError("no text could be read from the given files")
+    return row

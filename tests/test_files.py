@@ -104,3 +104,18 @@ def test_streaming_file_ingest(spark, tmp_dir):
     ingest_stream(docs, store, "inbox", ck)  # restart: nothing new, nothing doubled
     again = {r["filename"]: r["chunk_count"] for r in store.list_documents("inbox").collect()}
     assert again == got
+
+
+def test_ingest_totals_and_gate(spark, tmp_dir):
+    import pytest
+    put(tmp_dir, "a.txt", "x" * 1001)
+    put(tmp_dir, "b.json", json.dumps([1, 2]))
+    put(tmp_dir, "c.xyz", "?")
+    docs, quarantine = fs.scan_documents(spark, tmp_dir)
+    row = fs.require_documents(fs.ingest_totals(docs, quarantine))
+    assert (row["files"], row["documents"], row["characters"], row["chunks"], row["failed_files"]) == (2, 3, 1003, 4, 1)
+    empty = os.path.join(tmp_dir, "only_bad")
+    put(empty, "z.xyz", "?")
+    d2, q2 = fs.scan_documents(spark, empty)
+    with pytest.raises(ValueError):
+        fs.require_documents(fs.ingest_totals(d2, q2))
