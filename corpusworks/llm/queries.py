@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import bpe_codec, chat, pii_crf, secret_ledger, sharding
+from corpusworks.llm import bpe_codec, chat, line_dedup, pii_crf, quality, secret_ledger, sharding
 from corpusworks.llm.common import scratch_dir, table
 
 QUERIES: dict = {}
@@ -104,3 +104,32 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.path_findings().select(
         F.col("path").cast("long").alias("doc_id"), *[count(r.kind) for r in secret_ledger.BASE_RULES],
         F.sha2(_joined(base, _span), 256).alias("base_sha256"), _joined(F.col("findings"), _span).alias("spans"))
+
+
+# ------------------------------------------------------------------ 8 line dedup
+_LINES_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT JOIN c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
+@query("op8_line_dedup", _LINES_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex(spark, scratch_dir(spark, "lines"))
+    index.insert(docs)
+    return index.clean(docs).select("doc_id", "n_lines", "n_dropped",
+                                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 10 quality
+@query("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
