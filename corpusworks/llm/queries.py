@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import bpe_codec, chat, line_dedup, pii_crf, quality, secret_ledger, sharding
+from corpusworks.llm import bpe_codec, chat, line_dedup, near_dup, pii_crf, quality, secret_ledger, sharding
 from corpusworks.llm.common import scratch_dir, table
 
 QUERIES: dict = {}
@@ -133,3 +133,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+# ------------------------------------------------------------------ 4 near-duplicates
+@query("op4_near_dup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
