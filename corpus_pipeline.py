@@ -1,7 +1,69 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: five stages over ``documents``, each calling one of the
+operators of ``corpusworks.llm``. A stage's result is written and read again as
+the next one's documents.
+
+1. quality: documents that the weak-label classifier rejects go.
+2. lines: lines repeated in many documents stay in the last of them only.
+3. near_duplicates: one document of each group of near copies stays.
+4. decontamination: documents that hold a benchmark item go.
+5. tokens: byte-level BPE ids, decoded back as a check.
+
+Rows with a null id can't be told apart and stay as they are in stages that
+decide by id. Rows that repeat an id share its decision in stage 4; in stage 3
+one row of them stays. SQL can't express the classifier, so there is no SQL
+twin; tests/llm holds each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusworks.llm import bpe_codec, decontaminate, line_dedup, near_dup, quality
+from corpusworks.llm.common import free_name, keep, scratch_dir, table
+from corpusworks.llm.queries import tokenizer_files
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels).where("accepted").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    index = line_dedup.LineIndex(spark, scratch_dir(spark, "lines"))
+    index.insert(docs)
+    return index.clean(docs).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = (near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    place = free_name(docs, "place")
+    once = Window.partitionBy("doc_id").orderBy("text")
+    return (kept.withColumn(place, F.row_number().over(once))
+            .where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(keep(hits.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_files()
+    coded = bpe_codec.encode(docs, "text", path, pattern)
+    checked = bpe_codec.decode(coded, "ids", path, pattern)
+    whole = F.coalesce("text", F.lit("")) == F.col("text_decoded")
+    return checked.select("doc_id", "n_tokens", "ids", whole.alias("round_trip"))
+
+
+STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage),
+          ("decontamination", decontamination_stage), ("tokens", token_stage)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -6,15 +6,17 @@ independent trees branch the classes recursively: a node picks one or two token
 positions (1 / similarity on average, from a hash of the node), and classes with
 the same token there form a child. Similar sets stay together on some path with
 good chance at every depth, unlike ones part quickly. Nodes of at most NODE
-classes are compared exhaustively. A node that is still large after STEP levels
-is compared with a few of its members (pivots, linear in its size) and is
-finished when all its members are in one component, since further links would
-change nothing; otherwise its recursion goes on. Nothing is capped: the loop
-runs until every node is small or in one component.
-
-Candidate pairs are sifted by token agreement (SIFT, about five standard
-deviations below the threshold) and confirmed on the full sets. Components come
-from alternating stars over the confirmed links.
+classes are compared exhaustively. A node that is still large DEPTHS levels
+below a large one holds sets that are mostly alike. Its members are compared
+with one pivot; unless that puts all of them in one component (further links
+would change nothing), the node is cut into chunks of bounded size and all
+chunks are compared pairwise with one another: intersections of two chunks are
+one matrix product, and a chunk pair returns only links that join components,
+at most one per member. Nothing is capped or dropped.
+
+Candidate pairs of small nodes and pivots are sifted by token agreement (SIFT,
+about five standard deviations below the threshold) and confirmed on the full
+sets. Components come from alternating stars over the confirmed links.
 
 Defined cases: null or empty text (no word) = empty set, linked with nothing,
 its own component; fewer than five words = one shingle of all of them; rows
@@ -37,9 +39,10 @@ from corpusworks.llm.components import components
 
 WORDS, PERCENT = 5, 85
 POSITIONS, TREES, NODE = 64, 10, 24
-STEP = (2, 4, 8)            # depths below a large node whose children are counted
-PIVOTS, SIFT = 3, 0.62
-ROUNDS = 24
+DEPTHS = (2, 4, 8)          # levels below a large node whose children are counted
+SIFT = 0.62
+CHUNK_ROWS, CHUNK_SHINGLES = 256, 100_000
+COLUMNS = 16_384            # shingles of one matrix product
 
 _WORD = re.compile(r"[^ \t-\r]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -132,13 +135,13 @@ def _plant(batches):
 
 
 def _grow(batches):
-    """Nodes at the depths of STEP below each row's node."""
+    """Nodes at DEPTHS levels below each row's node."""
     for b in batches:
         sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
         node, row = b.column("node").to_numpy().view(np.uint64), np.arange(len(sig))
-        for depth in range(1, max(STEP) + 1):
+        for depth in range(1, DEPTHS[-1] + 1):
             node, row = _children(node, sig, row)
-            if depth in STEP:
+            if depth in DEPTHS:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node.view(np.int64)), sid.take(take), n.take(take),
@@ -153,8 +156,7 @@ def _pairs_of(batches):
             members.sort(key=lambda m: m["sid"])
             for i, x in enumerate(members):
                 for y in members[i + 1:]:
-                    if x["sid"] != y["sid"] and 100 * min(x["n"], y["n"]) >= PERCENT * max(x["n"], y["n"]) \
-                            and (x["root"] is None or x["root"] != y["root"]):
+                    if x["sid"] != y["sid"] and 100 * min(x["n"], y["n"]) >= PERCENT * max(x["n"], y["n"]):
                         a.append(x["sid"])
                         c.append(y["sid"])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
@@ -168,23 +170,94 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 def _small_pairs(members: DataFrame) -> DataFrame:
     lists = (members.where(F.col("size") <= NODE).groupBy("node")
-             .agg(F.collect_list(F.struct("sid", "n", "root")).alias("members")))     # at most NODE rows each
+             .agg(F.collect_list(F.struct("sid", "n")).alias("members")))     # at most NODE rows each
     return lists.select("members").mapInArrow(_pairs_of, "a binary, b binary")
 
 
-def _pivot_pairs(large: DataFrame, salt: int) -> DataFrame:
-    """Every member of a large node with the node's pivots."""
-    rank = [F.min(F.struct(F.xxhash64("sid", F.lit(salt * PIVOTS + k)).alias("h"), F.col("sid").alias("p"),
-                           F.col("n").alias("pn"))).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = keep(large.groupBy("node").agg(*rank)
-                  .select("node", F.explode(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])).alias("x"))
-                  .select("node", "x.p", "x.pn"), "pivots")
+def _pivot_pairs(large: DataFrame) -> DataFrame:
+    """Every member of a large node with the node's pivot: the member of least hash,
+    so nodes with the same members mostly agree on it."""
+    pivots = keep(large.groupBy("node").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("p"))
+                  .select("node", F.col("p.sid").alias("p"), F.col("p.n").alias("pn")), "pivots")
     return (large.join(pivots, "node")
             .where((F.col("sid") != F.col("p"))
                    & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
             .select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets."""
+    sets = left + right
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = np.flatnonzero(np.bincount(at) > 1)
+    place = np.full(len(values), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    out = np.zeros((len(left), len(right)))
+    for start in range(0, len(shared), COLUMNS):
+        own = (column >= start) & (column < start + COLUMNS)
+        m = np.zeros((len(sets), min(COLUMNS, len(shared) - start)), dtype=np.float32)
+        m[row[own], column[own] - start] = 1
+        out += m[:len(left)] @ m[len(left):].T
+    return out
+
+
+def joining_links(left: list[dict], right: list[dict]) -> list[tuple[bytes, bytes]]:
+    """Links between members (sid, root, x) of two chunks that join components."""
+    sets = [[np.frombuffer(m["x"], np.uint64) for m in side] for side in (left, right)]
+    sizes = [np.array([len(x) for x in side], dtype=float) for side in sets]
+    common = common_counts(*sets)
+    near = 100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)
+    parent: dict[bytes, bytes] = {}
+
+    def top(r: bytes) -> bytes:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    links = []
+    for i, j in np.argwhere(near).tolist():
+        p, q = top(left[i]["root"]), top(right[j]["root"])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            links.append((left[i]["sid"], right[j]["sid"]))
+    return links
+
+
+def _compare_chunks(batches):
+    for b in batches:
+        for i in range(len(b)):
+            links = joining_links(b.column("ma")[i].as_py(), b.column("mb")[i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()),
+                                              pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+
+def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links inside large nodes that are not yet in one component."""
+    tagged = keep(large.join(roots, large["sid"] == roots["of"], "left")
+                  .select("node", "sid", "n", F.coalesce("root", "sid").alias("root")), "tagged")
+    cut = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    open_nodes = keep(tagged.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                                 cut.alias("chunks")).where("lo <> hi"), "open")
+    placed = keep(tagged.join(open_nodes.select("node", "chunks"), "node")
+                  .withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "placed")
+    members = keep(placed.join(_sets_of(placed.select("sid").distinct(), classes, docs), "sid"), "chunk_sets")
+    chunks = keep(members.groupBy("node", "chunk").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("chunks").alias("chunks"),
+        F.collect_list(F.struct("sid", "root", "x")).alias("m")), "chunks")       # of bounded size, see the cut
+    left = chunks.select("node", F.col("chunk").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"), "chunks")
+    pairs = (left.withColumn("cb", F.explode(F.sequence("ca", F.col("chunks") - 1)))
+             .join(chunks.select("node", F.col("chunk").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb")),
+                   ["node", "cb"])
+             .where((F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb")) | (F.col("la") != F.col("lb"))))
+    pairs = keep(pairs.select("node", "ca", "cb"), "chunk_pairs")
+    one = chunks.select("node", F.col("chunk").alias("ca"), F.col("m").alias("ma"))
+    two = chunks.select("node", F.col("chunk").alias("cb"), F.col("m").alias("mb"))
+    return pairs.join(one, ["node", "ca"]).join(two, ["node", "cb"]).select("ma", "mb") \
+        .mapInArrow(_compare_chunks, "a binary, b binary")
+
+
 def _sift(batches):
     for b in batches:
         alike = (_matrix(b.column("sa")) == _matrix(b.column("sb"))).mean(1) >= SIFT
@@ -210,6 +283,14 @@ def _full_sets(batches):
                                           pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "x"])
 
 
+def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """sid, x (packed full set) of the wanted classes, from their first documents."""
+    firsts = keep(classes.join(wanted, "sid", "left_semi").select(F.col("first").alias("doc"), "sid"), "wanted")
+    texts = docs.join(firsts.select("doc").distinct(), "doc", "left_semi").select("body")
+    found = texts.mapInArrow(_full_sets, "sid binary, x binary").join(firsts.select("sid"), "sid", "left_semi")
+    return keep(found.dropDuplicates(["sid"]), "sets")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     sig = classes.select("sid", "sig")
@@ -217,10 +298,7 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
                   .join(sig.select(F.col("sid").alias("b"), F.col("sig").alias("sb")), "b")
                   .select("a", "b", "sa", "sb").mapInArrow(_sift, "a binary, b binary"), "sifted")
     wanted = sifted.select(F.col("a").alias("sid")).unionAll(sifted.select(F.col("b").alias("sid"))).distinct()
-    firsts = keep(classes.join(wanted, "sid", "left_semi").select(F.col("first").alias("doc"), "sid"), "wanted")
-    texts = docs.join(firsts.select("doc").distinct(), "doc", "left_semi").select("body")
-    sets = keep(texts.mapInArrow(_full_sets, "sid binary, x binary"), "sets").dropDuplicates(["sid"])
-    sets = keep(sets.join(firsts.select("sid"), "sid", "left_semi"), "full")
+    sets = _sets_of(wanted, classes, docs)
     return keep(sifted.join(sets.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a")
                 .join(sets.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
                 .select("a", "b", "xa", "xb").mapInArrow(_confirm, "a binary, b binary"), "links")
@@ -234,39 +312,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     classes = keep(rows.where("doc IS NOT NULL AND n > 0").groupBy("sid")
                    .agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    none = F.lit(None).cast("binary")
-    members = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant, "node long, sid binary, n long"))
-    pairs = _small_pairs(members.withColumn("root", none))
-    large = members.where(F.col("size") > NODE).select("node", "sid", "n")
-    links, roots = None, None
-    for turn in range(ROUNDS):
-        if roots is not None:
-            tagged = large.join(roots, large["sid"] == roots["of"], "left").select(
-                "node", "sid", "n", F.coalesce("root", "sid").alias("root"))
-            open_nodes = keep(tagged.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                              .where("lo <> hi").select("node"), "open")
-            large = keep(tagged.join(open_nodes, "node"), "large")
-            if large.isEmpty():
-                break
-        else:
-            large = large.withColumn("root", none)
-        rooted = large.select("sid", "root").distinct()
-        grown = (large.select("node", "sid", "n").join(classes.select("sid", "sig"), "sid")
-                 .select("node", "sid", "n", "sig")
-                 .mapInArrow(_grow, "node long, sid binary, n long, depth int"))
-        below = _sized(grown)
-        found = _small_pairs(below.join(rooted, "sid"))
-        large = keep(below.where((F.col("size") > NODE) & (F.col("depth") == max(STEP))).select("node", "sid", "n"),
-                     "dense")
-        found = found.unionAll(_pivot_pairs(large, turn))
-        new = _links(found if pairs is None else found.unionAll(pairs), classes, docs)
-        pairs = None
-        links = new if links is None else keep(links.unionAll(new).distinct(), "links")
-        roots = keep(components(links).select(F.col("node").alias("of"), "root"), "roots")
-        if large.isEmpty():
-            break
-    else:
-        raise RuntimeError("nodes of unlike sets do not part; raise POSITIONS")
+    planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant, "node long, sid binary, n long"))
+    large = planted.where(F.col("size") > NODE).join(classes.select("sid", "sig"), "sid")
+    grown = _sized(large.select("node", "sid", "n", "sig")
+                   .mapInArrow(_grow, "node long, sid binary, n long, depth int"))
+    dense = keep(grown.where((F.col("size") > NODE) & (F.col("depth") == DEPTHS[-1])).select("node", "sid", "n"),
+                 "dense")
+    links = _links(_small_pairs(planted).unionAll(_small_pairs(grown)).unionAll(_pivot_pairs(dense)), classes, docs)
+
+    def roots_of(edges: DataFrame) -> DataFrame:
+        return keep(components(edges).select(F.col("node").alias("of"), "root"), "roots")
+
+    roots = roots_of(links)
+    if not dense.isEmpty():
+        roots = roots_of(links.unionAll(keep(_dense_links(dense, roots, classes, docs), "dense_links")))
 
     class_root = classes.join(roots, classes["sid"] == roots["of"], "left").select(
         "sid", "first", F.coalesce("root", "sid").alias("root"))
