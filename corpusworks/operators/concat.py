@@ -9,6 +9,8 @@ each of them to what can still fit, and joins those (bounded) pieces.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ def capped_concat(df: DataFrame, group_cols: list[str], order_cols: list[str], t
     # itself may be cut by the cap)
     head = layout.filter(F.col("start") < F.lit(cap + s)).select(*group_cols, *order_cols, "start", "total")
     keys = list(group_cols) + list(order_cols)
-    texts = df.select(*keys, F.col(text_col).alias("_t"))
-    pieces = head.join(texts, keys, "inner").select(
+    # null keys are groups and rows like any other; a null text is an empty one
+    texts = df.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    pieces = head.join(texts, same, "inner").select(
         *group_cols, *order_cols, "total",
         F.expr(f"substring(_t, 1, greatest({cap} - start, 0))").alias("_p"))
     parts = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order_cols], F.col("_p"))))

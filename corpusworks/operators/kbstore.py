@@ -18,6 +18,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from corpusworks import constants as K
@@ -162,7 +163,10 @@ class KnowledgeBaseStore:
     # ------------------------------------------------------------ reads
     def _raw(self, kb: str, columns: list[str] | None = None) -> DataFrame:
         try:
-            df = self.spark.read.parquet(self.chunk_path)
+            found = self.spark.read.parquet(self.chunk_path).schema
+            # base names are strings, whatever they look like ("007" is not "7")
+            typed = StructType([StructField("kb", StringType()) if f.name == "kb" else f for f in found.fields])
+            df = self.spark.read.schema(typed).parquet(self.chunk_path)
         except AnalysisException:
             return self.spark.createDataFrame([], "kb string, ingest_seq long, source string, basename string")
         df = df.filter(F.col("kb") == kb)
@@ -192,7 +196,8 @@ class KnowledgeBaseStore:
 
     def info(self, kb: str) -> DataFrame:
         """Files, size and newest modification under the base's folder."""
-        return file_inventory(self.spark, f"{self.chunk_path}/kb={kb}").select(
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(kb)
+        return file_inventory(self.spark, f"{self.chunk_path}/kb={escaped}").select(
             F.lit(kb).alias("name"), F.lit("RAG").alias("type"), "files", "size_bytes", "size", "modified")
 
     def compact(self, kb: str, new_root: str) -> "KnowledgeBaseStore":

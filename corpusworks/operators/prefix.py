@@ -17,6 +17,8 @@ Plan:
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -80,8 +82,10 @@ def running_offsets(df: DataFrame, group_cols: list[str], order_cols: list[str],
         F.sum("_ptot").over(win.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         .alias("group_total"))
 
-    on = ["_pid"] + list(group_cols)
-    joined = local.join(offsets, on, "inner") if group_cols else local.join(offsets, "_pid", "inner")
+    on = ["_pid"] + list(group_cols)       # a null group is a group like any other
+    named = offsets.withColumnsRenamed({c: f"_o_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in on])
+    joined = local.join(named, same, "inner")
     return joined.select(*keys, length_col, (F.col("_off") + F.col("_local")).alias("start"),
                          F.col("group_total").cast("long").alias("group_total"))
 

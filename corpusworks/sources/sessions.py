@@ -9,6 +9,8 @@ Files are read whole (``wholetext``), one row per file, spread over tasks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,12 @@ def list_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_session(spark: SparkSession, path: str, filepath: str) -> DataFrame:
-    """One session by path, defaults model_name='genel', session_id=''."""
+    """One session by its path (absolute, or relative to the scanned folder
+    ``path``), defaults model_name='genel', session_id=''."""
     s = read_session_files(spark, path, missing_model=K.DEFAULT_MODEL_NAME)
-    return s.filter(F.col("filepath").endswith(filepath) | (F.col("filepath") == filepath))
+    bare = lambda p: re.sub(r"^[a-z0-9]+:/+", "/", p)
+    wanted = bare(filepath) if bare(filepath).startswith("/") else f"{bare(path).rstrip('/')}/{filepath}"
+    return s.filter(F.regexp_replace("filepath", r"^[a-z0-9]+:/+", "/") == wanted)
 
 
 def write_session_files(records: DataFrame, path: str, key_col: str = "session_id") -> None:

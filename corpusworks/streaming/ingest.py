@@ -15,14 +15,18 @@ from corpusworks import constants as K
 from corpusworks.operators.kbstore import KnowledgeBaseStore
 
 
-def _stream_base(store: KnowledgeBaseStore, kb: str, checkpoint: str) -> int:
-    got = (store.log().filter((F.col("kb") == kb) & (F.col("action") == "stream") & (F.col("name") == checkpoint))
-           .select("seq").collect())
+def _batch_seq(store: KnowledgeBaseStore, kb: str, checkpoint: str, batch_id: int) -> int:
+    """The sequence number of a micro-batch: drawn from the store's log when the
+    batch is first seen, found there again when it is replayed. No other writer
+    gets the same number, and it is above every earlier drop or delete."""
+    name = f"{checkpoint}#{batch_id}"
+    got = (store.log().filter((F.col("kb") == kb) & (F.col("action") == "stream") & (F.col("name") == name))
+           .select("seq").first())
     if got:
-        return int(got[0]["seq"])
-    base = store._next_seq() + 1_000_000  # room for this stream's batch ids
-    store._append_log(kb, "stream", checkpoint, base)
-    return base
+        return int(got["seq"])
+    seq = store._next_seq()
+    store._append_log(kb, "stream", name, seq)
+    return seq
 
 
 def ingest_stream(docs: DataFrame, store: KnowledgeBaseStore, kb: str, checkpoint: str,
@@ -32,10 +36,9 @@ def ingest_stream(docs: DataFrame, store: KnowledgeBaseStore, kb: str, checkpoin
     """Start (and with ``available_now`` finish) the ingest stream."""
     if not store.exists(kb):
         store._append_log(kb, "create", None, store._next_seq())
-    base = _stream_base(store, kb, checkpoint)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seq = base + batch_id
+        seq = _batch_seq(store, kb, checkpoint, batch_id)
         chunks = store._prepare(batch, kb, seq, size, overlap, recursive, source_col, text_col, id_col)
         (chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("kb", "ingest_seq").parquet(store.chunk_path))

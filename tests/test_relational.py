@@ -19,8 +19,9 @@ def test_preference_fixture(spark):
 
 def test_lookup_with_default(spark):
     df = spark.createDataFrame([("provider",), ("theme",), ("missing",)], "k string")
-    got = {r["k"]: r["mapped"] for r in rel.lookup_with_default(df, K.CONFIG_DEFAULTS, "k", "DEF").collect()}
-    assert got == {"provider": "Ollama (Local)", "theme": "Dark", "missing": "DEF"}
+    own = {"provider": "local", "theme": "plain"}
+    got = {r["k"]: r["mapped"] for r in rel.lookup_with_default(df, own, "k", "DEF").collect()}
+    assert got == {"provider": "local", "theme": "plain", "missing": "DEF"}
     table = spark.createDataFrame([("theme", "Light")], "k string, v string")
     got = {r["k"]: r["mapped"] for r in rel.lookup_table_with_default(df, table, "k", "v", "?").collect()}
     assert got == {"provider": "?", "theme": "Light", "missing": "?"}
