@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusworks.llm.bpe_codec import _schema, _with
+from corpusworks.llm.common import keep
 
 SAMPLE = 8_000          # documents that train the scorer
 LABELLED = 40_000       # labelled documents that give the word lists
@@ -131,7 +132,8 @@ def word_lists(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> li
     chosen = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
-    rows = body.join(chosen, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)))
+    rows = body.join(F.broadcast(chosen), "doc_id").withColumn(   # at most LABELLED ids
+        "half", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2)))
 
     def split(batches):
         for b in batches:
@@ -145,9 +147,10 @@ def word_lists(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> li
             yield pa.RecordBatch.from_arrays([pa.array(half, pa.int64()), pa.array(bad, pa.int32()),
                                               pa.array(words, pa.string())], names=["half", "bad", "word"])
 
-    counted = (rows.select("half", F.col("toxic").cast("int").alias("toxic"), "body")
-               .mapInArrow(split, "half long, bad int, word string")
-               .groupBy("half", "word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("fine")))
+    counted = keep(rows.select("half", F.col("toxic").cast("int").alias("toxic"), "body")
+                   .mapInArrow(split, "half long, bad int, word string")
+                   .groupBy("half", "word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("fine")),
+                   "words")
     totals = {r["half"]: (r["bad"], r["fine"]) for r in counted.where("word = ''").collect()}
     lists = []
     for half in (0, 1):
