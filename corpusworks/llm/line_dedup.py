@@ -107,18 +107,24 @@ def build_filter(keys: np.ndarray) -> bytes | None:
     return f.table.tobytes() if all(f.insert(int(hi), int(lo)) for hi, lo in keys) else None
 
 
-def _postings(df: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
+def _postings(df: DataFrame, doc_id: str, text: str, least_chars: int, likely=None) -> DataFrame:
+    """One row per document and distinct key; with ``likely`` (of two arrays of key
+    halves) only of the keys for which it is true, in the same pass."""
     id_col = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
     def run(batches):
+        test = likely and likely()
         for b in batches:
             ids, digests = [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("body").to_pylist()):
                 own = set(key_hashes(t, least_chars)) - {None}
                 ids += [d] * len(own)
                 digests += own
-            k = _halves(digests)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])],
+            k, doc = _halves(digests), np.array(ids, dtype=np.int64)
+            if test:
+                yes = test(k[:, 0], k[:, 1])
+                k, doc = k[yes], doc[yes]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(k[:, 0]), pa.array(k[:, 1])],
                                              names=["doc", "hi", "lo"])
 
     return df.select(id_col.alias("doc"), F.col(text).alias("body")).mapInArrow(run, "doc long, hi long, lo long")
@@ -158,21 +164,22 @@ class LineIndex:
         filters = self.spark.sparkContext.broadcast({r[0]: r[1] for r in made.collect()})   # bounded, see above
         least = self.least_chars
 
-        def probe(batches):
+        def probe():
             known = {s: f and CuckooFilter(0, np.frombuffer(f, np.uint16).reshape(-1, SLOTS))
                      for s, f in filters.value.items()}
-            for b in batches:
-                hi, lo, doc = (b.column(i).to_numpy() for i in (1, 2, 0))
+
+            def known_to_filter(hi, lo):
                 yes = np.zeros(len(hi), bool)
                 own = hi % SHARDS
                 for s in np.unique(own).tolist():
                     if s in known:
                         at = own == s
                         yes[at] = True if known[s] is None else known[s].contains(hi[at], lo[at])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[yes]), pa.array(hi[yes]), pa.array(lo[yes])],
-                                                 names=["doc", "hi", "lo"])
+                return yes
+
+            return known_to_filter
 
-        likely = _postings(docs, doc_id, text, least).mapInArrow(probe, "doc long, hi long, lo long")
+        likely = _postings(docs, doc_id, text, least, probe)
         gone = (likely.join(common, ["hi", "lo"]).where("doc <> last_doc").distinct()
                 .groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("gone")))
         link, lost = free_name(docs, "line_doc"), free_name(docs, "line_gone")
