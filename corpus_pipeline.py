@@ -51,8 +51,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer_files()
-    coded = bpe_codec.encode(docs, "text", path, pattern)
-    checked = bpe_codec.decode(coded, "ids", path, pattern)
+    checked = bpe_codec.round_trip(docs, "text", path, pattern)
     whole = F.coalesce("text", F.lit("")) == F.col("text_decoded")
     return checked.select("doc_id", "n_tokens", "ids", whole.alias("round_trip"))
 

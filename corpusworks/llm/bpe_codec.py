@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 
 TABLE_SIZE = 300_000        # pieces a worker remembers
 CALL_SIZE = 4_000           # pieces in one call of the tokenizer
+ENCODED = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+DECODED = [T.StructField("raw", T.BinaryType()), T.StructField("text_decoded", T.StringType())]
 _RUN = re.compile(r"\A\s|\s\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -158,10 +160,14 @@ def encode(df: DataFrame, text: str, rank_path: str, pattern: str, with_offsets:
     """``df`` with ``ids`` (binary: packed ids) and ``n_tokens`` (long); with
     ``with_offsets`` also ``token_starts`` and ``token_ends`` (characters)."""
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(rank_path), pattern))
-    added = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    added = list(ENCODED)
     if with_offsets:
         added += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("token_starts", "token_ends")]
 
+    return df.mapInArrow(_encoder(spec, text, with_offsets), _schema(df, added))
+
+
+def _encoder(spec, text: str, with_offsets: bool = False):
     def run(batches):
         c = codec(spec.value)
         for b in batches:
@@ -174,15 +180,17 @@ def encode(df: DataFrame, text: str, rank_path: str, pattern: str, with_offsets:
                 cols["token_ends"] = pa.array([e.tolist() for _, e in both], pa.list_(pa.int64()))
             yield _with(b, cols)
 
-    return df.mapInArrow(run, _schema(df, added))
+    return run
 
 
 def decode(df: DataFrame, ids: str, rank_path: str, pattern: str) -> DataFrame:
     """``df`` with ``raw`` (binary: the bytes of the ids) and ``text_decoded``
     (string; bytes that are no UTF-8 become U+FFFD). Null ids decode to no bytes."""
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(rank_path), pattern))
-    added = [T.StructField("raw", T.BinaryType()), T.StructField("text_decoded", T.StringType())]
+    return df.mapInArrow(_decoder(spec, ids), _schema(df, DECODED))
+
 
+def _decoder(spec, ids: str):
     def run(batches):
         c = codec(spec.value)
         for b in batches:
@@ -190,4 +198,12 @@ def decode(df: DataFrame, ids: str, rank_path: str, pattern: str) -> DataFrame:
             yield _with(b, {"raw": pa.array(raw, pa.binary()),
                             "text_decoded": pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())})
 
-    return df.mapInArrow(run, _schema(df, added))
+    return run
+
+
+def round_trip(df: DataFrame, text: str, rank_path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one pass over the batches: a task
+    needs one worker and one tokenizer instead of two."""
+    spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(rank_path), pattern))
+    encoded, decoded = _encoder(spec, text), _decoder(spec, "ids")
+    return df.mapInArrow(lambda batches: decoded(encoded(batches)), _schema(df, ENCODED + DECODED))
