@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusworks.session import ensure_checkpoint_dir, scratch_dir, ship_package
 
-# Rows of one Arrow batch: texts can be long, so a batch stays in the tens of MB.
-ARROW_ROWS = 1000
+# Bounds of one Arrow batch: rows, and bytes (a batch ends with the row that reaches them),
+# as texts and packed sets can be long.
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -16,6 +17,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

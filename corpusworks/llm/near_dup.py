@@ -93,7 +93,7 @@ def _describe(batches):
             sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             size.append(len(s))
             sig.append(minwise(s).tobytes() if len(s) else None)
-        if len(known) > 1_000_000:
+        if len(known) > 200_000:
             known.clear()
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sid, pa.binary()), pa.array(size, pa.int64()),
                                           pa.array(sig, pa.binary())], names=["doc", "sid", "n", "sig"])
@@ -279,6 +279,8 @@ def _full_sets(batches):
     known = _Hashes()
     for b in batches:
         sets = [shingle_set(t, known) for t in b.column("body").to_pylist()]
+        if len(known) > 200_000:
+            known.clear()
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                                           pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "x"])
 

@@ -38,6 +38,7 @@ SAMPLE = 8_000          # documents that train the scorer
 LABELLED = 40_000       # labelled documents that give the word lists
 LIST_SIZE = 200         # words in a list
 FEATURES = 1 << 18
+REMEMBERED = 100_000    # words whose feature number a task remembers
 EPOCHS, STEP, LASSO = 12, 0.5, 1e-4
 JUNK = ("symbols", "shouting", "bangs", "bars", "echo", "variety")
 ABUSE = ("list_a", "list_b", "either_list")
@@ -207,6 +208,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 words, shares, v = look(t or "")
                 rows.append(features(shares, words, seen).astype("<i4").tobytes())
                 ys.append(list(posterior(v)))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ys, pa.list_(pa.float64()))],
                                              names=["f", "y"])
 
@@ -229,7 +232,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 marks = [1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -30, 30))) if len(words) else 0.0
                          for w, bias in heads.value]
                 out.append([*posterior(v), *marks])
-                if len(seen) > 500_000:
+                if len(seen) > REMEMBERED:
                     seen.clear()
             cols = np.array(out, float).reshape(-1, 4)
             yield _with(b, {**{n: pa.array(cols[:, i]) for i, n in enumerate(names)},
