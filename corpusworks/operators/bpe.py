@@ -19,6 +19,8 @@ counting and rewriting stay on the executors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,27 +36,21 @@ def byte_symbols(col) -> F.Column:
     return F.trim(F.regexp_replace(h, "(..)", "$1 "))
 
 
-def bytes_to_unicode() -> dict[int, str]:
-    """Byte-level display alphabet: printable Latin-1 bytes map to themselves,
-    the others to code points from 256 upward in byte order (a rule, not a
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level display alphabet: visible Latin-1 characters stand for their
+    own byte, the other bytes follow from code point 256 upward (a rule, not a
     table)."""
-    keep = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
-    out, extra = {}, 0
-    for b in range(256):
-        if b in keep:
-            out[b] = chr(b)
-        else:
-            out[b] = chr(256 + extra)
-            extra += 1
-    return out
+    visible = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    hidden = sorted(set(range(256)) - visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-_B2U = bytes_to_unicode()
+_ALPHABET = byte_alphabet()
 
 
 def display(symbol_hex: str) -> str:
     """Byte-level string of a hex symbol ('c3a9' -> 'Ã©')."""
-    return "".join(_B2U[b] for b in bytes.fromhex(symbol_hex))
+    return "".join(_ALPHABET[b] for b in bytes.fromhex(symbol_hex))
 
 
 def _pairs(words: DataFrame) -> DataFrame:
@@ -160,24 +156,18 @@ LOCAL_MAX_SYMBOLS = 60_000_000    # total byte symbols of those words
 
 
 def _merge_word(syms: tuple, left, right, merged=None) -> tuple:
-    """Merge every (left, right) occurrence, left to right, non-overlapping."""
-    merged = left + right if merged is None else merged
-    out: list = []
-    i, n = 0, len(syms)
-    while i < n:
-        try:
-            j = syms.index(left, i)
-        except ValueError:
-            out.extend(syms[i:])
-            break
-        if j + 1 < n and syms[j + 1] == right:
-            out.extend(syms[i:j])
-            out.append(merged)
-            i = j + 2
+    """Merge every (left, right) occurrence, left to right, non-overlapping: a
+    fold that closes a pair as soon as its right symbol follows a left one."""
+    new = left + right if merged is None else merged
+
+    def step(done: list, sym):
+        if sym == right and done and done[-1] == left:
+            done[-1] = new
         else:
-            out.extend(syms[i:j + 1])
-            i = j + 1
-    return tuple(out)
+            done.append(sym)
+        return done
+
+    return tuple(reduce(step, syms, []))
 
 
 def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequency: int):
@@ -307,8 +297,35 @@ def merges_frame(spark: SparkSession, merges) -> DataFrame:
                                  "rank int, left string, right string, n long")
 
 
+def apply_merges(words: DataFrame, merges) -> DataFrame:
+    """word, syms of any distinct words (column ``word``), seen in training or not:
+    the earliest learnt merge that applies goes first. The merge list travels with
+    the tasks; its length is bounded by the vocabulary size."""
+    import pandas as pd
+    ranks = {(left, right): rank for rank, left, right, _ in merges}
+
+    def merged(word: str) -> str:
+        syms = tuple(f"{b:02x}" for b in word.encode("utf-8"))
+        while known := [p for p in zip(syms, syms[1:]) if p in ranks]:
+            syms = _merge_word(syms, *min(known, key=ranks.__getitem__))
+        return " ".join(syms)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"word": pdf["word"], "syms": [merged(w) for w in pdf["word"]]})
+
+    return words.select("word").mapInPandas(run, "word string, syms string")
+
+
+def encode_new_texts(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, merges,
+                     unk_id: int = 1, pattern: str = PRETOKEN_PATTERN) -> DataFrame:
+    """C9 for texts that training has not seen: id, pos, token_id."""
+    words = word_counts(docs.select(text_col), text_col, pattern)
+    return encode_texts(docs, id_col, text_col, encode_words(apply_merges(words, merges), vocab, unk_id), pattern, unk_id)
+
+
 def encode_words(final_words: DataFrame, vocab: DataFrame, unk_id: int = 1) -> DataFrame:
-    """C9 for the training words: word -> ids (unknown symbol -> <unk>).
+    """C9 for words with their symbols: word -> ids (unknown symbol -> <unk>).
     Each distinct word is encoded once; callers join on ``word``."""
     sym = final_words.select("word", F.posexplode(F.split("syms", " ")).alias("k", "symbol"))
     v = vocab.filter(F.col("symbol").isNotNull()).select("symbol", "id")
@@ -319,12 +336,14 @@ def encode_words(final_words: DataFrame, vocab: DataFrame, unk_id: int = 1) -> D
 
 
 def encode_texts(docs: DataFrame, id_col: str, text_col: str, word_ids: DataFrame,
-                 pattern: str = PRETOKEN_PATTERN) -> DataFrame:
+                 pattern: str = PRETOKEN_PATTERN, unk_id: int = 1) -> DataFrame:
     """C9 over documents: id, pos, token_id (position in the document's
-    token sequence). Words are encoded once (distinct) and joined back."""
+    token sequence). Words are encoded once (distinct) and joined back; a word
+    that ``word_ids`` lacks becomes one <unk>."""
     w = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), 0))
                     .alias("wpos", "word"))
-    j = w.join(word_ids, "word").select(id_col, "wpos", F.posexplode("ids").alias("k", "token_id"))
+    ids = F.coalesce("ids", F.array(F.lit(unk_id)))
+    j = w.join(word_ids, "word", "left").select(id_col, "wpos", F.posexplode(ids).alias("k", "token_id"))
     # position inside the document = tokens of the words before it + k, from a
     # distributed prefix sum (a huge document is spread over partitions)
     wl = j.groupBy(id_col, "wpos").agg(F.count(F.lit(1)).alias("_len"))
@@ -342,4 +361,4 @@ def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: in
 
 
 __all__ = ["train_bpe", "vocabulary", "merges_frame", "encode_words", "encode_texts", "train_from_documents",
-           "byte_symbols", "display", "bytes_to_unicode", "T"]
+           "byte_symbols", "display", "byte_alphabet", "apply_merges", "encode_new_texts", "T"]

@@ -8,6 +8,10 @@ U7 exposes C1 as a SQL table function.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,65 +79,36 @@ def chunk_id(*cols) -> Column:
 
 # --------------------------------------------------------------------- C1
 
-def _merge_pieces(pieces: list[tuple[int, str]], sep: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """Greedy packing of (offset, piece) joined by ``sep`` into chunks of
-    <= size; a new chunk starts with the longest tail of whole pieces <=
-    overlap that still leaves room for the next piece. Chunks are stripped;
-    offsets follow the text."""
-    out: list[tuple[int, str]] = []
-    cur: list[tuple[int, str]] = []
-    total = 0
-    sl = len(sep)
-
-    def emit():
-        raw = sep.join(p for _, p in cur)
-        text = raw.strip()
-        if text:
-            out.append((cur[0][0] + (len(raw) - len(raw.lstrip())), text))
-
-    for off, p in pieces:
-        plen = len(p)
-        if cur and total + sl + plen > size:
-            emit()
-            while cur and (total > overlap or total + sl + plen > size):
-                total -= len(cur[0][1]) + (sl if len(cur) > 1 else 0)
-                cur.pop(0)
-        total += plen + (sl if cur else 0)
-        cur.append((off, p))
-    if cur:
-        emit()
-    return out
-
-
-def _split_recursive(text: str, base: int, size: int, overlap: int, seps: list[str]) -> list[tuple[int, str]]:
-    sep, rest = seps[-1], []
-    for i, s_ in enumerate(seps):
-        if s_ == "" or s_ in text:
-            sep, rest = s_, seps[i + 1:]
-            break
-    if sep:
-        pieces, pos = [], 0
-        for p in text.split(sep):
-            pieces.append((base + pos, p))
-            pos += len(p) + len(sep)
-    else:
-        pieces = [(base + i, c) for i, c in enumerate(text)]
-    out: list[tuple[int, str]] = []
-    small: list[tuple[int, str]] = []
-    for off, p in pieces:
-        if len(p) <= size:
-            small.append((off, p))
-            continue
-        if small:
-            out.extend(_merge_pieces(small, sep, size, overlap))
-            small = []
-        if rest:
-            out.extend(_split_recursive(p, off, size, overlap, rest))
+def _packed(starts, ends, first: int, last: int, size: int, overlap: int):
+    """Spans over the pieces first..last, each as many whole pieces as fit into
+    ``size``. The next span starts with the earliest piece that leaves at most
+    ``overlap`` shared characters and room for the piece after the span."""
+    while first <= last:
+        stop = max(first, bisect_right(ends, starts[first] + size, first, last + 1) - 1)
+        yield starts[first], ends[stop]
+        if stop == last:
+            return
+        least = max(ends[stop] - overlap, ends[stop + 1] - size)
+        first = bisect_left(starts, least, first + 1, stop + 1)
+
+
+def _spans(text: str, lo: int, hi: int, size: int, overlap: int, seps: list[str]):
+    """Chunk spans of text[lo:hi]: pieces between the coarsest separator in it
+    are packed; a piece above ``size`` is cut by the finer separators."""
+    level = next((i for i, sep in enumerate(seps) if text.find(sep, lo, hi) >= 0), len(seps) - 1)
+    sep, finer = seps[level], seps[level + 1:]
+    if not sep:
+        yield from _packed(range(lo, hi), range(lo + 1, hi + 1), 0, hi - lo - 1, size, overlap)
+        return
+    at = [m.start() for m in re.compile(re.escape(sep)).finditer(text, lo, hi)]
+    starts, ends = [lo, *(i + len(sep) for i in at)], [*at, hi]
+    for fits, run in groupby(range(len(starts)), lambda i: ends[i] - starts[i] <= size):
+        own = list(run)
+        if fits:
+            yield from _packed(starts, ends, own[0], own[-1], size, overlap)
         else:
-            out.append((off, p))
-    if small:
-        out.extend(_merge_pieces(small, sep, size, overlap))
-    return out
+            for i in own:
+                yield from _spans(text, starts[i], ends[i], size, overlap, finer) if finer else [(starts[i], ends[i])]
 
 
 def recursive_split(text: str | None, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
@@ -143,8 +118,12 @@ def recursive_split(text: str | None, size: int = K.CHUNK_SIZE, overlap: int = K
     check_chunk_args(size, overlap)
     if not text:
         return []
-    chunks = _split_recursive(text, 0, size, overlap, list(seps or RECURSIVE_SEPARATORS))
-    return [(i, at, c) for i, (at, c) in enumerate(chunks)]
+    out = []
+    for lo, hi in _spans(text, 0, len(text), size, overlap, list(seps or RECURSIVE_SEPARATORS)):
+        core = text[lo:hi].lstrip()
+        if core:
+            out.append((len(out), hi - len(core), core.rstrip()))
+    return out
 
 
 def recursive_chunk_udf(size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP):

@@ -29,7 +29,7 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 MAX_BLOCK_ROWS = 20_000          # queries per broadcast block
-MAX_BLOCK_BYTES = 64 * 1024 ** 2  # checked after collecting a block
+MAX_BLOCK_BYTES = 64 * 1024 ** 2  # of a block's vectors; wide vectors make more blocks
 _CELL_BUDGET = 4_000_000          # distance-matrix cells per sub-batch
 
 
@@ -122,27 +122,28 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, query_id:
     """Top-k corpus rows per query: query_id, rank (1..k), vec_id, dist.
 
     metric 'l2' = squared Euclidean distance; 'cosine' = 1 - cosine
-    similarity. Ties are broken by the smaller vec_id.
+    similarity. Ties are broken by the smaller vec_id; NULL vectors take no part.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("_v"))
-    c = corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec).alias(corpus_vec))
-    nq = q.count()
-    nblocks = max(1, math.ceil(nq / max_block_rows))
+    q = (queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("_v"))
+         .where(F.col("_v").isNotNull()))
+    c = (corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec).alias(corpus_vec))
+         .where(F.col(corpus_vec).isNotNull()))
+    nq, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
+    block_rows = max(1, min(max_block_rows, MAX_BLOCK_BYTES // (16 * max(1, width))))   # twice that by chance at most
+    nblocks = max(1, math.ceil(nq / block_rows))
     parts = []
     for b in range(nblocks):
         block = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(nblocks)) == b)
         rows = block.limit(2 * max_block_rows + 1).collect()
-        if len(rows) > 2 * max_block_rows:
+        if len(rows) > 2 * max_block_rows:   # many rows of one id
             raise RuntimeError("query block exceeds its bound; lower max_block_rows")
         if not rows:
             continue
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qmat = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in rows])
-        if qmat.nbytes > MAX_BLOCK_BYTES:
-            raise RuntimeError(f"query block of {qmat.nbytes} bytes exceeds {MAX_BLOCK_BYTES}")
         bc = spark.sparkContext.broadcast((qids, qmat))
         fn = _broadcast_runner(bc, k, metric, exclude_self, corpus_id, corpus_vec)
         parts.append(c.mapInPandas(fn, RESULT_SCHEMA))

@@ -23,9 +23,9 @@ _SQL_KNN = f"""
   nn AS (SELECT query_id, rank, vec_id, dist FROM r WHERE rank <= {K.TOP_K})"""
 
 
-def neighbours(spark, sf_dir, queries=None):
+def neighbours(spark, sf_dir):
     e = load_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = queries if queries is not None else e.select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     return knn.knn_topk(q, e, K.TOP_K, "query_id", "embedding", "vec_id", "embedding", "l2", exclude_self=True)
 
 
@@ -37,31 +37,55 @@ def j1_knn_topk(spark, sf_dir):
     return nn.select("query_id", "rank", "vec_id", F.round("dist", 6).alias("dist"))
 
 
-# questions = benchmark items; a question's vector is the embedding with the same id
+def _sql_dense(table: str, id_col: str, dim: int) -> str:
+    """DuckDB: hashed term counts -> L2-normalised dense FLOAT vector (zeros for no terms)."""
+    return f"""
+  SELECT d.{id_col} AS id,
+         list_transform(range(0, {dim}), lambda b: CASE WHEN c.norm > 0
+                        THEN (coalesce(c.m[b], 0) / c.norm)::FLOAT ELSE 0.0::FLOAT END) AS embedding
+  FROM {table} d LEFT JOIN (
+    SELECT id, map_from_entries(list(struct_pack(k := bucket, v := n))) AS m, sqrt(sum(n * n)) AS norm
+    FROM (SELECT id, bucket, count(*)::BIGINT AS n FROM (
+            SELECT {id_col} AS id,
+                   (('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))), 1, 6))::BIGINT
+                    % {dim})::INTEGER AS bucket
+            FROM {table}) GROUP BY 1, 2)
+    GROUP BY id) c ON c.id = d.{id_col}"""
+
+
+# questions = all benchmark items; context = the documents nearest by hashed embedding (cosine)
 def question_vectors(spark, sf_dir):
-    b = load_table(spark, sf_dir, "benchmark")
-    e = load_table(spark, sf_dir, "embeddings")
-    return b.join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").alias("query_id"), "embedding",
-                                                         F.col("text").alias("question"))
+    b = load_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return em.embed_hashed(b, "question")
+
+
+def nearest_documents(spark, sf_dir, questions):
+    dv = em.embed_hashed(load_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return knn.knn_topk(questions, dv.select(F.col("doc_id").alias("vec_id"), "embedding"), K.TOP_K, metric="cosine")
 
 
 def retrieved_docs(spark, sf_dir):
     qv = question_vectors(spark, sf_dir)
-    nn = neighbours(spark, sf_dir, qv.select("query_id", "embedding"))
+    nn = nearest_documents(spark, sf_dir, qv.select("query_id", "embedding"))
     d = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
     return qv, nn.join(d, "vec_id")
 
 
-_SQL_QV = """qv AS (SELECT b.item_id AS query_id, b.text AS question, e.embedding
-                    FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
-_SQL_QNN = f"""
-  d AS (SELECT q.query_id, c.vec_id,
-               list_sum(list_transform(range(1, len(q.embedding) + 1),
-                        lambda i: (q.embedding[i]::DOUBLE - c.embedding[i]::DOUBLE) ** 2)) AS dist
-        FROM qv q, embeddings c WHERE q.query_id <> c.vec_id),
-  r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, vec_id) AS rank FROM d),
-  nn AS (SELECT r.query_id, r.rank, r.vec_id, doc.text, doc.source
-         FROM r JOIN documents doc ON doc.doc_id = r.vec_id WHERE r.rank <= {K.TOP_K})"""
+_SQL_QV = "qv AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
+_SQL_NEAREST = f"""
+  q AS ({_sql_dense('benchmark', 'item_id', 64)}),
+  c AS ({_sql_dense('documents', 'doc_id', 64)}),
+  d AS (SELECT q.id AS query_id, c.id AS doc_id,
+               list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE))
+                 AS dot,
+               sqrt(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE ** 2))) *
+               sqrt(list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE ** 2))) AS den
+        FROM q, c),
+  r AS (SELECT query_id, doc_id, CASE WHEN den > 0 THEN 1.0 - dot / den ELSE 1.0 END AS dist FROM d),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM r)"""
+_SQL_QNN = f"""{_SQL_NEAREST},
+  nn AS (SELECT k.query_id, k.rank, doc.text, doc.source
+         FROM k JOIN documents doc USING (doc_id) WHERE k.rank <= {K.TOP_K})"""
 
 
 @query("p3_retrieval_prompt", f"""
@@ -94,8 +118,7 @@ def p4_answer_with_sources(spark, sf_dir):
 
 
 @query("u6_batch_generate", """
-SELECT b.item_id AS query_id, b.text AS answer, CAST(NULL AS VARCHAR) AS error
-FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""")
+SELECT item_id AS query_id, text AS answer, CAST(NULL AS VARCHAR) AS error FROM benchmark""")
 def u6_batch_generate(spark, sf_dir):
     qv, nn = retrieved_docs(spark, sf_dir)
     p = pr.retrieval_prompt(nn, qv.select("query_id", "question"))
@@ -111,22 +134,6 @@ def v1_hashed_terms(spark, sf_dir):
     return em.hashed_terms(d, "doc_id", "text", 256).select("doc_id", "bucket", F.col("n").cast("long"))
 
 
-def _sql_dense(table: str, id_col: str, dim: int) -> str:
-    """DuckDB: hashed term counts -> L2-normalised dense FLOAT vector (zeros for no terms)."""
-    return f"""
-  SELECT d.{id_col} AS id,
-         list_transform(range(0, {dim}), lambda b: CASE WHEN c.norm > 0
-                        THEN (coalesce(c.m[b], 0) / c.norm)::FLOAT ELSE 0.0::FLOAT END) AS embedding
-  FROM {table} d LEFT JOIN (
-    SELECT id, map_from_entries(list(struct_pack(k := bucket, v := n))) AS m, sqrt(sum(n * n)) AS norm
-    FROM (SELECT id, bucket, count(*)::BIGINT AS n FROM (
-            SELECT {id_col} AS id,
-                   (('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))), 1, 6))::BIGINT
-                    % {dim})::INTEGER AS bucket
-            FROM {table}) GROUP BY 1, 2)
-    GROUP BY id) c ON c.id = d.{id_col}"""
-
-
 @query("v1_embed_dense", f"SELECT id AS doc_id, embedding FROM ({_sql_dense('documents', 'doc_id', 64)})")
 def v1_embed_dense(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -134,25 +141,12 @@ def v1_embed_dense(spark, sf_dir):
 
 
 @query("j1_text_retrieval", f"""
-WITH q AS ({_sql_dense('benchmark', 'item_id', 64)}),
-     c AS ({_sql_dense('documents', 'doc_id', 64)}),
-     d AS (SELECT q.id AS query_id, c.id AS doc_id,
-                  list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * c.embedding[i]::DOUBLE))
-                    AS dot,
-                  sqrt(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE ** 2))) *
-                  sqrt(list_sum(list_transform(range(1, 65), lambda i: c.embedding[i]::DOUBLE ** 2))) AS den
-           FROM q, c),
-     r AS (SELECT query_id, doc_id, CASE WHEN den > 0 THEN 1.0 - dot / den ELSE 1.0 END AS dist FROM d),
-     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, doc_id) AS rank FROM r)
+WITH {_SQL_NEAREST}
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(dist, 6) AS dist FROM k WHERE rank <= {K.TOP_K}""")
 def j1_text_retrieval(spark, sf_dir):
     """Benchmark questions -> hashed embeddings -> top-3 documents (cosine)."""
-    b = load_table(spark, sf_dir, "benchmark")
-    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    qv = em.embed_hashed(b.select(F.col("item_id").alias("query_id"), "text"), "text")
-    dv = em.embed_hashed(d, "text").select(F.col("doc_id").alias("vec_id"), "embedding")
-    return knn.knn_topk(qv, dv, K.TOP_K, metric="cosine").select(
-        "query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("dist", 6).alias("dist"))
+    nn = nearest_documents(spark, sf_dir, question_vectors(spark, sf_dir))
+    return nn.select("query_id", "rank", F.col("vec_id").alias("doc_id"), F.round("dist", 6).alias("dist"))
 
 
 @query("v3_chunk_ids_and_sources", f"""

@@ -17,6 +17,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable
+from itertools import zip_longest
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -43,17 +44,18 @@ def _decode(content: bytes) -> str:
 
 
 def extract_csv(content: bytes) -> list[str]:
-    """One document per row: 'column: value' lines in header order."""
-    reader = csv.DictReader(io.StringIO(_decode(content), newline=""))
-    out = []
-    for row in reader:
-        lines = []
-        for k, v in row.items():
-            if isinstance(v, list):
-                v = ",".join(x.strip() for x in v)
-            lines.append(f"{k.strip() if k is not None else k}: {v.strip() if isinstance(v, str) else v}")
-        out.append("\n".join(lines))
-    return out
+    """One document per row: 'column: value' lines in header order; a missing
+    cell is empty, cells beyond the header share one line."""
+    rows = filter(None, csv.reader(io.StringIO(_decode(content), newline="")))
+    names = [n.strip() for n in next(rows, [])]
+
+    def document(cells: list[str]) -> str:
+        cells = [c.strip() for c in cells]
+        own, beyond = cells[:len(names)], cells[len(names):]
+        named = [f"{n}: {c}" for n, c in zip_longest(names, own, fillvalue="")]
+        return "\n".join(named + ["None: " + ",".join(beyond)] * bool(beyond))
+
+    return list(map(document, rows))
 
 
 def extract_json(content: bytes) -> list[str]:

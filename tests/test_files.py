@@ -119,3 +119,9 @@ def test_ingest_totals_and_gate(spark, tmp_dir):
     d2, q2 = fs.scan_documents(spark, empty)
     with pytest.raises(ValueError):
         fs.require_documents(fs.ingest_totals(d2, q2))
+
+
+def test_csv_missing_and_surplus_cells():
+    got = fs.extract_csv(b"a, b\n1\n2,3,4,5\n\n x , y \n")
+    assert got == ["a: 1\nb: ", "a: 2\nb: 3\nNone: 4,5", "a: x\nb: y"]
+    assert fs.extract_csv(b"") == []

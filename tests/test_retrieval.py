@@ -97,3 +97,16 @@ def test_user_embedder_hook(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
     got = {r["id"]: list(r["embedding"]) for r in em.embed_with(df, make_model, "text", 3).collect()}
     assert got == {1: [2.0, 1.0, 0.0], 2: [4.0, 1.0, 0.0]}
+
+
+def test_wide_queries_take_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_BLOCK_BYTES", 16 * 96 * 40)      # 40 queries of 96 numbers a block
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(300, 96)))] + [(900, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = knn.knn_topk(df.withColumnRenamed("vec_id", "query_id"), df, 2, exclude_self=True).collect()
+    mat = np.array([v for _, v in rows[:-1]])
+    dist = ((mat[:, None] - mat[None]) ** 2).sum(2)
+    np.fill_diagonal(dist, np.inf)
+    want = {(i, r + 1): int(j) for i in range(300) for r, j in enumerate(np.argsort(dist[i])[:2])}
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == want

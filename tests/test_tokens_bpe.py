@@ -10,6 +10,16 @@ TEXT = ("the cat sat on the mat. the cat ate the rat! that hat is flat; "
         "über straße café naïve the theme thesis ") * 3
 
 
+def joined(segs, a, b):
+    """Scan with an index: written apart from the code under test."""
+    out, i = [], 0
+    while i < len(segs):
+        hit = i + 1 < len(segs) and segs[i] == a and segs[i + 1] == b
+        out.append(a + b if hit else segs[i])
+        i += 2 if hit else 1
+    return tuple(out)
+
+
 def brute_bpe(words, budget, min_freq):
     segs = {w: tuple(f"{b:02x}" for b in w.encode("utf-8")) for w in words}
     merges = []
@@ -25,7 +35,7 @@ def brute_bpe(words, budget, min_freq):
         if c < min_freq:
             break
         merges.append((len(merges), a, b, c))
-        segs = {w: bpe._merge_word(s, a, b) for w, s in segs.items()}
+        segs = {w: joined(s, a, b) for w, s in segs.items()}
     return merges
 
 
@@ -54,3 +64,27 @@ def test_vocabulary_and_encoding(spark):
     seq = [by_id[r["token_id"]] for r in ids.orderBy("pos").collect()]
     assert bytes.fromhex("".join(seq)).decode("utf-8") == TEXT
     assert bpe.display("20") == "Ġ" and bpe.display("c3a9") == "Ã©"
+
+
+def test_unseen_words_are_encoded(spark):
+    docs = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
+    vocab, merges, final = bpe.train_from_documents(docs, "text", vocab_size=120)
+    by_id = {r["id"]: r["symbol"] for r in vocab.collect() if r["symbol"]}
+    new = spark.createDataFrame([(7, "thesis rat sat matter"), (8, "cat Z"), (9, "")], "doc_id long, text string")
+    got = {}
+    for r in bpe.encode_new_texts(new, "doc_id", "text", vocab, merges).orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["token_id"])
+    assert bytes.fromhex("".join(by_id[i] for i in got[7])).decode() == "thesis rat sat matter"
+    assert got[8][-1] == 1 and set(got) == {7, 8}              # "Z" is no symbol of the training texts: <unk>
+    known = {r["word"]: r["syms"] for r in final.collect()}
+    assert {r["word"]: r["syms"] for r in bpe.apply_merges(final, merges).collect()} == known
+    lost = bpe.encode_texts(new, "doc_id", "text", bpe.encode_words(final, vocab)).where("doc_id = 7")
+    assert lost.count() >= 4                                    # a word without ids becomes <unk>, none vanishes
+
+
+def test_many_merges_equal_brute_force():
+    import random
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 50) for _ in range(1500)}
+    table = [(w, n, tuple(f"{b:02x}" for b in w.encode())) for w, n in words.items()]
+    assert bpe.bpe_merges_local(table, 500, 2)[0] == brute_bpe(words, 500, 2)
