@@ -4,7 +4,8 @@ the next one's documents.
 
 1. quality: documents that the weak-label classifier rejects go.
 2. lines: lines repeated in many documents stay in the last of them only.
-3. near_duplicates: one document of each group of near copies stays.
+3. near_duplicates: one document of each group of near copies (five-word
+   similarity of 0.8 or more) stays.
 4. decontamination: documents that hold a benchmark item go.
 5. tokens: byte-level BPE ids, decoded back as a check.
 
@@ -23,6 +24,8 @@ from corpusworks.llm import bpe_codec, decontaminate, line_dedup, near_dup, qual
 from corpusworks.llm.common import free_name, keep, scratch_dir, table
 from corpusworks.llm.queries import tokenizer_files
 
+NEAR_PERCENT = 80           # five-word similarity from which the pipeline takes documents as copies
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
@@ -36,7 +39,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = (near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
+    gone = (near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     place = free_name(docs, "place")
     once = Window.partitionBy("doc_id").orderBy("text")

@@ -5,7 +5,7 @@ A document's set holds its distinct five-word shingles. Equal sets are one
 independent trees branch the classes recursively: a node picks one or two token
 positions (1 / similarity on average, from a hash of the node), and classes with
 the same token there form a child. Similar sets stay together on some path with
-good chance at every depth, unlike ones part quickly. Nodes of at most NODE
+good chance at every depth, unlike ones part quickly. Nodes of at most Nodes of at most NODE
 classes are compared exhaustively. A node that is still large DEPTHS levels
 below a large one holds sets that are mostly alike. Its members are compared
 with one pivot; unless that puts all of them in one component (further links
@@ -14,9 +14,8 @@ chunks are compared pairwise with one another: intersections of two chunks are
 one matrix product, and a chunk pair returns only links that join components,
 at most one per member. Nothing is capped or dropped.
 
-Candidate pairs of small nodes and pivots are sifted by token agreement (SIFT,
-about five standard deviations below the threshold) and confirmed on the full
-sets. Components come from alternating stars over the confirmed links.
+Candidate pairs of small nodes and pivots are sifted by token agreement (about
+five standard deviations below the threshold) and confirmed on the full sets. Components come from alternating stars over the confirmed links.
 
 Defined cases: null or empty text (no word) = empty set, linked with nothing,
 its own component; fewer than five words = one shingle of all of them; rows
@@ -26,6 +25,7 @@ rows of their own; whole texts are read; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -37,10 +37,9 @@ from pyspark.sql import functions as F
 from corpusworks.llm.common import keep
 from corpusworks.llm.components import components
 
-WORDS, PERCENT = 5, 85
+WORDS, PERCENT = 5, 85      # PERCENT: similarity of op4, the default threshold
 POSITIONS, TREES, NODE = 64, 10, 24
 DEPTHS = (2, 4, 8)          # levels below a large node whose children are counted
-SIFT = 0.62
 CHUNK_ROWS, CHUNK_SHINGLES = 256, 100_000
 COLUMNS = 16_384            # shingles of one matrix product
 
@@ -99,19 +98,25 @@ def _describe(batches):
                                           pa.array(sig, pa.binary())], names=["doc", "sid", "n", "sig"])
 
 
-def _choices(node: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def sift_share(percent: int) -> float:
+    """Share of equal tokens that a pair at the threshold misses by five standard deviations only."""
+    p = percent / 100
+    return p - 5 * math.sqrt(p * (1 - p) / POSITIONS)
+
+
+def _choices(node: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows that branch, token position) of the first and second child of each node."""
     r = _mix(node ^ np.uint64(0x9E3779B97F4A7C15))
-    more = (r >> np.uint64(40)).astype(np.float64) / float(1 << 24) < 100 / PERCENT - 1
+    more = (r >> np.uint64(40)).astype(np.float64) / float(1 << 24) < 100 / percent - 1
     first = (r & np.uint64(0xFFFF)).astype(np.int64) % POSITIONS
     second = ((r >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64) % POSITIONS
     return [(np.arange(len(node)), first), (np.flatnonzero(more), second[more])]
 
 
-def _children(node: np.ndarray, sig: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(node: np.ndarray, sig: np.ndarray, row: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Child nodes of (node, row of sig) pairs: nodes and rows of sig."""
     nodes, rows = [], []
-    for at, position in _choices(node):
+    for at, position in _choices(node, percent):
         token = sig[row[at], position].astype(np.uint64)
         nodes.append(_mix(node[at] + _mix(token + (position.astype(np.uint64) << np.uint64(32)))))
         rows.append(row[at])
@@ -122,44 +127,53 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, POSITIONS)
 
 
-def _plant(batches):
+def _plant(percent: int):
     """First level of every tree."""
-    for b in batches:
-        sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
-        for tree in range(TREES):
-            root = np.full(len(sig), tree + 1, dtype=np.uint64)
-            node, row = _children(root, sig, np.arange(len(sig)))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sid.take(take), n.take(take)],
-                                             names=["node", "sid", "n"])
-
-
-def _grow(batches):
-    """Nodes at DEPTHS levels below each row's node."""
-    for b in batches:
-        sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
-        node, row = b.column("node").to_numpy().view(np.uint64), np.arange(len(sig))
-        for depth in range(1, DEPTHS[-1] + 1):
-            node, row = _children(node, sig, row)
-            if depth in DEPTHS:
+    def run(batches):
+        for b in batches:
+            sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
+            for tree in range(TREES):
+                root = np.full(len(sig), tree + 1, dtype=np.uint64)
+                node, row = _children(root, sig, np.arange(len(sig)), percent)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.view(np.int64)), sid.take(take), n.take(take),
-                     pa.array(np.full(len(row), depth, dtype=np.int32))], names=["node", "sid", "n", "depth"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), sid.take(take), n.take(take)],
+                                                 names=["node", "sid", "n"])
 
+    return run
 
-def _pairs_of(batches):
+
+def _grow(percent: int):
+    """Nodes at DEPTHS levels below each row's node."""
+    def run(batches):
+        for b in batches:
+            sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
+            node, row = b.column("node").to_numpy().view(np.uint64), np.arange(len(sig))
+            for depth in range(1, DEPTHS[-1] + 1):
+                node, row = _children(node, sig, row, percent)
+                if depth in DEPTHS:
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node.view(np.int64)), sid.take(take), n.take(take),
+                         pa.array(np.full(len(row), depth, dtype=np.int32))], names=["node", "sid", "n", "depth"])
+
+    return run
+
+
+def _pairs_of(percent: int):
     """All pairs of a small node whose sizes allow the similarity."""
-    for b in batches:
-        a, c = [], []
-        for members in b.column("members").to_pylist():
-            members.sort(key=lambda m: m["sid"])
-            for i, x in enumerate(members):
-                for y in members[i + 1:]:
-                    if x["sid"] != y["sid"] and 100 * min(x["n"], y["n"]) >= PERCENT * max(x["n"], y["n"]):
-                        a.append(x["sid"])
-                        c.append(y["sid"])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
+    def run(batches):
+        for b in batches:
+            a, c = [], []
+            for members in b.column("members").to_pylist():
+                members.sort(key=lambda m: m["sid"])
+                for i, x in enumerate(members):
+                    for y in members[i + 1:]:
+                        if x["sid"] != y["sid"] and 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"]):
+                            a.append(x["sid"])
+                            c.append(y["sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -168,20 +182,20 @@ def _sized(rows: DataFrame) -> DataFrame:
     return keep(rows.join(sizes, "node"), "members")
 
 
-def _small_pairs(members: DataFrame) -> DataFrame:
+def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
     lists = (members.where(F.col("size") <= NODE).groupBy("node")
              .agg(F.collect_list(F.struct("sid", "n")).alias("members")))     # at most NODE rows each
-    return lists.select("members").mapInArrow(_pairs_of, "a binary, b binary")
+    return lists.select("members").mapInArrow(_pairs_of(percent), "a binary, b binary")
 
 
-def _pivot_pairs(large: DataFrame) -> DataFrame:
+def _pivot_pairs(large: DataFrame, percent: int) -> DataFrame:
     """Every member of a large node with the node's pivot: the member of least hash,
     so nodes with the same members mostly agree on it."""
     pivots = keep(large.groupBy("node").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("p"))
                   .select("node", F.col("p.sid").alias("p"), F.col("p.n").alias("pn")), "pivots")
     return (large.join(pivots, "node")
             .where((F.col("sid") != F.col("p"))
-                   & (100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")))
+                   & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
             .select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")))
 
 
@@ -203,12 +217,12 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def joining_links(left: list[dict], right: list[dict]) -> list[tuple[bytes, bytes]]:
+def joining_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
     """Links between members (sid, root, x) of two chunks that join components."""
     sets = [[np.frombuffer(m["x"], np.uint64) for m in side] for side in (left, right)]
     sizes = [np.array([len(x) for x in side], dtype=float) for side in sets]
     common = common_counts(*sets)
-    near = 100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)
+    near = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
     parent: dict[bytes, bytes] = {}
 
     def top(r: bytes) -> bytes:
@@ -225,15 +239,19 @@ def joining_links(left: list[dict], right: list[dict]) -> list[tuple[bytes, byte
     return links
 
 
-def _compare_chunks(batches):
-    for b in batches:
-        for i in range(len(b)):
-            links = joining_links(b.column("ma")[i].as_py(), b.column("mb")[i].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()),
-                                              pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+def _compare_chunks(percent: int):
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                links = joining_links(b.column("ma")[i].as_py(), b.column("mb")[i].as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()),
+                                                  pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
 
+    return run
 
-def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+
+def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame,
+                 percent: int) -> DataFrame:
     """Links inside large nodes that are not yet in one component."""
     tagged = keep(large.join(roots, large["sid"] == roots["of"], "left")
                   .select("node", "sid", "n", F.coalesce("root", "sid").alias("root")), "tagged")
@@ -255,24 +273,32 @@ def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: D
     one = chunks.select("node", F.col("chunk").alias("ca"), F.col("m").alias("ma"))
     two = chunks.select("node", F.col("chunk").alias("cb"), F.col("m").alias("mb"))
     return pairs.join(one, ["node", "ca"]).join(two, ["node", "cb"]).select("ma", "mb") \
-        .mapInArrow(_compare_chunks, "a binary, b binary")
+        .mapInArrow(_compare_chunks(percent), "a binary, b binary")
 
 
-def _sift(batches):
-    for b in batches:
-        alike = (_matrix(b.column("sa")) == _matrix(b.column("sb"))).mean(1) >= SIFT
-        t = b.select(["a", "b"])
-        yield t.filter(pa.array(alike))
+def _sift(percent: int):
+    least = sift_share(percent)
 
+    def run(batches):
+        for b in batches:
+            alike = (_matrix(b.column("sa")) == _matrix(b.column("sb"))).mean(1) >= least
+            t = b.select(["a", "b"])
+            yield t.filter(pa.array(alike))
 
-def _confirm(batches):
-    for b in batches:
-        good = []
-        for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("xa").to_pylist(), b.column("xb").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _full_sets(batches):
@@ -293,41 +319,43 @@ def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return keep(found.dropDuplicates(["sid"]), "sets")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     sig = classes.select("sid", "sig")
     sifted = keep(pairs.distinct().join(sig.select(F.col("sid").alias("a"), F.col("sig").alias("sa")), "a")
                   .join(sig.select(F.col("sid").alias("b"), F.col("sig").alias("sb")), "b")
-                  .select("a", "b", "sa", "sb").mapInArrow(_sift, "a binary, b binary"), "sifted")
+                  .select("a", "b", "sa", "sb").mapInArrow(_sift(percent), "a binary, b binary"), "sifted")
     wanted = sifted.select(F.col("a").alias("sid")).unionAll(sifted.select(F.col("b").alias("sid"))).distinct()
     sets = _sets_of(wanted, classes, docs)
     return keep(sifted.join(sets.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a")
                 .join(sets.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
-                .select("a", "b", "xa", "xb").mapInArrow(_confirm, "a binary, b binary"), "links")
+                .select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    percent: int = PERCENT) -> DataFrame:
     """Per row of ``df``: doc_id, n_shingles, component_id (smallest id reachable
-    over links, its own included), kept."""
+    over links of a similarity of ``percent`` or more, its own included), kept."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     rows = keep(docs.mapInArrow(_describe, "doc long, sid binary, n long, sig binary"), "rows")
     classes = keep(rows.where("doc IS NOT NULL AND n > 0").groupBy("sid")
                    .agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
-    planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant, "node long, sid binary, n long"))
+    planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant(percent), "node long, sid binary, n long"))
     large = planted.where(F.col("size") > NODE).join(classes.select("sid", "sig"), "sid")
     grown = _sized(large.select("node", "sid", "n", "sig")
-                   .mapInArrow(_grow, "node long, sid binary, n long, depth int"))
+                   .mapInArrow(_grow(percent), "node long, sid binary, n long, depth int"))
     dense = keep(grown.where((F.col("size") > NODE) & (F.col("depth") == DEPTHS[-1])).select("node", "sid", "n"),
                  "dense")
-    links = _links(_small_pairs(planted).unionAll(_small_pairs(grown)).unionAll(_pivot_pairs(dense)), classes, docs)
+    links = _links(_small_pairs(planted, percent).unionAll(_small_pairs(grown, percent))
+                   .unionAll(_pivot_pairs(dense, percent)), classes, docs, percent)
 
     def roots_of(edges: DataFrame) -> DataFrame:
         return keep(components(edges).select(F.col("node").alias("of"), "root"), "roots")
 
     roots = roots_of(links)
     if not dense.isEmpty():
-        roots = roots_of(links.unionAll(keep(_dense_links(dense, roots, classes, docs), "dense_links")))
+        roots = roots_of(links.unionAll(keep(_dense_links(dense, roots, classes, docs, percent), "dense_links")))
 
     class_root = classes.join(roots, classes["sid"] == roots["of"], "left").select(
         "sid", "first", F.coalesce("root", "sid").alias("root"))

@@ -138,7 +138,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ 4 near-duplicates
 @query("op4_near_dup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=near_dup.PERCENT)
 
 
 # ------------------------------------------------------------------ 2 decontamination

@@ -2,7 +2,7 @@
 
 
 import corpus_pipeline as P
-from corpusworks.llm import common
+from corpusworks.llm import common, near_dup
 from test_llm_operators import prose
 
 
@@ -40,3 +40,20 @@ def test_stages_keep_clean_documents(spark, tmp_path):
             assert held == {5}
     assert now.where("NOT round_trip").count() == 0
     assert {x["doc_id"] for x in P.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_near_duplicate_stage_takes_pairs_from_0_80(spark, tmp_path):
+    common.prepare(spark)
+    texts = {}
+    for d in range(0, 40, 2):                                   # 200 words: 177 of 215 shingles shared, 0.823
+        own = [f"w{d}x{i}" for i in range(200)]
+        texts[d] = " ".join(own)
+        texts[d + 1] = " ".join(own[:181] + [f"v{d}x{i}" for i in range(19)])
+    for d in range(40, 60, 2):                                  # 174 of 218: 0.798
+        own = [f"w{d}x{i}" for i in range(200)]
+        texts[d] = " ".join(own)
+        texts[d + 1] = " ".join(own[:178] + [f"v{d}x{i}" for i in range(22)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {x["doc_id"] for x in P.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(range(0, 40, 2)) | set(range(40, 60))
+    assert all(x["kept"] for x in near_dup.near_duplicates(docs).collect())         # op4 keeps its 0.85
