@@ -10,18 +10,19 @@ the next one's documents.
 5. tokens: byte-level BPE ids, decoded back as a check.
 
 Rows with a null id can't be told apart and stay as they are in stages that
-decide by id. Rows that repeat an id share its decision in stage 4; in stage 3
-one row of them stays. SQL can't express the classifier, so there is no SQL
-twin; tests/llm holds each stage against a brute-force version.
+decide by id. Rows that repeat an id share its decision in stage 4; stage 3
+decides by id and text, so only rows go whose own text is a copy. SQL can't
+express the classifier, so there is no SQL twin; tests/llm holds each stage
+against a brute-force version.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusworks.llm import bpe_codec, decontaminate, line_dedup, near_dup, quality
-from corpusworks.llm.common import free_name, keep, scratch_dir, table
+from corpusworks.llm.common import keep, scratch_dir, table
 from corpusworks.llm.queries import tokenizer_files
 
 NEAR_PERCENT = 80           # five-word similarity from which the pipeline takes documents as copies
@@ -39,12 +40,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = (near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    place = free_name(docs, "place")
-    once = Window.partitionBy("doc_id").orderBy("text")
-    return (kept.withColumn(place, F.row_number().over(once))
-            .where((F.col(place) == 1) | F.col("doc_id").isNull()).drop(place))
+    return near_dup.without_copies(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusworks.llm.common import keep
+from corpusworks.llm.common import free_name, keep
 from corpusworks.llm.components import components
 
 WORDS, PERCENT = 5, 85      # PERCENT: similarity of op4, the default threshold
@@ -92,10 +92,12 @@ def _describe(batches):
             sid.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             size.append(len(s))
             sig.append(minwise(s).tobytes() if len(s) else None)
+        own = [b.column("doc"), b.column("text_key")] if "text_key" in b.schema.names else [b.column("doc")]
         if len(known) > 200_000:
             known.clear()
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sid, pa.binary()), pa.array(size, pa.int64()),
-                                          pa.array(sig, pa.binary())], names=["doc", "sid", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([*own, pa.array(sid, pa.binary()), pa.array(size, pa.int64()),
+                                          pa.array(sig, pa.binary())],
+                                         names=["doc", "text_key"][:len(own)] + ["sid", "n", "sig"])
 
 
 def sift_share(percent: int) -> float:
@@ -332,14 +334,14 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
                 .select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                    percent: int = PERCENT) -> DataFrame:
-    """Per row of ``df``: doc_id, n_shingles, component_id (smallest id reachable
-    over links of a similarity of ``percent`` or more, its own included), kept."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
-    rows = keep(docs.mapInArrow(_describe, "doc long, sid binary, n long, sig binary"), "rows")
+def _labelled(docs: DataFrame, percent: int, key: str = "") -> tuple[DataFrame, DataFrame]:
+    """rows (doc, what ``key`` declares, sid, n, sig) of docs (doc, body, key), and labelled
+    (sid, head: the component's smallest doc and key)."""
+    rows = keep(docs.mapInArrow(_describe, f"doc long, {key}sid binary, n long, sig binary"), "rows")
+    head = F.struct(*[c for c in rows.columns if c in ("doc", "text_key")])
     classes = keep(rows.where("doc IS NOT NULL AND n > 0").groupBy("sid")
-                   .agg(F.min("doc").alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+                   .agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+                   .withColumn("first", F.col("head.doc")), "classes")
 
     planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant(percent), "node long, sid binary, n long"))
     large = planted.where(F.col("size") > NODE).join(classes.select("sid", "sig"), "sid")
@@ -358,11 +360,41 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = roots_of(links.unionAll(keep(_dense_links(dense, roots, classes, docs, percent), "dense_links")))
 
     class_root = classes.join(roots, classes["sid"] == roots["of"], "left").select(
-        "sid", "first", F.coalesce("root", "sid").alias("root"))
-    least = class_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = keep(class_root.join(least, "root").select("sid", "component_id"), "labelled")
+        "sid", "head", F.coalesce("root", "sid").alias("root"))
+    least = class_root.groupBy("root").agg(F.min("head").alias("least"))
+    labelled = keep(class_root.join(least, "root").select("sid", F.col("least").alias("head")), "labelled")
+    return rows, labelled
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    percent: int = PERCENT) -> DataFrame:
+    """Per row of ``df``: doc_id, n_shingles, component_id (smallest id reachable
+    over links of a similarity of ``percent`` or more, its own included), kept."""
+    rows, labelled = _labelled(df.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body")), percent)
     component = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")) \
-        .otherwise(F.col("component_id"))
+        .otherwise(F.col("head.doc"))
     return (rows.select("doc", "sid", "n").join(labelled, "sid", "left")
             .select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True))))
+
+
+def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``df`` with one row of each component: of the rows with its smallest id one
+    text stays. Rows are told apart by id and text, so a row goes only for its own
+    text. Rows without words go only if they repeat id and text; null ids stay."""
+    a, b = free_name(df, "row_doc"), free_name(df, "row_text")
+    known = df.where(F.col(doc_id).isNotNull())
+    keyed = known.withColumn(a, F.col(doc_id).cast("long")).withColumn(
+        b, F.coalesce(F.unhex(F.md5(F.col(text))), F.lit(b"")))
+    rows, labelled = _labelled(keyed.select(F.col(a).alias("doc"), F.col(text).alias("body"), F.col(b).alias("text_key")),
+                               percent, "text_key binary, ")
+    counted = rows.groupBy("doc", "text_key").agg(F.first("sid").alias("sid"), F.count(F.lit(1)).alias("times"))
+    stays = F.coalesce(F.col("head") == F.struct("doc", "text_key"), F.lit(True))
+    marks = keep(counted.join(labelled, "sid", "left").withColumn("stays", stays)
+                 .where(~F.col("stays") | (F.col("times") > 1))
+                 .select(F.col("doc").alias(a), F.col("text_key").alias(b), "stays"), "marks")
+    out = keyed.join(marks, [a, b], "left_anti").select(*df.columns)
+    repeated = marks.where("stays").select(a, b)
+    if not repeated.isEmpty():                         # rows that repeat id and text: one of them
+        out = out.unionAll(keyed.join(repeated, [a, b], "left_semi").dropDuplicates([a, b]).select(*df.columns))
+    return out.unionAll(df.where(F.col(doc_id).isNull()))

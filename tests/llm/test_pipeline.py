@@ -57,3 +57,21 @@ def test_near_duplicate_stage_takes_pairs_from_0_80(spark, tmp_path):
     kept = {x["doc_id"] for x in P.near_duplicate_stage(spark, docs, str(tmp_path)).collect()}
     assert kept == set(range(0, 40, 2)) | set(range(40, 60))
     assert all(x["kept"] for x in near_dup.near_duplicates(docs).collect())         # op4 keeps its 0.85
+
+
+def test_near_duplicate_stage_decides_by_row(spark, tmp_path):
+    common.prepare(spark)
+    a, b, c, d, e = (prose(700 + i, 80) for i in range(5))
+    rows = [(1, a), (2, b), (2, a + " more"), (2, c),           # one row of id 2 copies document 1, two are unique
+            (3, d), (3, d), (4, e + " x"), (4, e),              # a repeated row; near copies under one id
+            (5, ""), (5, None), (5, "  "), (5, ""), (None, a), (None, a), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = P.near_duplicate_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    got = sorted(map(tuple, got.collect()), key=repr)
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and four[0][1] in (e, e + " x")
+    want = [(1, a), (2, b), (2, c), (3, d), (5, ""), (5, None), (5, "  "), (None, a), (None, a), (None, b)]
+    names = {a: "a", b: "b", c: "c", d: "d"}
+    assert sorted(((i, names.get(x, x)) for i, x in got if i != 4), key=repr) == sorted(
+        ((i, names.get(x, x)) for i, x in want), key=repr)
