@@ -13,9 +13,12 @@ of its local scores in the lists.
    ones stay below the bound, the entry goes too.
 3. The scores of the remaining entries are resolved exactly.
 
-Equal vectors are searched once: the search runs over distinct vectors with
-their k + 1 smallest ids, for distinct query vectors, and ids come in at the
-end, so a vector that a third of all rows share costs no more than one. Slices
+Equal vectors are searched once: the search runs over distinct vectors (classes)
+with their k + 1 smallest ids, for distinct query vectors, and ids come in at the
+end, so a vector that a third of all rows share costs no more than one. An id
+with one vector has one row of its own among the k + 1 best at most. An id with
+several vectors is searched apart from the others: its own members are left out
+before the k best are taken, and with them the classes that it holds alone. Slices
 and query blocks have bounded sizes; a block meets every slice by an equi-join
 on the slice's number.
 
@@ -40,6 +43,7 @@ from corpusworks.llm.common import keep
 
 LISTS = 4
 SLICE, BLOCK = 2048, 256        # vectors of a slice, queries of a block (on average)
+LOWEST = -(1 << 62)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -51,12 +55,16 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def _matrix(members) -> tuple[np.ndarray, np.ndarray]:
-    """ids and vectors of a list column cell (struct of id and array of integers)."""
+def _matrix(members) -> np.ndarray:
+    """Vectors of a list column cell (struct with an array of integers)."""
     cell = members.values
-    dims = len(cell[0]["q"])
-    flat = cell.field("q").flatten().to_numpy(zero_copy_only=False)
-    return cell.field("id").to_numpy(zero_copy_only=False), flat.reshape(-1, dims)
+    return cell.field("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(cell[0]["q"]))
+
+
+def _numbers(members, name: str) -> np.ndarray:
+    """A field of a list column cell, 0 for nulls."""
+    column = members.values.field(name)
+    return column.fill_null(0 if pa.types.is_integer(column.type) else False).to_numpy(zero_copy_only=False)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,37 +99,48 @@ def collect(local: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return known.any(0) & (most >= bound[:, None])
 
 
-def _best(query_ids, ids, total, chosen, k: int):
-    """Rows (query, id, score) of the k best chosen entries of every query."""
+def _best(queries: int, tie, total, chosen, k: int):
+    """Query numbers, entry numbers, ties and scores of the k best chosen entries of
+    every query; ``tie`` gives the smallest id of (query, entry) pairs."""
     q, v = np.nonzero(chosen)
-    s = total[q, v]
-    order = np.lexsort((ids[v], -s, q))
-    q, v, s = q[order], v[order], s[order]
-    first = np.searchsorted(q, np.arange(len(query_ids)))
+    s, t = total[q, v], tie(q, v)
+    order = np.lexsort((t, -s, q))
+    q, v, s, t = q[order], v[order], s[order], t[order]
+    first = np.searchsorted(q, np.arange(queries))
     top = np.arange(len(q)) - first[q] < k
-    return query_ids[q[top]], ids[v[top]], s[top]
+    return q[top], v[top], t[top], s[top]
 
 
 def _phase(k: int, bounded: bool):
     def run(batches):
         for b in batches:
             for r in range(len(b)):
-                ids, vectors = _matrix(b.column("slice")[r])
-                query_ids, queries = _matrix(b.column("block")[r])
-                local = local_scores(queries, vectors)
+                entries, asking = b.column("slice")[r], b.column("block")[r]
+                first, second, single = (_numbers(entries, c) for c in ("first", "second", "single"))
+                own, apart = _numbers(asking, "own"), _numbers(asking, "apart")
+                local = local_scores(_matrix(asking), _matrix(entries))
+                total = local.sum(0)
+                mine = apart[:, None] & (own[:, None] == first[None, :]) & single[None, :]
                 if bounded:
-                    bound = b.column("block")[r].values.field("bound").to_numpy(zero_copy_only=False).astype(float)
+                    bound = asking.values.field("bound").to_numpy(zero_copy_only=False).astype(float)
                     bound = np.where(np.isnan(bound), -np.inf, bound)
                     free = np.isinf(bound)
                     chosen = np.where(free[:, None], True, collect(local, np.where(free, 0, bound)))
                 else:
-                    chosen = gather(local, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _best(query_ids, ids, local.sum(0), chosen, k)],
-                                                 names=["query", "id", "score"])
+                    chosen = gather(np.where(mine, LOWEST, local) if mine.any() else local, k)
+
+                def tie(q, v):
+                    return np.where(apart[q] & (own[q] == first[v]), second[v], first[v])
+
+                q, v, t, score = _best(len(own), tie, total, chosen & ~mine, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (_numbers(asking, "rep")[q], apart[q], own[q], _numbers(entries, "rep")[v], t, score)],
+                    names=["rep", "apart", "own", "id", "tie", "score"])
     return run
 
 
-_OUT = "query long, id long, score long"
+_OUT = "rep long, apart boolean, own long, id long, tie long, score long"
+_QUERY = ["rep", "apart", "own"]
 
 
 def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -129,42 +148,49 @@ def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5,
     product of floor(scale * component): query_id, rank, vec_id, score."""
     rows = keep(df.where(usable(F.col(vector)) & F.col(vec_id).isNotNull())
                 .select(F.col(vec_id).cast("long").alias("id"), quantised(F.col(vector), scale).alias("q"),
-                        F.coalesce(is_query, F.lit(False)).alias("asks")).distinct(), "vectors")
+                        F.coalesce(is_query, F.lit(False)).alias("asks"))
+                .groupBy("id", "q").agg(F.max("asks").alias("asks")), "vectors")
     need = k + 1                                              # the query itself may be among the best
     order = Window.partitionBy("q").orderBy("id")
-    heads = keep(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need)
-                 .withColumn("rep", F.min("id").over(Window.partitionBy("q"))), "heads")
-    classes = keep(heads.where("place = 1").select("rep", "q", F.size("q").alias("dims")), "classes")
+    heads = rows.select("id", "q").withColumn("place", F.row_number().over(order)).where(F.col("place") <= need)
+    classes = keep(heads.groupBy("q").agg(F.sort_array(F.collect_list("id")).alias("ids"))       # need ids at most
+                   .select(F.monotonically_increasing_id().alias("rep"), "q", F.size("q").alias("dims"), "ids"), "classes")
+    several = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("vectors"), F.max("asks").alias("asks"))
+                   .where("vectors > 1 AND asks").select(F.col("id").alias("query_id"), F.lit(True).alias("apart")),
+                   "several")
     asked = keep(rows.where("asks").select(F.col("id").alias("query_id"), "q")
-                 .join(classes.select("q", "rep", "dims"), "q"), "asked")
+                 .join(classes.select("q", "rep", "dims"), "q").join(several, "query_id", "left")
+                 .withColumn("apart", F.coalesce("apart", F.lit(False)))
+                 .withColumn("own", F.when(F.col("apart"), F.col("query_id")).otherwise(F.lit(0))), "asked")
 
     slices_of = max(1, -(-classes.count() // SLICE))
+    entry = F.struct("rep", "q", F.col("ids")[0].alias("first"), F.get("ids", F.lit(1)).alias("second"),
+                     (F.size("ids") == 1).alias("single"))
     slices = keep(classes.withColumn("at", F.pmod(F.xxhash64("rep"), F.lit(slices_of)))
-                  .groupBy("dims", "at").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "q")).alias("slice")),
-                  "slices")
-    askers = keep(asked.groupBy("rep", "q", "dims").agg(F.count(F.lit(1)).alias("n")), "askers")
+                  .groupBy("dims", "at").agg(F.collect_list(entry).alias("slice")), "slices")
+    askers = keep(asked.groupBy(*_QUERY, "q", "dims").agg(F.count(F.lit(1)).alias("n")), "askers")
     blocks_of = max(1, -(-askers.count() // BLOCK))
 
     def blocks(queries: DataFrame, *more) -> DataFrame:
-        return (queries.groupBy("dims", F.pmod(F.xxhash64("rep"), F.lit(blocks_of)).alias("block_at"))
-                .agg(F.collect_list(F.struct(F.col("rep").alias("id"), "q", *more)).alias("block"))
+        return (queries.groupBy("dims", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks_of)).alias("block_at"))
+                .agg(F.collect_list(F.struct(*_QUERY, "q", *more)).alias("block"))
                 .withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(slices_of - 1))))
                 .join(slices, ["dims", "at"]).select("slice", "block"))
 
-    by_score = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    by_score = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "tie")
     gathered = blocks(askers).mapInArrow(_phase(need, False), _OUT)
     bounds = keep(gathered.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == need)
-                  .select(F.col("query").alias("rep"), F.col("score").alias("bound")), "bounds")
-    resolved = blocks(askers.join(bounds, "rep", "left"), "bound").mapInArrow(_phase(need, True), _OUT)
+                  .select(*_QUERY, F.col("score").alias("bound")), "bounds")
+    resolved = blocks(askers.join(bounds, _QUERY, "left"), "bound").mapInArrow(_phase(need, True), _OUT)
     best = keep(resolved.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= need)
-                .select("query", F.col("id").alias("rep"), "score"), "best")
+                .select(*_QUERY, "id", "score"), "best")
 
-    members = heads.select("rep", F.col("id").alias("member"))
-    by_member = Window.partitionBy("query").orderBy(F.desc("score"), "member")
-    listed = keep(best.join(members, "rep")
+    members = classes.select(F.col("rep").alias("id"), F.explode("ids").alias("member"))
+    by_member = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "member")
+    listed = keep(best.join(members, "id").where(~F.col("apart") | (F.col("own") != F.col("member")))
                   .withColumn("place", F.row_number().over(by_member)).where(F.col("place") <= need)
-                  .select(F.col("query").alias("rep"), "member", "score"), "listed")
+                  .select(*_QUERY, "member", "score"), "listed")
     by_query = Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "member")
-    return (asked.select("query_id", "rep").join(listed, "rep").where(F.col("query_id") != F.col("member"))
+    return (asked.select("query_id", *_QUERY).join(listed, _QUERY).where(F.col("query_id") != F.col("member"))
             .withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
             .select("query_id", "rank", F.col("member").alias("vec_id"), "score"))

@@ -276,6 +276,23 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_ids_with_several_vectors(spark):
+    """Equal to brute force per (query id, vector) when ids repeat with other vectors."""
+    common.prepare(spark)
+    r = np.random.default_rng(14)
+    pool = r.integers(-3, 4, (60, 4))                          # few values: many ties and shared vectors
+    rows = {(int(i), tuple(map(int, pool[r.integers(60)]))) for i in r.integers(0, 25, 250)}
+    rows |= {(0, (9, 9, 9, j)) for j in range(30)} | {(1, (9, 9, 9, 3)), (50, (9, 9, 9, 4)), (50, (1, 2, 3, 4))}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in sorted(rows)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 5 == 0, scale=1).collect()))
+    want = []
+    for i, u in rows:
+        if i % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(u, v)), j) for j, v in rows if j != i)[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_collect_keeps_every_entry_that_can_win():
     r = np.random.default_rng(6)
     local = r.integers(-50, 50, (4, 6, 400))
