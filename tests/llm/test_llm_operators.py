@@ -324,6 +324,39 @@ def test_decontamination_finds_planted_items(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_words_end_where_the_class_changes():
+    def same(a, b):
+        return decontaminate.words_of(a).tolist() == decontaminate.words_of(b).tolist()
+    assert same("state-of-the-art a/b end.Next x,y,z", "State of the art a b end next x y z")
+    assert same("don't well-known", "don t well known") and same("soft\u00adware", "software")
+    assert len(decontaminate.words_of("ab_1 c\nd")) == 3 and len(decontaminate.words_of("..., --")) == 0
+    assert same("中文字abc", "中 文 字 abc") and len(decontaminate.words_of("ภาษาไทย")) == 7
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice("ab1_ .,-'\n/é中ß") for _ in range(r.randint(0, 30)))
+        plain = [w for run in re.findall(r"\w+", text) for w in re.findall("中|[^中]+", run)]
+        assert same(text, " ".join(plain)) and len(decontaminate.words_of(text)) == len(plain), repr(text)
+    words = decontaminate.words_of("one two three four don't")
+    assert decontaminate.answer_of("one two three four don't", words).tolist() == words[-1:].tolist()
+    pieces = decontaminate.word_hashes(["中文 é-b", "", "x.y"])
+    assert [len(p) for p in pieces] == [4, 0, 2]
+
+
+def test_decontamination_of_other_scripts_and_punctuation(spark):
+    common.prepare(spark)
+    r = random.Random(21)
+    han = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)) for _ in range(40)]
+    thai = ["".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(300)) for _ in range(40)]
+    spaced = [prose(3000 + d, 150) for d in range(40)]
+    items = [(0, han[3][100:140]), (1, thai[4][100:140]), (2, prose(3999, 24))]
+    texts = han + thai + spaced
+    texts[90] = prose(1, 60) + " " + items[2][1].replace(" ", "-") + " " + prose(2, 60)
+    texts[95] = prose(3, 60) + " " + items[2][1].replace(" ", ",") + "/" + prose(4, 60)
+    got = decontaminate.contaminated(spark.createDataFrame(rows_of(*texts), DOCS),
+                                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(3, 0), (44, 1), (90, 2), (95, 2)}
+
+
 def test_lcs():
     r = np.random.default_rng(3)
     for _ in range(200):
