@@ -324,6 +324,28 @@ def test_decontamination_finds_planted_items(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_by_item_length(spark):
+    """Verbatim copies of short and long items inside documents, and documents that are the item."""
+    common.prepare(spark)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in WORDS]
+    r = random.Random(33)
+
+    def words(n):
+        return [r.choice(vocabulary) for _ in range(n)]
+
+    lengths = (5, 8, 200, 600, 1000)
+    items = [words(n) for n in lengths for _ in range(20)]
+    texts, planted = [], set()
+    for i, item in enumerate(items):
+        planted |= {(len(texts), i), (len(texts) + 1, i)}
+        texts += [words(r.randint(40, 90)) + item + words(r.randint(40, 90)), item, words(r.randint(3, 150))]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(
+        spark.createDataFrame(rows_of(*map(" ".join, texts)), DOCS),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
+    missed = [(len(items[i]), "whole" if d % 3 else "inside") for d, i in sorted(planted - got)]
+    assert got <= planted and len(missed) <= 2, missed
+
+
 def test_words_end_where_the_class_changes():
     def same(a, b):
         return decontaminate.words_of(a).tolist() == decontaminate.words_of(b).tolist()
