@@ -12,7 +12,10 @@ one set of weights per question. The scorer decides for all documents.
 The abuse labellers use word lists, found from labelled documents: words whose
 share among abusive documents is far above that among the others. At most
 LABELLED labelled documents are read for this, in two halves, so that two lists
-are made apart from each other. Without labels nothing counts as abusive.
+are made apart from each other. The labeller of an empty list abstains; if both
+are empty, the halves give one list together, from fewer documents if need be,
+and a warning tells if there is none in spite of abusive documents. Without
+labels nothing counts as abusive.
 
 Defined cases: null or empty text = no votes, kept; very long texts are read
 whole; repeated rows are scored each; other columns are kept, columns of the
@@ -22,12 +25,13 @@ added names are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,14 +69,16 @@ LIMITS = {"symbols": (0.01, 0.1), "shouting": (0.05, 0.2), "bangs": (0.01, 0.1),
 
 
 def votes(text: str, shares: dict[str, float], words: set[str], lists: list[set[str]]) -> list[int]:
+    if not text:
+        return [0] * (len(LIMITS) + 3)
     out = [-1 if shares[k] >= bad else 1 if shares[k] < fine else 0 for k, (fine, bad) in LIMITS.items()]
-    if not words:
-        return [0] * (len(out) + 3)
-    if not all(lists):
+    if not any(lists):
         return [*out, 0, 0, 0]
-    a, b = (len(words & x) for x in lists)
+    for x in lists:
+        n = len(words & x)
+        out.append(0 if not x else -1 if n >= 2 else 0 if n else 1)
     either = len(words & (lists[0] | lists[1]))
-    return [*out, *(-1 if n >= 2 else 0 if n else 1 for n in (a, b)), -1 if either >= 3 else 1 if either < 2 else 0]
+    return [*out, -1 if either >= 3 else 1 if either < 2 else 0]
 
 
 def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 50) -> dict[tuple[int, ...], float]:
@@ -153,19 +159,33 @@ def word_lists(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> li
                    .groupBy("half", "word").agg(F.sum("bad").alias("bad"), F.sum(1 - F.col("bad")).alias("fine")),
                    "words")
     totals = {r["half"]: (r["bad"], r["fine"]) for r in counted.where("word = ''").collect()}
-    lists = []
-    for half in (0, 1):
-        bad, fine = totals.get(half, (0, 0))
+    def marked(halves: tuple[int, ...], least: int) -> set[str]:
+        bad, fine = (sum(totals.get(h, (0, 0))[k] for h in halves) for k in (0, 1))
         if not bad or not fine:
-            lists.append(set())
-            continue
+            return set()
         odds = F.log(((F.col("bad") + 0.5) / (bad + 1)) / ((F.col("fine") + 0.5) / (fine + 1)))
-        top = (counted.where((F.col("half") == half) & (F.col("word") != "") & (F.col("bad") >= max(5, 0.02 * bad)))
+        own = (counted.where(F.col("half").isin(*halves) & (F.col("word") != "")).groupBy("word")
+               .agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine")))
+        top = (own.where(F.col("bad") >= max(least, 0.02 * bad))
                .withColumn("odds", odds).where("odds > 3").orderBy(F.desc("odds"), "word").limit(LIST_SIZE))
-        lists.append({r["word"] for r in top.select("word").collect()})
+        return {r["word"] for r in top.select("word").collect()}
+
+    lists = [marked((0,), 5), marked((1,), 5)]
+    for least in (5, 2):
+        if not any(lists):
+            lists[0] = marked((0, 1), least)
+    if not any(lists) and sum(bad for bad, _ in totals.values()):
+        warnings.warn("documents are labelled abusive, but no word marks them: none is rejected as abusive")
     return lists
 
 
+def drawn_by_hash(share: float, *columns: Column) -> Column:
+    """Whether a row is among the ``share`` of all rows that a hash of the columns takes."""
+    if share >= 1:
+        return F.lit(True)
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(11)), 1) < F.lit(int(share * (1 << 63)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
              sample: int = SAMPLE) -> DataFrame:
     """``docs`` with posterior_junk, posterior_abuse (label model), score_junk,
@@ -198,7 +218,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
     total = sum(counts.values())
     share = min(1.0, sample / max(1, total))
-    drawn = F.pmod(F.xxhash64(F.col(doc_id), F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
+    drawn = drawn_by_hash(share, F.col(doc_id), F.col(text))
 
     def draw(batches):
         seen: dict[str, int] = {}
@@ -213,7 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ys, pa.list_(pa.float64()))],
                                              names=["f", "y"])
 
-    taken = (docs.where(F.coalesce(drawn, F.lit(True))).select(F.col(text).alias("body")).limit(2 * sample)
+    taken = (docs.where(drawn).select(F.col(text).alias("body")).limit(2 * sample)
              .mapInArrow(draw, "f binary, y array<double>").collect())
     rows = [np.frombuffer(r[0], "<i4").astype(np.int64) for r in sorted(taken)]
     ys = np.array([r[1] for r in sorted(taken)], float).reshape(-1, 2)
@@ -229,7 +249,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
             for t in b.column(text).to_pylist():
                 words, shares, v = look(t or "")
                 f = features(shares, words, seen)
-                marks = [1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -30, 30))) if len(words) else 0.0
+                marks = [1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -30, 30))) if t else 0.0
                          for w, bias in heads.value]
                 out.append([*posterior(v), *marks])
                 if len(seen) > REMEMBERED:

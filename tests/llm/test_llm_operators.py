@@ -403,3 +403,34 @@ def test_quality_on_held_out_labels(spark, docs, empty):
     none = labels.limit(0)
     assert quality.classify(docs, none).count() == docs.count() and quality.classify(empty, labels).count() == 0
     assert all(x["accepted"] for x in quality.classify(docs, none).collect() if not x["text"])
+
+
+def test_quality_sample_of_a_huge_table(spark):
+    share = 8_000 / 20_000_000_000
+    taken = spark.range(1).select(quality.drawn_by_hash(share, F.lit(1)).alias("t"))
+    assert str(int(share * (1 << 63))) in taken._jdf.queryExecution().toString()
+    n = spark.range(200_000).where(quality.drawn_by_hash(0.01, F.col("id"), F.lit("x"))).count()
+    assert 1700 < n < 2300 and spark.range(9).where(quality.drawn_by_hash(1.0, F.col("id"))).count() == 9
+
+
+def test_quality_judges_texts_without_letters(spark):
+    common.prepare(spark)
+    junk = ["### !!! ??? ###", "| 1 | 2 | 3 |", "7 7 7 7 7 7 7 7", "!!! !!! !!!"]
+    texts = [prose(i, 60) for i in range(300)] + [prose(i, 30) + " ### !!! ???" * 20 for i in range(300, 340)] + [
+        " | ".join(prose(i, 30).split()) for i in range(340, 380)] + [" ".join(w + " " + w for w in prose(i, 30).split())
+                                                                     for i in range(380, 420)] + junk + [None, ""]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.classify(spark.createDataFrame(rows_of(*texts), DOCS), labels).collect()}
+    assert [got[420 + i]["accepted"] for i in range(6)] == [False] * 4 + [True] * 2
+    assert all(got[i]["accepted"] for i in range(300)) and got[424]["score_junk"] == got[425]["score_junk"] == 0
+
+
+def test_quality_rejects_abuse_with_few_labels(spark):
+    common.prepare(spark)
+    assert quality.votes("a b c", quality.layout("a b c"), {"a", "b", "c"}, [set(), {"a", "b", "c"}])[6:] == [0, -1, -1]
+    slurs = [f"slur{c}" for c in "abcdef"]
+    texts = [prose(i, 60) + (" " + " ".join(slurs) if i % 10 == 0 else "") for i in range(300)]
+    docs = spark.createDataFrame(rows_of(*texts), DOCS)
+    few = [(i, 1, int(i % 10 == 0)) for i in [*range(0, 40, 10), *[j for j in range(100) if j % 10]]]    # four abusive ones
+    got = quality.classify(docs, spark.createDataFrame(few, "doc_id long, quality int, toxic int")).collect()
+    assert {x["doc_id"] for x in got if not x["accepted"]} == set(range(0, 300, 10))
