@@ -1,8 +1,8 @@
 """Near-duplicates by a chosen-path set similarity join.
 
 A document's set holds its distinct five-word shingles. Equal sets are one
-*class* from the start. Each class has POSITIONS minwise tokens. TREES
-independent trees branch the classes recursively: a node picks one or two token
+*class* from the start. Each class has POSITIONS minwise tokens. As many trees as
+RECALL takes (they share the tokens, which is counted in) branch the classes recursively: a node picks one or two token
 positions (1 / similarity on average, from a hash of the node), and classes with
 the same token there form a child. Similar sets stay together on some path with
 good chance at every depth, unlike ones part quickly. Nodes of at most Nodes of at most NODE
@@ -25,6 +25,7 @@ rows of their own; whole texts are read; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -38,7 +39,8 @@ from corpusworks.llm.common import free_name, keep
 from corpusworks.llm.components import components
 
 WORDS, PERCENT = 5, 85      # PERCENT: similarity of op4, the default threshold
-POSITIONS, TREES, NODE = 64, 10, 24
+POSITIONS, NODE = 64, 24
+RECALL = 0.995              # of pairs at the threshold, down to the deepest level of large nodes
 DEPTHS = (2, 4, 8)          # levels below a large node whose children are counted
 CHUNK_ROWS, CHUNK_SHINGLES = 256, 100_000
 COLUMNS = 16_384            # shingles of one matrix product
@@ -100,6 +102,23 @@ def _describe(batches):
                                          names=["doc", "text_key"][:len(own)] + ["sid", "n", "sig"])
 
 
+@functools.cache
+def tree_count(percent: int) -> int:
+    """The fewest trees by which a pair at the threshold meets at the deepest level with
+    a chance of RECALL. Given how many of the pair's tokens agree (binomial), the trees
+    are independent, and a path goes on in its first and second child as below."""
+    p, more = percent / 100, 100 / percent - 1
+    agree = np.arange(POSITIONS + 1) / POSITIONS
+    weight = np.array([math.comb(POSITIONS, k) * p ** k * (1 - p) ** (POSITIONS - k) for k in range(POSITIONS + 1)])
+    meet = np.ones(POSITIONS + 1)
+    for _ in range(1 + DEPTHS[-1]):
+        meet = 1 - (1 - agree * meet) * (1 - more * agree * meet)
+    trees = 1
+    while weight @ (1 - meet) ** trees > 1 - RECALL:
+        trees += 1
+    return trees
+
+
 def sift_share(percent: int) -> float:
     """Share of equal tokens that a pair at the threshold misses by five standard deviations only."""
     p = percent / 100
@@ -134,7 +153,7 @@ def _plant(percent: int):
     def run(batches):
         for b in batches:
             sig, sid, n = _matrix(b.column("sig")), b.column("sid"), b.column("n")
-            for tree in range(TREES):
+            for tree in range(tree_count(percent)):
                 root = np.full(len(sig), tree + 1, dtype=np.uint64)
                 node, row = _children(root, sig, np.arange(len(sig)), percent)
                 take = pa.array(row)

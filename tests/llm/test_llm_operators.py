@@ -229,6 +229,38 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert [x["kept"] for x in odd if x["doc_id"] is None] == [True]
 
 
+def test_trees_reach_their_recall_at_the_deepest_level():
+    r = np.random.default_rng(3)
+    for percent in (85, 80):
+        met, pairs, depth = 0, 1500, 1 + near_dup.DEPTHS[-1]
+        for _ in range(pairs):
+            one = r.integers(0, 2 ** 32, near_dup.POSITIONS, dtype=np.uint32)
+            other = np.where(r.random(near_dup.POSITIONS) < percent / 100, one, one ^ np.uint32(1))
+            sig, trees = np.stack([one, other]), near_dup.tree_count(percent)
+            salt = near_dup._mix(r.integers(0, 2 ** 63, 1, dtype=np.uint64))
+            node, row = np.repeat(np.arange(1, trees + 1, dtype=np.uint64) + salt, 2), np.tile([0, 1], trees)
+            for _ in range(depth):
+                node, row = near_dup._children(node, sig, row, percent)
+                both = np.isin(node, node[row == 0]) & np.isin(node, node[row == 1])
+                node, row = node[both], row[both]
+            met += len(node) > 0
+        assert met / pairs >= near_dup.RECALL - 0.006, (percent, met / pairs)
+
+
+def test_near_duplicates_among_large_unlike_nodes(spark):
+    common.prepare(spark)
+    r, texts = random.Random(4), {}
+    shared = [f"s{i}" for i in range(70)]
+    for d in range(0, 500, 2):                         # unlike ones share a passage, pairs have 0.86
+        own = shared + [f"w{d}x{i}" for i in range(90)]
+        texts[d] = " ".join(own)
+        texts[d + 1] = " ".join(own[:148] + [f"v{d}x{i}" for i in range(12)])
+    order = sorted(texts, key=lambda _: r.random())
+    df = spark.createDataFrame([(d, texts[d]) for d in order], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(df).collect()}
+    assert got == brute_near(texts) and len({c for _, c in got.values()}) == 250
+
+
 def test_line_index_is_reversible(spark, docs, empty, tmp_path):
     line = "A line that many documents share, of enough length"
     texts = [f"{line}\nown {i}" if i < 6 else f"  {line.upper()} \nx" if i == 6 else "short\nshort" for i in range(12)]
