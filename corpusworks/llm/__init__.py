@@ -1,5 +1,6 @@
 """Training-data operators (top-k search, decontamination, sharding, near-duplicates,
-byte-level BPE, personal data, chat formatting, line duplicates, secrets, quality).
+byte-level BPE, personal data, chat formatting, line duplicates, secrets, quality,
+conversation tries, language-model scores, embedding whitening).
 
 Nothing else in the library imports this subpackage. ``all_queries()`` and
 ``all_oracles()`` list its catalogue queries and their DuckDB twins."""

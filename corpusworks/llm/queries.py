@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusworks.llm import bpe_codec, chat, decontaminate, line_dedup, near_dup, pii_crf, quality, secret_ledger, sharding, topk
+from corpusworks.llm import (bpe_codec, chat, decontaminate, lattice, line_dedup, near_dup, pii_crf, prefix_trie, quality,
+                             secret_ledger, sharding, topk, whitening)
 from corpusworks.llm.common import scratch_dir, table
 
 QUERIES: dict = {}
@@ -28,6 +29,12 @@ def tokenizer_files(rank_path: str | None = None) -> tuple[str, str]:
     return rank_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def piece_file(path: str | None = None) -> str:
+    """Vocabulary of scored pieces; the file's place is a parameter."""
+    import public_tokenizers
+    return path or public_tokenizers.path("piece_bpe_32k.model")
+
+
 # ------------------------------------------------------------------ 3 sharding
 _U = "((('0x' || substr(md5(k || '|{s}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 _BIDS = ", ".join("struct_pack(a := -1.0 / ln(" + _U.format(s=s) + f"), b := -{s})" for s in range(17))
@@ -161,3 +168,53 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op1_topk", _TOPK_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+# ------------------------------------------------------------------ 11 conversation prefix trie
+_TRIE_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+                    lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+g AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT *, md5(length(r) || ':' || r || t) AS m FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, m) AS pos FROM k),
+c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
+                 regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)),
+             lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT conv_id FROM g), tab),
+b AS (SELECT c.conv_id, 0 AS part, o.pos, o.t, o.m FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND o.pos <= c.h
+      UNION ALL SELECT c.conv_id, 1, o.pos, o.t, o.m FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+s AS (SELECT conv_id, length(t) AS chars, m, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM b),
+p AS (SELECT conv_id, d, chars, md5(string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY d) AS parent,
+             d = max(d) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT node, any_value(d) AS depth, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id,
+             count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM q GROUP BY node),
+f AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+w AS (SELECT a.node, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens, count(*) FILTER (WHERE f.node IS NULL) AS n_leaves
+      FROM n LEFT JOIN f ON f.node = n.node JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.depth GROUP BY a.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, w.n_leaves,
+       w.saved_tokens, n.ends_sha256
+FROM n JOIN w ON w.node = n.node LEFT JOIN f ON f.node = n.node LEFT JOIN n u ON u.node = n.parent"""
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(
+        table(spark, sf_dir, "conversations"), base=F.expr("conv - conv % 100"),
+        head=F.crc32(F.col("conv").cast("string").cast("binary")) % 6, most=6)
+
+
+# ------------------------------------------------------------------ 12 language-model scoring
+@query("op12_lattice_score")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_documents(table(spark, sf_dir, "documents"), "doc_id", "text", piece_file())
+
+
+# ------------------------------------------------------------------ 13 embedding whitening
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+            .withColumn("deviation", F.expr("try_cast(deviation AS bigint)")))
