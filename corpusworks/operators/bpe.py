@@ -1,33 +1,43 @@
 """Byte-level BPE on Spark.
 
-Word table: pre-tokenised words and counts (C7). Symbols are UTF-8 bytes,
-written as two hex digits and separated by spaces (e.g. 'c3 a9' for 'é').
-Training (C8, Sennrich et al. 2016): repeatedly merge the most frequent
-adjacent pair (ties: smaller left symbol, then smaller right symbol, by
-bytes) until the vocabulary (specials + byte alphabet + merges) reaches
-``vocab_size`` or the best count drops below ``min_frequency``.
-
-Each Spark round counts pairs over the (shrinking) table of words that still
-have pairs, then accepts the longest prefix of the ranked candidates whose
-merges cannot interact: a candidate is taken only if it shares no symbol
-with the merges already taken in the round and its count is strictly above
-an upper bound of every pair those merges can create. That gives exactly the
-one-merge-per-round sequence with far fewer rounds. Lineage is cut with
-``checkpoint()`` every few rounds. The merge list is small driver state;
-counting and rewriting stay on the executors.
+Word table: pre-tokenised words and counts (C7). Symbols are UTF-8 bytes, named by
+two hex digits a byte. Training (C8, Sennrich et al. 2016): repeatedly merge the most
+frequent adjacent pair (ties: smaller left symbol, then smaller right symbol, by bytes)
+until the vocabulary (specials + byte alphabet + merges) reaches ``vocab_size`` or the
+best count drops below ``min_frequency``.
+
+One round learns every merge down to a count ``least``. A pair that is merged at
+``least`` or more consists, at every place, of neighbours that occur ``least`` times or more
+already now, as each occurrence of (x, ab) is one of (x, a) too. So the places where
+neighbours are rarer cut all words into fragments that don't touch each other, and the
+exact merge sequence down to ``least`` follows from the distinct fragments and their counts.
+
+1. Pair counts: a pass over the word table and one aggregate. The most frequent pairs
+   (as many as the last round suggests) give ``least`` and the candidates.
+2. Fragments: a pass that cuts words at all other pairs, and one aggregate. If there
+   are more than ``max_fragments``, the round takes fewer candidates.
+3. The merge sequence on these fragments, whose number is bounded at any corpus size.
+4. A pass that puts the merged fragments back into the words and writes the new table.
+
+Some ten to thirty rounds learn thousands of merges; nothing but candidates and
+fragments reaches the driver. If more pairs tie than MAX_TIED, the best of them is merged
+alone.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusworks import constants as K
 from corpusworks.operators.prefix import running_offsets
 from corpusworks.operators.tokens import PRETOKEN_PATTERN, word_counts
+from corpusworks.session import stored
 
 
 def byte_symbols(col) -> F.Column:
@@ -62,97 +72,175 @@ def _pairs(words: DataFrame) -> DataFrame:
     return p.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("cnt"))
 
 
-def _merge_expr(col: str, left: str, right: str) -> F.Column:
-    # ' L R' followed by a space -> ' LR' (left to right, non-overlapping)
-    padded = F.concat(F.lit(" "), F.col(col), F.lit(" "))
-    return F.trim(F.regexp_replace(padded, f" {left} {right}(?= )", f" {left}{right}"))
+MAX_FRAGMENTS = 100_000     # distinct fragments of a round
+MAX_TIED = 1 << 17          # pairs of one count that make a round
+FIRST_CANDIDATES = 256
 
 
-def _extensions(active: DataFrame, cand: list[tuple[str, str]]) -> dict:
-    """For candidate pairs (L, R): the largest count of a trigram x L R and
-    of a trigram L R y - exactly the largest count a new pair (x, LR) or
-    (LR, y) can reach after merging (L, R)."""
-    keys = sorted({f"{a} {b}" for a, b in cand})
-    arr = F.split(F.col("syms"), " ")
-    idx = F.sequence(F.lit(0), F.size(arr) - 3)
-    tri = (active.filter(F.size(F.split("syms", " ")) >= 3)
-           .select("n", F.explode(F.transform(idx, lambda i: F.struct(arr[i].alias("a"), arr[i + 1].alias("b"),
-                                                                        arr[i + 2].alias("c")))).alias("t")))
-    left = tri.select(F.concat_ws(" ", "t.b", "t.c").alias("pair"), F.lit("L").alias("side"),
-                      F.col("t.a").alias("x"), "n")
-    right = tri.select(F.concat_ws(" ", "t.a", "t.b").alias("pair"), F.lit("R").alias("side"),
-                       F.col("t.c").alias("x"), "n")
-    both = left.unionByName(right).filter(F.col("pair").isin(keys))
-    sums = both.groupBy("pair", "side", "x").agg(F.sum("n").alias("c"))
-    return {(r["pair"], r["side"]): r["m"] for r in sums.groupBy("pair", "side").agg(F.max("c").alias("m")).collect()}
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (int32) of all words of a binary column, and each word's number of them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.copy().view(np.int32), np.diff(offsets) // 4
+
+
+def _neighbours(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places with a right neighbour in the same word, and the pair there as one number."""
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    at = np.flatnonzero(~last)
+    return at, ids[at].astype(np.int64) << 32 | ids[at + 1]
+
+
+def _start(batches):
+    for b in batches:
+        raw = [np.frombuffer(w.encode(), np.uint8).astype(np.int32).tobytes() for w in b.column("word").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(raw, pa.binary())],
+                                         names=["word", "n", "ids"])
+
+
+def _count_pairs(batches):
+    for b in batches:
+        ids, lengths = _flat(b.column("ids"))
+        at, pair = _neighbours(ids, lengths)
+        times = np.repeat(b.column("n").to_numpy(), lengths)[at]
+        found, to = np.unique(pair, return_inverse=True)
+        cnt = np.zeros(len(found), np.int64)
+        np.add.at(cnt, to, times)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(cnt)], names=["pair", "cnt"])
+
+
+def _symbols(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_flat(b.column("ids"))[0]))], names=["id"])
+
+
+def _runs(ids: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the maximal runs whose neighbours are all ``chosen`` pairs (sorted)."""
+    at, pair = _neighbours(ids, lengths)
+    near = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
+    hit = np.zeros(len(ids) + 1, bool)
+    hit[at] = chosen[near] == pair
+    edge = np.diff(np.r_[False, hit].astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+
+
+def _cut(chosen):
+    def run(batches):
+        for b in batches:
+            ids, lengths = _flat(b.column("ids"))
+            first, end = _runs(ids, lengths, chosen.value)
+            raw, times = ids.tobytes(), np.repeat(b.column("n").to_numpy(), lengths)[first].tolist()
+            held: dict[bytes, int] = {}
+            for f, e, n in zip((first * 4).tolist(), (end * 4).tolist(), times):
+                held[raw[f:e]] = held.get(raw[f:e], 0) + n
+            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())],
+                                             names=["fragment", "n"])
+    return run
+
+
+def _put_back(chosen, merged):
+    def run(batches):
+        for b in batches:
+            ids, lengths = _flat(b.column("ids"))
+            first, end = _runs(ids, lengths, chosen.value)
+            raw, parts, done, saved = ids.tobytes(), [], 0, np.zeros(len(first), np.int64)
+            for k, (f, e) in enumerate(zip((first * 4).tolist(), (end * 4).tolist())):
+                new = merged.value.get(raw[f:e])
+                if new is not None:
+                    parts += [raw[done:f], new]
+                    done, saved[k] = e, e - f - len(new)
+            parts.append(raw[done:])
+            owner = np.searchsorted(np.cumsum(lengths), first, side="right")
+            sizes = lengths.astype(np.int64) * 4
+            np.subtract.at(sizes, owner, saved)
+            offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(parts))])
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), column], names=["word", "n", "ids"])
+    return run
+
+
+_STATE = "word string, n long, ids binary"
 
 
 def train_bpe(words: DataFrame, vocab_size: int = K.VOCAB_SIZE, min_frequency: int = K.MIN_PAIR_FREQUENCY,
-              specials: list[str] | None = None, candidates: int = 512, checkpoint_every: int = 10,
-              max_rounds: int | None = None, partitions: int | None = None, strategy: str = "auto"):
+              specials: list[str] | None = None, max_fragments: int = MAX_FRAGMENTS, max_tied: int = MAX_TIED):
     """Returns (merges, alphabet, final_words).
 
     merges: list of (rank, left_hex, right_hex, count) in merge order;
     alphabet: sorted byte symbols present; final_words: DataFrame word, n, syms.
     """
-    spark: SparkSession = words.sparkSession
-    parts = partitions or spark.sparkContext.defaultParallelism
+    sc = words.sparkSession.sparkContext
     specials = list(K.SPECIAL_TOKENS if specials is None else specials)
-    w = (words.select("word", F.col("n").cast("long").alias("n"), byte_symbols("word").alias("syms"))
-         .repartition(parts, "word").checkpoint(eager=True))
-    alphabet = sorted(r[0] for r in w.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect())
+    state = stored(words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(_start, _STATE), "bpe-words")
+    names = [f"{b:02x}" for b in range(256)]                        # of the symbols, by number
+    number = {name: i for i, name in enumerate(names)}
+    alphabet = sorted(names[r[0]] for r in state.mapInArrow(_symbols, "id int").distinct().collect())
     budget = vocab_size - len(specials) - len(alphabet)
-    if strategy not in ("auto", "local", "distributed"):
-        raise ValueError("strategy must be auto, local or distributed")
-    if strategy != "distributed" and max_rounds is None:
-        size = w.agg(F.count(F.lit(1)).alias("words"),
-                     F.coalesce(F.sum(F.size(F.split("syms", " "))), F.lit(0)).alias("symbols")).first()
-        if strategy == "local" or (size["words"] <= LOCAL_MAX_WORDS and size["symbols"] <= LOCAL_MAX_SYMBOLS):
-            merges, final = _train_local(w, budget, min_frequency)
-            return merges, alphabet, final
     merges: list[tuple[int, str, str, int]] = []
-    active = w.filter(F.instr("syms", " ") > 0).cache()
-    finished_parts = [w.filter(F.instr("syms", " ") == 0)]
-    rounds = 0
+    wanted = FIRST_CANDIDATES
     while len(merges) < budget:
-        if max_rounds is not None and rounds >= max_rounds:
+        pairs = state.mapInArrow(_count_pairs, "pair long, cnt long").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
+        top = pairs.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt")).limit(max(wanted, 1) + 1).collect()
+        if not top:
             break
-        rounds += 1
-        top = _pairs(active).orderBy(F.desc("cnt"), "left", "right").limit(candidates).collect()
-        if not top or top[0]["cnt"] < min_frequency:
-            break
-        ext = _extensions(active, [(r["left"], r["right"]) for r in top]) if len(top) > 1 else {}
-        taken, touched, bound = [], set(), 0
-        for r in top:
-            left, right, cnt = r["left"], r["right"], int(r["cnt"])
-            if cnt < min_frequency or len(merges) + len(taken) >= budget:
-                break
-            if taken and (left in touched or right in touched or cnt <= bound):
-                break
-            taken.append((left, right, cnt))
-            touched.update((left, right, left + right))
-            key = f"{left} {right}"
-            bound = max(bound, min(cnt, max(ext.get((key, "L"), 0), ext.get((key, "R"), 0))))
-        nxt = active
-        for left, right, cnt in taken:
+        fragments = None
+        while fragments is None:
+            least, chosen, alone = _candidates(pairs, top, wanted, min_frequency, max_tied, names)
+            shared = sc.broadcast(np.sort(np.array(chosen, np.int64)))
+            found = (state.mapInArrow(_cut(shared), "fragment binary, n long").groupBy("fragment")
+                     .agg(F.sum("n").alias("n")).limit(max_fragments + 1).collect())
+            if len(found) <= max_fragments or alone:
+                fragments = found
+            else:
+                wanted = wanted // 4                                # 0: the best pair alone
+        table = [(None, r["n"], tuple(names[i] for i in np.frombuffer(r["fragment"], np.int32).tolist())) for r in fragments]
+        new, final = bpe_merges_local(table, 1 if alone else budget - len(merges), least)
+        for _, left, right, cnt in new:
             merges.append((len(merges), left, right, cnt))
-            nxt = nxt.withColumn("syms", _merge_expr("syms", left, right))
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            finished_parts.append(nxt.filter(F.instr("syms", " ") == 0).checkpoint(eager=True))
-            nxt = nxt.filter(F.instr("syms", " ") > 0)
-        nxt = nxt.cache()
-        nxt.count()
-        active.unpersist()
-        active = nxt
-    final = active
-    for f in finished_parts:
-        final = final.unionByName(f)
-    return merges, alphabet, final
-
-
-LOCAL_MAX_WORDS = 3_000_000       # distinct words trained in one task
-LOCAL_MAX_SYMBOLS = 60_000_000    # total byte symbols of those words
+            if left + right not in number:
+                number[left + right] = len(names)
+                names.append(left + right)
+        back = {bytes(r["fragment"]): np.array([number[x] for x in syms], np.int32).tobytes()
+                for r, (_, _, old), syms in zip(fragments, table, final) if len(syms) < len(old)}
+        state = stored(state.mapInArrow(_put_back(shared, sc.broadcast(back)), _STATE), "bpe-words")
+        wanted = max(wanted, 1) * (4 if len(fragments) < max_fragments // 16 else 2 if len(fragments) < max_fragments // 4 else 1)
+
+    known = sc.broadcast(names)
+
+    def spell(batches):
+        for b in batches:
+            ids, lengths = _flat(b.column("ids"))
+            syms = [known.value[i] for i in ids.tolist()]
+            ends = np.cumsum(lengths)
+            text = [" ".join(syms[e - k:e]) for e, k in zip(ends.tolist(), lengths.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(text, pa.string())],
+                                             names=["word", "n", "syms"])
+
+    return merges, alphabet, state.mapInArrow(spell, "word string, n long, syms string")
+
+
+def _candidates(pairs: DataFrame, top: list, wanted: int, min_frequency: int, max_tied: int, names: list[str]):
+    """(least count, pairs of that count or more, whether one pair is merged alone)."""
+    if 0 < wanted < len(top):
+        least = top[wanted]["cnt"] + 1
+        if top[0]["cnt"] >= least:
+            return least, [r["pair"] for r in top[:wanted] if r["cnt"] >= least], False
+    elif wanted >= len(top):
+        return min_frequency, [r["pair"] for r in top], False      # all there are
+    least = top[0]["cnt"]
+    tied = pairs.where(F.col("cnt") == least).select("pair")
+    if wanted:
+        found = tied.limit(max_tied + 1).collect()
+        if len(found) <= max_tied:
+            return least, [r["pair"] for r in found], False
+    place = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.empty(len(names), np.int64)
+    rank[place] = np.arange(len(names))                             # symbols in order of their names
+    order = F.lit(rank.tolist())
+    best = tied.orderBy(F.get(order, F.shiftright("pair", 32)), F.get(order, F.col("pair").bitwiseAND(0xFFFFFFFF))).first()
+    return least, [best["pair"]], True
 
 
 def _merge_word(syms: tuple, left, right, merged=None) -> tuple:
@@ -171,12 +259,12 @@ def _merge_word(syms: tuple, left, right, merged=None) -> tuple:
 
 
 def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequency: int):
-    """Exact BPE over a bounded word table held by one task: pair counts are
-    kept incrementally (only words containing the merged pair are touched,
-    and only the pairs that change are updated), the best pair comes from a
-    heap with lazy deletion. Same order and ties as the distributed rounds:
-    count desc, then left, then right (symbols compared as hex strings).
-    Symbols are small integers internally; ``names`` maps them back."""
+    """The exact merge sequence on a bounded table (a round's fragments): pair
+    counts are kept incrementally (only words containing the merged pair are
+    touched, and only the pairs that change are updated), the best pair comes
+    from a heap with lazy deletion. Order: count desc, then left, then right
+    (symbols compared as hex strings). Symbols are small integers internally;
+    ``names`` maps them back."""
     import heapq
     names: list[str] = []
     code: dict[str, int] = {}
@@ -253,34 +341,6 @@ def bpe_merges_local(words: list[tuple[str, int, tuple]], budget: int, min_frequ
     return merges, [tuple(names[x] for x in sy) for sy in syms]
 
 
-_LOCAL_SCHEMA = ("kind string, rank int, left string, right string, cnt long, word string, n long, "
-                 "syms string")
-
-
-def _train_local(w: DataFrame, budget: int, min_frequency: int):
-    import pandas as pd
-
-    def run(it):
-        rows = []
-        for pdf in it:
-            rows.extend(zip(pdf["word"], pdf["n"], pdf["syms"]))
-        rows.sort(key=lambda r: r[0])
-        words = [(wd, int(n), tuple(sy.split(" "))) for wd, n, sy in rows]
-        merges, final = bpe_merges_local(words, budget, min_frequency)
-        yield pd.DataFrame({"kind": "merge", "rank": [m[0] for m in merges], "left": [m[1] for m in merges],
-                            "right": [m[2] for m in merges], "cnt": [m[3] for m in merges],
-                            "word": None, "n": None, "syms": None})
-        yield pd.DataFrame({"kind": "word", "rank": None, "left": None, "right": None, "cnt": None,
-                            "word": [r[0] for r in words], "n": [r[1] for r in words],
-                            "syms": [" ".join(s) for s in final]})
-
-    out = w.coalesce(1).mapInPandas(run, _LOCAL_SCHEMA).checkpoint(eager=True)
-    merges = [(r["rank"], r["left"], r["right"], r["cnt"])
-              for r in out.filter("kind = 'merge'").orderBy("rank").collect()]
-    final = out.filter("kind = 'word'").select("word", "n", "syms")
-    return merges, final
-
-
 def vocabulary(spark: SparkSession, merges, alphabet, specials: list[str] | None = None) -> DataFrame:
     """Id, token (byte-level display form), symbol (hex), kind, count."""
     specials = list(K.SPECIAL_TOKENS if specials is None else specials)
@@ -297,24 +357,43 @@ def merges_frame(spark: SparkSession, merges) -> DataFrame:
                                  "rank int, left string, right string, n long")
 
 
+def merge_symbols(syms: list, ranks: dict) -> list:
+    """``syms`` after all merges of ``ranks`` ((left, right) -> rank), the earliest learnt pair
+    first and from left to right: a linked list of symbols and a heap of the pairs in it,
+    n log n for a word of any length."""
+    size = len(syms)
+    behind, before, own = list(range(1, size + 1)), list(range(-1, size - 1)), list(syms)
+    heap = [(ranks[p], i) for i, p in enumerate(zip(own, own[1:])) if p in ranks]
+    heapify(heap)
+    while heap:
+        rank, i = heappop(heap)
+        j = behind[i] if own[i] is not None else size
+        if j >= size or ranks.get((own[i], own[j])) != rank:        # merged or changed since
+            continue
+        own[i], own[j] = own[i] + own[j], None
+        after = behind[i] = behind[j]
+        if after < size:
+            before[after] = i
+            if (p := (own[i], own[after])) in ranks:
+                heappush(heap, (ranks[p], i))
+        if before[i] >= 0 and (p := (own[before[i]], own[i])) in ranks:
+            heappush(heap, (ranks[p], before[i]))
+    return [x for x in own if x is not None]
+
+
 def apply_merges(words: DataFrame, merges) -> DataFrame:
     """word, syms of any distinct words (column ``word``), seen in training or not:
     the earliest learnt merge that applies goes first. The merge list travels with
     the tasks; its length is bounded by the vocabulary size."""
-    import pandas as pd
-    ranks = {(left, right): rank for rank, left, right, _ in merges}
-
-    def merged(word: str) -> str:
-        syms = tuple(f"{b:02x}" for b in word.encode("utf-8"))
-        while known := [p for p in zip(syms, syms[1:]) if p in ranks]:
-            syms = _merge_word(syms, *min(known, key=ranks.__getitem__))
-        return " ".join(syms)
+    ranks = words.sparkSession.sparkContext.broadcast({(left, right): rank for rank, left, right, _ in reversed(merges)})
+    names = [f"{b:02x}" for b in range(256)]
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf["word"], "syms": [merged(w) for w in pdf["word"]]})
+        for b in batches:
+            done = [" ".join(merge_symbols([names[x] for x in w.encode()], ranks.value)) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(done, pa.string())], names=["word", "syms"])
 
-    return words.select("word").mapInPandas(run, "word string, syms string")
+    return words.select("word").mapInArrow(run, "word string, syms string")
 
 
 def encode_new_texts(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, merges,
@@ -361,4 +440,4 @@ def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: in
 
 
 __all__ = ["train_bpe", "vocabulary", "merges_frame", "encode_words", "encode_texts", "train_from_documents",
-           "byte_symbols", "display", "byte_alphabet", "apply_merges", "encode_new_texts", "T"]
+           "byte_symbols", "display", "byte_alphabet", "apply_merges", "merge_symbols", "encode_new_texts"]

@@ -1,36 +1,31 @@
-"""Exact k-nearest-neighbour join, query batch x corpus.
-
-No cross join and no all-pairs rows: the query vectors are shipped to the
-executors as a size-checked broadcast block; each corpus partition keeps a
-running top-k per query (BLAS distance pass to find candidates, exact
-re-ranking of the candidates) and emits only k rows per query. A final
-``row_number() <= k`` per query (Spark pre-limits it per partition with its
-window-group-limit) merges the partition results. When the queries exceed
-one block they are hash-split into several bounded blocks; each block is one
-more pass over the corpus.
+"""Exact k-nearest-neighbour join, queries x corpus.
+
+Both sides are packed, batch by batch and without a shuffle, into rows of bounded
+bytes: slices of the corpus and blocks of queries. Every block meets every slice by an
+equi-join on the slice's bucket; one task holds one block and one slice at a time.
+Distances come as one matrix product; everything within rounding of a query's k best
+is computed again exactly, so results and ties (the smaller id) are exact. A pair of
+block and slice returns at most k rows per query, and ``row_number() <= k`` per query
+(Spark limits it in each partition first) merges them. No vector reaches the driver, and
+a query id with many vectors is many rows like others.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusworks import constants as K
+from corpusworks.session import stored
 
-RESULT_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("dist", T.DoubleType()),
-])
-
-MAX_BLOCK_ROWS = 20_000          # queries per broadcast block
-MAX_BLOCK_BYTES = 64 * 1024 ** 2  # of a block's vectors; wide vectors make more blocks
-_CELL_BUDGET = 4_000_000          # distance-matrix cells per sub-batch
+SLICE_BYTES = 8 * 1024 ** 2      # vectors of a corpus slice
+BLOCK_BYTES = 2 * 1024 ** 2      # vectors of a query block
+MAX_BLOCK_ROWS = 4096            # queries of a block: bounds the distance matrix
+_NEAR = 1e-9                     # relative error that the matrix product is allowed
 
 
 def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -46,119 +41,128 @@ def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
-def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, metric: str, exclude_self: bool,
-                    id_col: str, vec_col: str):
-    m = k + 4  # candidates kept per query before the exact re-rank
-    nq = len(qids)
-    qn2 = np.einsum("ij,ij->i", qmat, qmat)
-    qnorm = np.sqrt(qn2)
-
-    def run(it):
-        cand_d = np.full((nq, 0), np.inf)
-        cand_id = np.zeros((nq, 0), dtype=np.int64)
-        store_ids = np.zeros((0,), dtype=np.int64)
-        store_vecs = np.zeros((0, qmat.shape[1]))
-        for pdf in it:
-            if pdf.empty or nq == 0:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            step = max(1, _CELL_BUDGET // max(nq, 1))
-            for s in range(0, len(ids), step):
-                bid, bx = ids[s:s + step], vecs[s:s + step]
-                dot = qmat @ bx.T
-                if metric == "cosine":
-                    xn = np.linalg.norm(bx, axis=1)
-                    den = np.outer(qnorm, xn)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        d = np.where(den > 0, 1.0 - dot / den, 1.0)
-                else:
-                    d = qn2[:, None] + np.einsum("ij,ij->i", bx, bx)[None, :] - 2.0 * dot
-                if exclude_self:
-                    d = np.where(qids[:, None] == bid[None, :], np.inf, d)
-                base = len(store_ids)
-                store_ids = np.concatenate([store_ids, bid])
-                store_vecs = np.concatenate([store_vecs, bx])
-                allc_d = np.concatenate([cand_d, d], axis=1)
-                allc_i = np.concatenate([cand_id, np.broadcast_to(np.arange(base, base + len(bid)), d.shape)],
-                                        axis=1)
-                keep = min(m, allc_d.shape[1])
-                # order by (distance, corpus id) so ties keep the smallest ids
-                allc_vid = np.concatenate([store_ids[cand_id] if cand_id.size else cand_id,
-                                           np.broadcast_to(bid, d.shape)], axis=1)
-                sel = np.lexsort((allc_vid, allc_d), axis=1)[:, :keep]
-                cand_d = np.take_along_axis(allc_d, sel, axis=1)
-                cand_id = np.take_along_axis(allc_i, sel, axis=1)
-                # compact the store to the rows still referenced
-                used = np.unique(cand_id)
-                remap = np.full(len(store_ids), -1, dtype=np.int64)
-                remap[used] = np.arange(len(used))
-                store_ids, store_vecs = store_ids[used], store_vecs[used]
-                cand_id = remap[cand_id]
-        if cand_d.shape[1] == 0:
-            return
-        rows_q, rows_v, rows_d = [], [], []
-        for qi in range(nq):
-            ok = np.isfinite(cand_d[qi])
-            if not ok.any():
-                continue
-            ci = cand_id[qi][ok]
-            exact = _exact(metric, np.broadcast_to(qmat[qi], (len(ci), qmat.shape[1])), store_vecs[ci])
-            vid = store_ids[ci]
-            order = np.lexsort((vid, exact))[:k]
-            rows_q.append(np.full(len(order), qids[qi]))
-            rows_v.append(vid[order])
-            rows_d.append(exact[order])
-        if rows_q:
-            yield pd.DataFrame({"query_id": np.concatenate(rows_q).astype(np.int64),
-                                "vec_id": np.concatenate(rows_v).astype(np.int64),
-                                "dist": np.concatenate(rows_d).astype(np.float64)})
+def _pack(max_bytes: int, max_rows: int):
+    """Rows (id, vec) of a task as packed rows: place (of the packed row), dims, ids, vecs."""
+    def run(batches):
+        pid, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list] = {}
+
+        def packed(dims):
+            nonlocal made
+            ids, parts = zip(*held.pop(dims))
+            made += 1
+            ids = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pid << 33 | made]), pa.array([dims]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                 pa.array([np.concatenate(parts).tobytes()], pa.binary())], names=["place", "dims", "ids", "vecs"])
+
+        for b in batches:
+            column = b.column("vec")
+            flat = column.flatten()
+            if flat.null_count:
+                flat = flat.cast(pa.float64()).fill_null(float("nan"))
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            sizes = np.diff(column.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            for dims in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dims)
+                step = max(1, min(max_rows, max_bytes // (8 * max(1, dims))))
+                while len(rows):
+                    room = step - sum(len(i) for i, _ in held.get(dims, []))
+                    take, rows = rows[:room], rows[room:]
+                    part = values[(starts[take, None] + np.arange(dims)).ravel()]
+                    held.setdefault(dims, []).append((b.column("id").take(pa.array(take)), part))
+                    if len(take) == room:
+                        yield packed(dims)
+        for dims in list(held):
+            yield packed(dims)
+    return run
+
+
+def _ordinals(ids: list) -> np.ndarray:
+    """Places of ids in their order (null first), for ties."""
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i]))
+    out = np.empty(len(ids), np.int64)
+    last, rank = object(), -1
+    for i in order:
+        rank += ids[i] != last
+        out[i], last = rank, ids[i]
+    return out
+
+
+def _search(k: int, metric: str, exclude_self: bool):
+    def nearest(dims, qids, qmat, cids, cmat):
+        q = np.frombuffer(qmat, np.float64).reshape(len(qids), dims)
+        x = np.frombuffer(cmat, np.float64).reshape(len(cids), dims)
+        qn, xn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+        if metric == "cosine":
+            den = np.sqrt(qn)[:, None] * np.sqrt(xn)[None, :]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = np.where(den > 0, 1.0 - (q @ x.T) / den, 1.0)
+            slack = np.full(len(q), _NEAR)
+        else:
+            d = qn[:, None] + xn[None, :] - 2.0 * (q @ x.T)
+            slack = _NEAR * (qn + xn.max(initial=0))
+        if exclude_self:
+            number = {c: i for i, c in enumerate(dict.fromkeys(cids))}
+            own = np.array([number.get(i, -1) for i in qids])
+            d = np.where(own[:, None] == np.array([number[c] for c in cids])[None, :], np.inf, d)
+        bound = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + slack
+        at_q, at_x = np.nonzero((d <= bound[:, None]) & ~np.isinf(d) | np.isnan(d))
+        exact = _exact(metric, q[at_q], x[at_x])
+        order = np.lexsort((_ordinals(cids)[at_x], exact, at_q))
+        at_q, at_x, exact = at_q[order], at_x[order], exact[order]
+        first = np.searchsorted(at_q, np.arange(len(q)))
+        top = np.arange(len(at_q)) - first[at_q] < k
+        return at_q[top], at_x[top], exact[top]
+
+    def run(batches):
+        for b in batches:
+            for r in range(len(b)):
+                qids, cids = b.column("qids")[r].as_py(), b.column("cids")[r].as_py()
+                at_q, at_x, dist = nearest(b.column("dims")[r].as_py(), qids, b.column("qvecs")[r].as_buffer(), cids,
+                                           b.column("cvecs")[r].as_buffer())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("qids")[r].values.take(pa.array(at_q)), b.column("cids")[r].values.take(pa.array(at_x)),
+                     pa.array(dist)], names=["query_id", "vec_id", "dist"])
     return run
 
 
+def _id(df: DataFrame, column: str) -> F.Column:
+    """Integers of any width as long, other ids as strings."""
+    whole = isinstance(df.schema[column].dataType, T.IntegralType)
+    return F.col(column).cast("long" if whole else "string")
+
+
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, query_id: str = "query_id",
              query_vec: str = "embedding", corpus_id: str = "vec_id", corpus_vec: str = "embedding",
              metric: str = "l2", exclude_self: bool = False, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
-    """Top-k corpus rows per query: query_id, rank (1..k), vec_id, dist.
+    """Top-k corpus rows per query id: query_id, rank (1..k), vec_id, dist.
 
     metric 'l2' = squared Euclidean distance; 'cosine' = 1 - cosine
-    similarity. Ties are broken by the smaller vec_id; NULL vectors take no part.
+    similarity. Ties are broken by the smaller vec_id; NULL vectors take no part,
+    vectors meet only vectors of their own length. Ids are integers or strings; a query
+    id with several vectors gets the k best rows of all of them.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
-    spark = queries.sparkSession
-    q = (queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("_v"))
-         .where(F.col("_v").isNotNull()))
-    c = (corpus.select(F.col(corpus_id).cast("long").alias(corpus_id), F.col(corpus_vec).alias(corpus_vec))
-         .where(F.col(corpus_vec).isNotNull()))
-    nq, width = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
-    block_rows = max(1, min(max_block_rows, MAX_BLOCK_BYTES // (16 * max(1, width))))   # twice that by chance at most
-    nblocks = max(1, math.ceil(nq / block_rows))
-    parts = []
-    for b in range(nblocks):
-        block = q if nblocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(nblocks)) == b)
-        rows = block.limit(2 * max_block_rows + 1).collect()
-        if len(rows) > 2 * max_block_rows:   # many rows of one id
-            raise RuntimeError("query block exceeds its bound; lower max_block_rows")
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        qmat = np.stack([np.asarray(r["_v"], dtype=np.float64) for r in rows])
-        bc = spark.sparkContext.broadcast((qids, qmat))
-        fn = _broadcast_runner(bc, k, metric, exclude_self, corpus_id, corpus_vec)
-        parts.append(c.mapInPandas(fn, RESULT_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, dist double")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    return (allp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id"), "dist"))
-
 
-def _broadcast_runner(bc, k, metric, exclude_self, id_col, vec_col):
-    def run(it):
-        qids, qmat = bc.value
-        yield from _partition_topk(qids, qmat, k, metric, exclude_self, id_col, vec_col)(it)
-    return run
+    def packed(df: DataFrame, id_col: str, vec: str, name: str, max_bytes: int, rows: int) -> DataFrame:
+        own = df.select(_id(df, id_col).alias("id"), F.col(vec).alias("vec")).where(F.col("vec").isNotNull() & (F.size("vec") > 0))
+        kind = own.schema["id"].dataType.simpleString()
+        return stored(own.mapInArrow(_pack(max_bytes, rows), f"place long, dims long, ids array<{kind}>, vecs binary"), name)
+
+    slices = packed(corpus, corpus_id, corpus_vec, "knn-slices", SLICE_BYTES, 1 << 30)
+    blocks = packed(queries, query_id, query_vec, "knn-blocks", BLOCK_BYTES, max_block_rows)
+    buckets = max(1, slices.count())
+    placed = slices.select("dims", F.pmod(F.xxhash64("place"), F.lit(buckets)).alias("bucket"),
+                           F.col("ids").alias("cids"), F.col("vecs").alias("cvecs"))
+    asking = blocks.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"),
+                           F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    kinds = [d.schema["ids"].dataType.elementType for d in (blocks, slices)]
+    schema = f"query_id {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, dist double"
+    found = (asking.join(placed, ["dims", "bucket"]).select("dims", "qids", "qvecs", "cids", "cvecs")
+             .mapInArrow(_search(k, metric, exclude_self), schema))
+    w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "dist"))

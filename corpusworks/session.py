@@ -92,6 +92,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/cw-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back: lineage is
+    cut and later reads survive lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_MAX_ROWS = 200_000
 
 

@@ -1,6 +1,7 @@
 """kNN join against brute force; prompts; generation hook; embeddings."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,7 +101,8 @@ def test_user_embedder_hook(spark):
 
 
 def test_wide_queries_take_more_blocks(spark, monkeypatch):
-    monkeypatch.setattr(knn, "MAX_BLOCK_BYTES", 16 * 96 * 40)      # 40 queries of 96 numbers a block
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 8 * 96 * 40)           # 40 queries of 96 numbers a block
+    monkeypatch.setattr(knn, "SLICE_BYTES", 8 * 96 * 50)
     rnd = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(size=(300, 96)))] + [(900, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -110,3 +112,37 @@ def test_wide_queries_take_more_blocks(spark, monkeypatch):
     np.fill_diagonal(dist, np.inf)
     want = {(i, r + 1): int(j) for i in range(300) for r, j in enumerate(np.argsort(dist[i])[:2])}
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_of_a_hot_query_id_many_ties_and_string_ids(spark, metric, monkeypatch):
+    monkeypatch.setattr(knn, "SLICE_BYTES", 8 * 4 * 30)            # many slices
+    rnd = np.random.default_rng(8)
+    c = [(f"c{i}", [float(x) for x in v]) for i, v in enumerate(rnd.integers(0, 3, size=(200, 4)))]      # ties abound
+    c += [("short", [1.0, 2.0]), ("none", None), ("nothing", [])]
+    q = [("hot" if i % 3 else f"q{i}", v) for i, (_, v) in enumerate(c[:60])] + [("two", [1.0, 2.5])]
+    qdf = spark.createDataFrame(q, "query_id string, embedding array<double>")
+    cdf = spark.createDataFrame(c, "vec_id string, embedding array<double>").repartition(7)
+    got = [tuple(r) for r in knn.knn_topk(qdf, cdf, 5, metric=metric, max_block_rows=16).collect()]
+    want = []
+    for name in {n for n, _ in q}:
+        ds = [(d, i) for n, v in q if n == name for _, _, i, d in brute([(n, v)], [x for x in c if x[1] and len(x[1]) == len(v)],
+                                                                        999, False, metric)]
+        want += [(name, r + 1, i, d) for r, (d, i) in enumerate(sorted(ds)[:5])]
+    told = [(a, b, x if metric == "l2" else "", round(abs(d), 9)) for a, b, x, d in got]     # parallel vectors tie but for rounding
+    assert sorted(told) == sorted((a, b, x if metric == "l2" else "", round(abs(d), 9)) for a, b, x, d in want)
+
+
+def test_knn_wide_vectors_with_a_hot_query_id(spark):
+    """12,000 x 768: block and slice bounds in bytes, a third of all queries under one id."""
+    rnd = np.random.default_rng(3)
+    mat = rnd.normal(size=(12_000, 768)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": list(mat)})).repartition(4)
+    ask = df.where("vec_id < 300").select(F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("vec_id")).alias("query_id"),
+                                          "embedding")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["dist"]) for r in knn.knn_topk(ask, df, 2).collect()}
+    assert {got[-1, 1], got[-1, 2]} == {(0, 0.0), (3, 0.0)}
+    for i in (1, 2, 298):
+        dist = ((mat.astype(float) - mat[i].astype(float)) ** 2).sum(1)
+        order = np.argsort(dist)
+        assert got[i, 1] == (i, 0.0) and got[i, 2][0] == order[1] and abs(got[i, 2][1] - dist[order[1]]) < 1e-9

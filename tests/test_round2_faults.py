@@ -56,3 +56,17 @@ def test_session_by_exact_path(spark, tmp_dir):
     got = sessions.load_session(spark, tmp_dir, "a.json").collect()
     assert [r["session_id"] for r in got] == ["a.json"]
     assert sessions.load_session(spark, tmp_dir, f"{tmp_dir}/aa.json").count() == 1
+
+
+def test_null_and_repeated_order_keys_multiply_no_row(spark):
+    rows = [("s", 1, "aa"), ("s", None, "bb"), ("s", None, "cc"), ("s", None, "dd"), ("s", 1, "aa"), (None, None, None)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    for sep, cap in (("|", 100), ("|", 7), ("", 100), ("", 5)):
+        got = {r["source"]: (r["text"], r["full_length"]) for r in
+               concat.capped_concat(df, ["source"], ["doc_id"], "text", cap, None, sep).collect()}
+        text, length = got["s"]
+        assert length == len(sep.join(["aa", "aa", "bb", "cc", "dd"])) and len(text) == min(cap, length)
+        if cap == 100:
+            parts = text.split("|") if sep else [text[i:i + 2] for i in range(0, 10, 2)]
+            assert sorted(parts) == ["aa", "aa", "bb", "cc", "dd"] and parts[3:] == ["aa", "aa"]     # null keys first
+        assert got[None] == ("", 0)

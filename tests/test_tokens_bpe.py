@@ -1,7 +1,10 @@
-"""BPE: bounded single-task path = distributed rounds = brute force."""
+"""BPE: rounds over fragments = brute force; encoding of seen, unseen and long words."""
 
+import random
+import time
 from collections import Counter
 
+import pytest
 
 from corpusworks.operators import bpe
 from corpusworks.operators import tokens as tk
@@ -39,18 +42,52 @@ def brute_bpe(words, budget, min_freq):
     return merges
 
 
-def test_bpe_paths_agree(spark):
-    docs = spark.createDataFrame([(1, TEXT), (2, TEXT[:100])], "doc_id long, text string")
-    words = tk.word_counts(docs, "text", tk.PRETOKEN_PATTERN)
-    wc = {r["word"]: r["n"] for r in words.collect()}
-    vocab_size = 4 + len({b for w in wc for b in w.encode()}) + 40
-    local, alpha, final = bpe.train_bpe(words, vocab_size, 2, strategy="local")
-    dist, alpha2, final2 = bpe.train_bpe(words, vocab_size, 2, strategy="distributed", checkpoint_every=3)
-    want = brute_bpe(wc, vocab_size - 4 - len(alpha), 2)
-    assert local == want and dist == want and alpha == alpha2
-    f1 = {r["word"]: r["syms"] for r in final.collect()}
-    f2 = {r["word"]: r["syms"] for r in final2.collect()}
-    assert f1 == f2
+def table_of(n=1500, seed=4):
+    rnd = random.Random(seed)
+    words = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 50) for _ in range(n)}
+    return words | {"aaaaaaaaab": 77, "é" * 9: 12, "x" * 400: 3}
+
+
+@pytest.mark.parametrize("fragments,tied", [(100_000, 1 << 17), (60, 1 << 17), (300, 2)])
+def test_500_merges_equal_brute_force(spark, fragments, tied):
+    """Whatever the bounds of a round: many rounds, or ties merged one by one."""
+    words = table_of()
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    alphabet = {b for w in words for b in w.encode()}
+    budget = 500 if fragments > 60 else 60
+    got, alpha, final = bpe.train_bpe(df, 4 + len(alphabet) + budget, 2, max_fragments=fragments, max_tied=tied)
+    assert got == brute_bpe(words, budget, 2) and alpha == sorted(f"{b:02x}" for b in alphabet)
+    ranks = {(a, b): r for r, a, b, _ in got}
+    rows = final.collect()
+    assert {r["word"]: r["n"] for r in rows} == words
+    assert all(r["syms"].split(" ") == bpe.merge_symbols([f"{b:02x}" for b in r["word"].encode()], ranks) for r in rows)
+
+
+def test_training_ends_at_the_least_count_and_on_an_empty_table(spark):
+    df = spark.createDataFrame([("abab", 1), ("cab", 1), ("q", 9)], "word string, n long")
+    got, _, _ = bpe.train_bpe(df, 1000, 2)
+    assert got == brute_bpe({"abab": 1, "cab": 1, "q": 9}, 900, 2)
+    merges, alphabet, final = bpe.train_bpe(df.where("false"), 1000, 2)
+    assert merges == [] and alphabet == [] and final.count() == 0
+
+
+def test_merging_a_word_of_a_million_characters():
+    rnd = random.Random(2)
+    words = table_of(300, 9)
+    ranks = {(a, b): r for r, a, b, _ in brute_bpe(words, 120, 2)}
+
+    def plain(syms):
+        while known := [p for p in zip(syms, syms[1:]) if p in ranks]:
+            syms = joined(syms, *min(known, key=ranks.__getitem__))
+        return list(syms)
+
+    for size in (0, 1, 2, 7, 60, 300):
+        syms = [f"{ord(rnd.choice('abcde')):02x}" for _ in range(size)]
+        assert bpe.merge_symbols(syms, ranks) == plain(tuple(syms))
+    long = [f"{ord(rnd.choice('abcde')):02x}" for _ in range(1_000_000)]
+    begun = time.time()
+    got = bpe.merge_symbols(long, ranks)
+    assert "".join(got) == "".join(long) and time.time() - begun < 60
 
 
 def test_vocabulary_and_encoding(spark):
@@ -80,11 +117,3 @@ def test_unseen_words_are_encoded(spark):
     assert {r["word"]: r["syms"] for r in bpe.apply_merges(final, merges).collect()} == known
     lost = bpe.encode_texts(new, "doc_id", "text", bpe.encode_words(final, vocab)).where("doc_id = 7")
     assert lost.count() >= 4                                    # a word without ids becomes <unk>, none vanishes
-
-
-def test_many_merges_equal_brute_force():
-    import random
-    rnd = random.Random(4)
-    words = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))): rnd.randint(1, 50) for _ in range(1500)}
-    table = [(w, n, tuple(f"{b:02x}" for b in w.encode())) for w, n in words.items()]
-    assert bpe.bpe_merges_local(table, 500, 2)[0] == brute_bpe(words, 500, 2)
