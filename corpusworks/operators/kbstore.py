@@ -2,13 +2,16 @@
 
 Layout under ``root``:
   chunks/kb=<name>/ingest_seq=<n>/part-*.parquet   chunk rows (+ embedding)
-  log/part-*.parquet                               kb, action, name, seq, ts
+  log/kb=<name>/part-*.parquet                     action, name, seq, ts
 
 Every change is an append: create/append write a new ``ingest_seq``
 partition, deletes and drops are log rows (tombstones). Reads filter on the
 ``kb`` partition column (partition pruning), hide chunks ingested before the
 last drop, and apply document tombstones with anti joins. ``compact`` writes
 the visible rows to a new folder; nothing is overwritten while being read.
+An input without any text fails and leaves no base and no log row behind.
+``retrieve`` searches a base's stored vectors: a scan of its partitions alone, of
+ids and vectors, meets the questions; texts are read for the chunks found.
 Single writer per store is assumed.
 """
 
@@ -26,6 +29,8 @@ from corpusworks.functions.text import basename
 from corpusworks.operators import chunk as ch
 from corpusworks.operators import embed as em
 from corpusworks.operators import knowledge as kn
+from corpusworks.operators.knn import knn_topk
+from corpusworks.session import stored
 from corpusworks.sources.files import file_inventory
 
 LOG_SCHEMA = "kb string, action string, name string, seq long, ts timestamp"
@@ -54,7 +59,10 @@ class KnowledgeBaseStore:
 
     def _append_log(self, kb: str, action: str, name: str | None, seq: int) -> None:
         row = [(kb, action, name, int(seq), datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))]
-        self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
+        self._write_log(self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1))
+
+    def _write_log(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("kb").parquet(self.log_path)
 
     def _next_seq(self) -> int:
         m = self.log().agg(F.max("seq")).first()[0]
@@ -85,28 +93,31 @@ class KnowledgeBaseStore:
 
     def create_many(self, docs: DataFrame, kb_col: str, size: int = K.CHUNK_SIZE,
                     overlap: int = K.CHUNK_OVERLAP, recursive: bool = True, source_col: str = "source",
-                    text_col: str = "text", id_col: str | None = None) -> list[str]:
+                    text_col: str = "text", id_col: str | None = None) -> DataFrame:
         """K1 for one base per value of ``kb_col``, written in a single job
-        (partitioned by kb). Fails if any of them exists."""
+        (partitioned by kb). Fails if any of them exists. Returns the names (kb)."""
         ch.check_chunk_args(size, overlap)
-        names = [r[0] for r in docs.select(kb_col).distinct().collect()]  # base names only
-        clash = [n for n in names if self.exists(n)]
+        names = docs.select(F.col(kb_col).cast("string").alias("kb")).where(F.col("kb").isNotNull()).distinct()
+        clash = [r["kb"] for r in names.join(self.list_bases(), "kb", "left_semi").limit(10).collect()]
         if clash:
             raise ValueError(f"knowledge bases already exist: {clash}")
         seq = self._next_seq()
-        d = docs.select(F.col(kb_col).alias("_kb"), F.col(source_col).alias("source"),
-                        (F.col(id_col) if id_col else F.lit(None)).cast("long").alias("doc_id"),
-                        F.col(text_col).alias("text"))
+        d = docs.where(F.col(kb_col).isNotNull()).select(
+            F.col(kb_col).cast("string").alias("_kb"), F.col(source_col).alias("source"),
+            (F.col(id_col) if id_col else F.lit(None)).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         chunks = (ch.recursive_chunks(d, "text", size, overlap) if recursive
                   else ch.fixed_stride_chunks(d, "text", size, overlap))
         chunks = chunks.select(F.col("_kb").alias("kb"), F.lit(seq).cast("long").alias("ingest_seq"), "source",
                                basename("source", None).alias("basename"), "doc_id", "chunk_no", "text")
         chunks = chunks.withColumn("chunk_id", ch.chunk_id("kb", "source", "ingest_seq", "doc_id", "chunk_no", "text"))
         self._write(em.embed_hashed(chunks, "text", self.embed_dim))
-        ts = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
-        self.spark.createDataFrame([(n, "create", None, seq, ts) for n in names], LOG_SCHEMA) \
-            .coalesce(1).write.mode("append").parquet(self.log_path)
-        return names
+        written = self._all(["kb", "ingest_seq"])
+        if written is None:
+            raise ValueError("no text in any of the documents")
+        made = written.where(F.col("ingest_seq") == seq).select("kb").distinct()      # bases without text don't come to be
+        self._write_log(made.select("kb", F.lit("create").alias("action"), F.lit(None).cast("string").alias("name"),
+                                    F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("ts")))
+        return self.log().where((F.col("seq") == seq) & (F.col("action") == "create")).select("kb")
 
     def _write(self, chunks: DataFrame) -> None:
         chunks.write.mode("append").partitionBy("kb", "ingest_seq").parquet(self.chunk_path)
@@ -114,27 +125,36 @@ class KnowledgeBaseStore:
     def create(self, kb: str, docs: DataFrame, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
                recursive: bool = True, source_col: str = "source", text_col: str = "text",
                id_col: str | None = None) -> dict:
-        """K1: fails if the base exists; chunk -> embed -> persist."""
+        """K1: fails if the base exists or no document holds text; chunk -> embed -> persist."""
         ch.check_chunk_args(size, overlap)
         if self.exists(kb):
             raise ValueError(f"knowledge base '{kb}' already exists")
         seq = self._next_seq()
         chunks = self._prepare(docs, kb, seq, size, overlap, recursive, source_col, text_col, id_col)
         self._write(chunks)
+        report = self._required(self._batch_report(kb, seq))
         self._append_log(kb, "create", None, seq)
-        return self._batch_report(kb, seq)
+        return report
 
     def append(self, kb: str, docs: DataFrame, source_col: str = "source", text_col: str = "text",
                id_col: str | None = None, seq: int | None = None) -> dict:
-        """K2: fails if the base is missing; always 1000/200 recursive
-        chunking; no de-duplication (re-adding a file doubles its chunks)."""
+        """K2: fails if the base is missing or no document holds text; always 1000/200
+        recursive chunking; no de-duplication (re-adding a file doubles its chunks)."""
         if not self.exists(kb):
             raise ValueError(f"knowledge base '{kb}' not found")
         seq = seq if seq is not None else self._next_seq()
         chunks = self._prepare(docs, kb, seq, K.CHUNK_SIZE, K.CHUNK_OVERLAP, True, source_col, text_col, id_col)
         self._write(chunks)
+        report = self._required(self._batch_report(kb, seq))
         self._append_log(kb, "append", None, seq)
-        return self._batch_report(kb, seq)
+        return report
+
+    @staticmethod
+    def _required(report: dict) -> dict:
+        """The ingest gate: reading no text at all is an error."""
+        if not report["chunks"]:
+            raise ValueError("no text in any of the documents")
+        return report
 
     def _batch_report(self, kb: str, seq: int) -> dict:
         r = (self._raw(kb).filter(F.col("ingest_seq") == seq)
@@ -161,17 +181,22 @@ class KnowledgeBaseStore:
         return True
 
     # ------------------------------------------------------------ reads
-    def _raw(self, kb: str, columns: list[str] | None = None) -> DataFrame:
+    def _all(self, columns: list[str] | None = None) -> DataFrame | None:
+        """The chunk files of all bases; None before the first one is written."""
         try:
             found = self.spark.read.parquet(self.chunk_path).schema
-            # base names are strings, whatever they look like ("007" is not "7")
-            typed = StructType([StructField("kb", StringType()) if f.name == "kb" else f for f in found.fields])
-            df = self.spark.read.schema(typed).parquet(self.chunk_path)
         except AnalysisException:
+            return None
+        # base names are strings, whatever they look like ("007" is not "7")
+        typed = StructType([StructField("kb", StringType()) if f.name == "kb" else f for f in found.fields])
+        df = self.spark.read.schema(typed).parquet(self.chunk_path)
+        return df.select(*columns) if columns else df
+
+    def _raw(self, kb: str, columns: list[str] | None = None) -> DataFrame:
+        df = self._all(columns and ["kb", "ingest_seq"] + [c for c in columns if c not in ("kb", "ingest_seq")])
+        if df is None:
             return self.spark.createDataFrame([], "kb string, ingest_seq long, source string, basename string")
-        df = df.filter(F.col("kb") == kb)
-        return df.select(*(["kb", "ingest_seq"] + [c for c in columns if c not in ("kb", "ingest_seq")])) \
-            if columns else df
+        return df.filter(F.col("kb") == kb)
 
     def chunks(self, kb: str, columns: list[str] | None = None) -> DataFrame:
         """Visible chunks of a base (V2 read); ``columns`` prunes the scan."""
@@ -184,6 +209,23 @@ class KnowledgeBaseStore:
                 .select("kb", "name", "seq"))
         return kn.apply_tombstones(df, tomb)
 
+    def retrieve(self, questions: DataFrame, kb: str, k: int = K.TOP_K, query_id: str = "query_id",
+                 question: str = "question", metric: str = "cosine", vectors: str | None = None) -> DataFrame:
+        """The k visible chunks of a base nearest to each question: query_id, rank, dist, chunk_id,
+        source, basename, doc_id, text. ``vectors`` names a column with the questions' own
+        embeddings; without it the base's embedder makes them. Ties go to the smaller chunk id."""
+        if not self.exists(kb):
+            raise ValueError(f"knowledge base '{kb}' not found")
+        asked = questions.select(F.col(query_id).alias("query_id"), F.col(vectors or question).alias("asked"))
+        asked = asked.withColumnRenamed("asked", "embedding") if vectors else em.embed_hashed(asked, "asked", self.embed_dim)
+        found = stored(knn_topk(asked.select("query_id", "embedding"), self.chunks(kb, columns=["chunk_id", "embedding"]), k,
+                                corpus_id="chunk_id", metric=metric).withColumnRenamed("vec_id", "chunk_id"), "retrieved")
+        texts = (self.chunks(kb, columns=["chunk_id", "basename", "doc_id", "text"])
+                 .join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
+                 .select("chunk_id", "source", "basename", "doc_id", "text").dropDuplicates(["chunk_id"]))
+        return found.join(texts, "chunk_id").select(F.col("query_id").alias(query_id), "rank", "dist", "chunk_id", "source",
+                                                    "basename", "doc_id", "text")
+
     def list_documents(self, kb: str) -> DataFrame:
         """A1 over the base: filename, chunk_count (vectors never read)."""
         return kn.list_documents(self.chunks(kb, columns=["source"]))

@@ -111,8 +111,7 @@ def f4_format_size(spark, sf_dir):
     return sizes.select("source", "size_bytes", tf.format_size("size_bytes").alias("size"))
 
 
-@query("a8_bases", """SELECT DISTINCT source AS kb FROM documents""")
+@query("a8_bases", """SELECT DISTINCT source AS kb FROM documents WHERE length(text) > 0""")
 def a8_bases(spark, sf_dir):
-    # one knowledge base per source: list the bases present in the chunk table
-    c = doc_chunks(spark, sf_dir).withColumnRenamed("source", "kb")
-    return kb.list_bases(c)
+    # one knowledge base per source: the bases that the documents make
+    return kb.list_bases(load_table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("source").alias("kb")))

@@ -8,8 +8,9 @@ from corpusworks import constants as K
 from corpusworks.operators import chunk as ch
 from corpusworks.operators import knowledge as kb
 from corpusworks.operators import relational as rel
+from corpusworks.operators.kbstore import KnowledgeBaseStore
 from corpusworks.plans.registry import query
-from corpusworks.session import load_table
+from corpusworks.session import load_table, scratch_dir
 
 STEP = K.CHUNK_SIZE - K.CHUNK_OVERLAP
 _SQL_CHUNKS = f"""
@@ -39,6 +40,19 @@ def k2_append_counts(spark, sf_dir):
     return kb.list_documents(base.unionByName(again))
 
 
+@query("k2_append", f"""
+SELECT source, doc_id, CASE WHEN source = '{READDED_SOURCE}' THEN 2 ELSE 1 END::BIGINT AS ingests
+FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\x0C\r]')""")
+def k2_append(spark, sf_dir):
+    """A base of all documents to which one source is appended again: how often each document is in it."""
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    store = KnowledgeBaseStore(spark, scratch_dir(spark, "k2-store"))
+    store.create("docs", d, id_col="doc_id")
+    store.append("docs", d.where(F.col("source") == READDED_SOURCE), id_col="doc_id")
+    return (store.chunks("docs", columns=["doc_id"]).groupBy("source", "doc_id")
+            .agg(F.countDistinct("ingest_seq").alias("ingests")))
+
+
 _SQL_NAMES = ", ".join(f"('{n}')" for n in DELETED_NAMES)
 
 

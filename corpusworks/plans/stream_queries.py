@@ -128,7 +128,8 @@ def t2_incremental_ingest(spark, sf_dir):
     src = runner.stage_as_stream_source(spark, d, "t2-docs", split_col="doc_id", n_files=N_FILES)
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(src)
     store = KnowledgeBaseStore(spark, scratch_dir(spark, "t2-store"))
-    ingest_stream(stream, store, "docs", scratch_dir(spark, "t2-ckpt"), id_col="doc_id", recursive=False)
+    ingest_stream(stream, store, "docs", scratch_dir(spark, "t2-ckpt"), id_col="doc_id", recursive=False,
+                  create_missing=True)
     return store.list_documents("docs")
 
 

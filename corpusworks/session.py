@@ -101,15 +101,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 16 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check: a bounded count (each task
-    stops after ``max_rows + 1`` rows). Above the bound the join is left to the
-    planner / AQE (shuffle join, skew split)."""
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint only behind a check of rows and bytes: a bounded count (each
+    task stops after ``max_rows + 1`` rows) with the size of all cells. Above either bound the
+    join is left to the planner / AQE (shuffle join, skew split)."""
     from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cells = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(8) for c in df.columns]
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(cells, F.lit(0)).cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
 
 
 # tables whose rows carry enough per-row work (text, vectors) to spread them

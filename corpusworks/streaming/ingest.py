@@ -32,9 +32,12 @@ def _batch_seq(store: KnowledgeBaseStore, kb: str, checkpoint: str, batch_id: in
 def ingest_stream(docs: DataFrame, store: KnowledgeBaseStore, kb: str, checkpoint: str,
                   source_col: str = "source", text_col: str = "text", id_col: str | None = None,
                   recursive: bool = True, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
-                  available_now: bool = True):
-    """Start (and with ``available_now`` finish) the ingest stream."""
+                  available_now: bool = True, create_missing: bool = False):
+    """Start (and with ``available_now`` finish) the ingest stream. Fails if the base is
+    missing, unless ``create_missing``: then an empty one comes to be first."""
     if not store.exists(kb):
+        if not create_missing:
+            raise ValueError(f"knowledge base '{kb}' not found")
         store._append_log(kb, "create", None, store._next_seq())
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -98,7 +98,7 @@ def test_streaming_file_ingest(spark, tmp_dir):
     docs, quarantine = fs.split_documents(fs.stream_files(spark, inbox, max_files_per_trigger=1))
     store = KnowledgeBaseStore(spark, os.path.join(tmp_dir, "store"))
     ck = scratch_dir(spark, "t2-files")
-    ingest_stream(docs, store, "inbox", ck)
+    ingest_stream(docs, store, "inbox", ck, create_missing=True)
     got = {r["filename"]: r["chunk_count"] for r in store.list_documents("inbox").collect()}
     assert got["two.json"] == 2 and got["one.txt"] >= 2 and "bad.txt" not in got
     ingest_stream(docs, store, "inbox", ck)  # restart: nothing new, nothing doubled

@@ -50,3 +50,52 @@ def test_lifecycle(spark, tmp_dir):
     other = st.compact("kb1", tmp_dir + "/compacted")
     assert sorted(map(tuple, other.list_documents("kb1").collect())) == \
         sorted(map(tuple, st.list_documents("kb1").collect()))
+
+
+def test_retrieve_searches_the_stored_vectors(spark, tmp_dir):
+    st = KnowledgeBaseStore(spark, tmp_dir)
+    pets = [("pets/cat.txt", "the cat sleeps on the mat"), ("pets/dog.txt", "a dog runs after the ball")]
+    st.create("pets", docs(spark, pets))
+    st.create("cars", docs(spark, [("cars/a.txt", "the cat sleeps on the mat of the car")]))
+    ask = spark.createDataFrame([(1, "where does the cat sleep"), (2, "dog and ball"), (3, "")], "query_id long, question string")
+
+    def found(**more):
+        return {(r["query_id"], r["rank"]): (r["basename"], r["text"]) for r in st.retrieve(ask, "pets", 2, **more).collect()}
+
+    got = found()
+    assert got[1, 1] == ("cat.txt", pets[0][1]) and got[2, 1] == ("dog.txt", pets[1][1]) and len(got) == 6
+    st.append("pets", docs(spark, [("pets/new.txt", "where does the cat sleep")]))
+    assert found()[1, 1][0] == "new.txt"
+    st.delete_document("pets", "new.txt")
+    assert found() == got                                    # tombstones hold, other bases are not searched
+    own = spark.createDataFrame([(7, st.chunks("cars").first()["embedding"])], "q long, e array<float>")
+    r = st.retrieve(own, "pets", 1, query_id="q", vectors="e").first()
+    assert r["q"] == 7 and r["basename"] == "cat.txt"
+    plan = st.chunks("pets", columns=["chunk_id", "embedding"])._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PartitionFilters: [isnotnull(kb" in plan and "text:string" not in plan
+    with pytest.raises(ValueError):
+        st.retrieve(ask, "nope")
+
+
+def test_an_input_without_text_fails_and_leaves_nothing(spark, tmp_dir):
+    st = KnowledgeBaseStore(spark, tmp_dir)
+    blank = docs(spark, [("a.txt", " \n "), ("b.txt", None)])
+    for bad in (blank, blank.where("false")):
+        with pytest.raises(ValueError):
+            st.create("kb", bad)
+    assert not st.exists("kb") and st.log().count() == 0
+    st.create("kb", docs(spark, [("a.txt", "text")]))
+    with pytest.raises(ValueError):
+        st.append("kb", blank)
+    assert st.list_documents("kb").count() == 1 and st.log().count() == 1
+
+
+def test_create_many_bases_in_one_job(spark, tmp_dir):
+    st = KnowledgeBaseStore(spark, tmp_dir)
+    df = spark.createDataFrame([("x", "a.txt", "one"), ("y", "b.txt", "two"), ("z", "c.txt", " "), (None, "d.txt", "four")],
+                               "kb string, source string, text string")
+    assert {r["kb"] for r in st.create_many(df, "kb").collect()} == {"x", "y"}
+    assert [r["kb"] for r in st.list_bases().collect()] == ["x", "y"]
+    with pytest.raises(ValueError):
+        st.create_many(df, "kb")
