@@ -1,24 +1,31 @@
 """Line dedup with sharded cuckoo filters over exact reference counts.
 
-``LineIndex`` stores one posting (key, document, +1) per document and distinct
-line key. Deleting documents appends the opposite postings, so any insertion
-can be taken back. The exact reference-count table (documents per key, largest
-document) is an aggregate over postings, first per (key, document), then per
-key, each with a partial aggregate before its shuffle.
-
-Keys in enough documents go into cuckoo filters, one per shard of the key space,
-each of bounded size (SHARDS x SHARD_BYTES in all, whatever the data's size).
-The filters are broadcast; a pass over the texts sends only lines that a filter
-knows to the exact table, which decides. A shard with more keys than its filter
-holds lets all its lines through to the exact table: no result changes. Dropped
-keys meet their text in one join by document id.
+``LineIndex`` is kept in files. Every insertion of documents adds one posting (key,
+document, +1) per document and distinct line key; deleting documents adds the opposite
+postings, so any insertion can be taken back. Each such batch ends with a new version of
+
+- the exact references: keys in at least ``least_docs`` documents with the largest
+  document holding them. Only keys of the batch are counted anew, first per (key,
+  document), then per key, each with a partial aggregate before its shuffle;
+- the cuckoo filters over these keys, one per shard of the key space, of bounded size
+  (SHARDS x SHARD_BYTES in all): keys that became common are inserted, keys that are
+  no longer common are deleted. A shard that outgrows its filter is built anew from its
+  keys; one with more keys than the largest filter holds lets all through to the exact
+  table, so no result changes, and its keys stay out of the build.
+
+A version is valid when its number is written, last; a batch that fails leaves none.
+
+Cleaning reads the postings, not the texts: the filters, sent to all tasks, leave those
+of likely common keys, the exact references decide, and the dropped keys meet their
+texts in one join by document id; only texts that lose a line are hashed again.
 
 A line's key is the line without white space at both ends, A-Z lower-cased.
 
 Defined cases: null or empty text = one empty line; null document id = the
 smallest id; rows that repeat an id count as one document and are cleaned each;
-repeated lines of one document count once and go or stay together; other
-columns are kept, columns of the added names are replaced.
+repeated lines of one document count once and go or stay together; rows of documents
+that are not in the index stay whole; other columns are kept, columns of the added
+names are replaced; very long texts are one row each; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from corpusworks.llm.bpe_codec import _schema, _with
 from corpusworks.llm.common import free_name, keep
@@ -98,38 +106,48 @@ class CuckooFilter:
         return (self.table[a] == m).any(1) | (self.table[b] == m).any(1)
 
 
+def capacity() -> int:
+    """Keys that the largest filter of a shard holds."""
+    return int(SHARD_BYTES / 2 * FULL)
+
+
 def build_filter(keys: np.ndarray) -> bytes | None:
-    """Table of a filter over ``keys`` (rows of two halves); None if it would be
-    larger than SHARD_BYTES or an insertion fails: everything passes then."""
-    if len(keys) > SHARD_BYTES / 2 * FULL:
+    """Table of a filter over ``keys`` (rows of two halves), with room for a third more; None
+    if it would be larger than SHARD_BYTES or an insertion fails: everything passes then."""
+    if len(keys) > capacity():
         return None
-    f = CuckooFilter(len(keys))
+    f = CuckooFilter(min(capacity(), len(keys) * 4 // 3))
     return f.table.tobytes() if all(f.insert(int(hi), int(lo)) for hi, lo in keys) else None
 
 
-def _postings(df: DataFrame, doc_id: str, text: str, least_chars: int, likely=None) -> DataFrame:
-    """One row per document and distinct key; with ``likely`` (of two arrays of key
-    halves) only of the keys for which it is true, in the same pass."""
+def update_filter(table: bytes, gone: np.ndarray, new: np.ndarray) -> bytes | None:
+    """A filter's table after keys are deleted and inserted; None if one finds no room."""
+    f = CuckooFilter(0, np.frombuffer(table, np.uint16).reshape(-1, SLOTS).copy())
+    done = all(f.delete(int(hi), int(lo)) for hi, lo in gone) and all(f.insert(int(hi), int(lo)) for hi, lo in new)
+    return f.table.tobytes() if done else None
+
+
+def _postings(df: DataFrame, doc_id: str, text: str, least_chars: int) -> DataFrame:
+    """One row per row of ``df`` and distinct key in it."""
     id_col = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
     def run(batches):
-        test = likely and likely()
         for b in batches:
             ids, digests = [], []
             for d, t in zip(b.column("doc").to_pylist(), b.column("body").to_pylist()):
                 own = set(key_hashes(t, least_chars)) - {None}
                 ids += [d] * len(own)
                 digests += own
-            k, doc = _halves(digests), np.array(ids, dtype=np.int64)
-            if test:
-                yes = test(k[:, 0], k[:, 1])
-                k, doc = k[yes], doc[yes]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(k[:, 0]), pa.array(k[:, 1])],
+            k = _halves(digests)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])],
                                              names=["doc", "hi", "lo"])
 
     return df.select(id_col.alias("doc"), F.col(text).alias("body")).mapInArrow(run, "doc long, hi long, lo long")
 
 
+_KEY = ["hi", "lo"]
+
+
 class LineIndex:
     """Postings under ``path`` (shared storage, one writer at a time)."""
 
@@ -137,51 +155,123 @@ class LineIndex:
         self.spark, self.path = spark, path
         self.least_docs, self.least_chars = least_docs, least_chars
 
+    # ----------------------------------------------------------- versions
+    def _read(self, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+
+    def _version(self) -> int:
+        try:
+            return self._read("versions", "v long").agg(F.max("v")).first()[0] or 0
+        except AnalysisException:
+            return 0
+
+    def _held(self, upto: int) -> DataFrame:
+        """Postings of the documents in the index."""
+        rows = self._read("postings", "doc long, hi long, lo long, change int, batch long")
+        return (rows.where(F.col("batch") <= upto).groupBy("doc", *_KEY).agg(F.sum("change").cast("int").alias("n"))
+                .where("n > 0"))
+
+    def _references(self, v: int) -> DataFrame:
+        return self._read(f"common/v={v}", "hi long, lo long, last_doc long")
+
+    def _filters(self, v: int) -> DataFrame:
+        return self._read(f"filters/v={v}", "shard int, keys long, filter binary")
+
+    def _commit(self, changes: DataFrame) -> None:
+        """Write a batch of postings, then references and filters that take it in."""
+        last = self._version()
+        v = last + 1
+        changes.write.mode("overwrite").parquet(f"{self.path}/postings/batch={v}")
+        held, old = self._held(v), None
+        if last:
+            touched = self._read(f"postings/batch={v}", "hi long, lo long").distinct()
+            held, old = held.join(touched, _KEY, "left_semi"), self._references(last)
+        now = held.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc")) \
+            .where(F.col("n_docs") >= self.least_docs).select(*_KEY, "last_doc")
+        if old is not None:
+            now = keep(now, "now")
+            now = now.unionAll(old.join(touched, _KEY, "left_anti"))
+        now.write.mode("overwrite").parquet(f"{self.path}/common/v={v}")
+        self._refresh_filters(last, v)
+        self.spark.createDataFrame([(v,)], "v long").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+
+    def _refresh_filters(self, last: int, v: int) -> None:
+        shard = F.pmod(F.col("hi"), F.lit(SHARDS)).cast("int").alias("shard")
+        now = self._references(v)
+        sizes = now.groupBy(shard).agg(F.count(F.lit(1)).alias("keys"))
+        if last:
+            old = self._references(last)
+            filters = self._filters(last).withColumnsRenamed({"keys": "held"})
+            changed = (now.join(old, _KEY, "left_anti").select(shard, *_KEY, F.lit(1).alias("change"))
+                       .unionAll(old.join(now, _KEY, "left_anti").select(shard, *_KEY, F.lit(-1).alias("change"))))
+            changed = keep(changed, "changed")
+            moved = changed.groupBy("shard").agg(F.count(F.lit(1)).alias("moved"))
+            state = sizes.join(filters, "shard", "full").join(moved, "shard", "left").select(
+                "shard", F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("moved", F.lit(0)).alias("moved"), "filter")
+        else:
+            changed = now.select(shard, *_KEY, F.lit(1).alias("change")).limit(0)
+            state = sizes.select("shard", "keys", F.col("keys").alias("moved"), F.lit(None).cast("binary").alias("filter"))
+        state = keep(state, "filters")                                             # SHARDS rows at most
+        room = F.octet_length("filter") / 2 * FULL
+        same = (F.col("moved") == 0) & F.col("filter").isNotNull()
+        fits = F.col("filter").isNotNull() & (F.col("keys") <= room)
+        few = F.col("keys") <= capacity()
+        updated = keep(state.where(~same & fits).join(changed, "shard").select("shard", *_KEY, "change", "filter")
+                       .groupBy("shard").applyInArrow(_update, "shard int, filter binary"), "updated")
+        full = updated.where("filter IS NULL").select("shard")                     # an insertion found no room
+        anew = state.where(~same & ~fits & few & (F.col("keys") > 0)).select("shard").unionAll(full)
+        built = (now.withColumn("shard", shard).join(F.broadcast(anew), "shard").select("shard", *_KEY)
+                 .groupBy("shard").applyInArrow(_build, "shard int, filter binary"))   # groups of capacity() keys at most
+        tables = built.unionAll(updated.where("filter IS NOT NULL")).unionAll(state.where(same).select("shard", "filter"))
+        (state.where("keys > 0").select("shard", "keys").join(tables, "shard", "left")
+         .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/filters/v={v}"))
+
+    # ------------------------------------------------------------ changes
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        (_postings(docs, doc_id, text, self.least_chars).withColumn("change", F.lit(1))
-         .write.mode("append").parquet(self.path))
+        self._commit(_postings(docs, doc_id, text, self.least_chars).withColumn("change", F.lit(1)))
 
     def delete(self, ids: DataFrame) -> None:
         """Take back the documents whose id is in the only column of ``ids``."""
         gone = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NO_ID)).alias("doc")).distinct()
-        keep(self._held().join(gone, "doc", "left_semi").withColumn("change", -F.col("n")).drop("n")
-             .select("doc", "hi", "lo", "change"), "gone").write.mode("append").parquet(self.path)
-
-    def _held(self) -> DataFrame:
-        rows = self.spark.read.schema("doc long, hi long, lo long, change int").parquet(self.path)
-        return rows.groupBy("doc", "hi", "lo").agg(F.sum("change").cast("int").alias("n")).where("n > 0")
+        self._commit(keep(self._held(self._version()).join(gone, "doc", "left_semi").withColumn("change", -F.col("n"))
+                          .select("doc", *_KEY, "change"), "gone"))
 
+    # -------------------------------------------------------------- reads
     def counts(self) -> DataFrame:
         """The exact reference-count table: hi, lo, n_docs, last_doc."""
-        return self._held().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
+        return self._held(self._version()).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
+
+    def filter_tables(self) -> dict[int, bytes | None]:
+        """The filters of the newest version by shard; None: all keys pass. SHARDS at most."""
+        v = self._version()
+        return {r["shard"]: r["filter"] for r in self._filters(v).collect()} if v else {}
 
     def clean(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """``docs`` without the lines whose key is in ``least_docs`` documents, except
-        in the last of them; adds n_lines and n_dropped."""
-        common = keep(self.counts().where(F.col("n_docs") >= self.least_docs).select("hi", "lo", "last_doc"), "refs")
-        shard = F.pmod(F.col("hi"), F.lit(SHARDS)).cast("int").alias("shard")
-        made = common.select(shard, "hi", "lo").groupBy("shard").applyInArrow(_build, "shard int, filter binary")
-        filters = self.spark.sparkContext.broadcast({r[0]: r[1] for r in made.collect()})   # bounded, see above
-        least = self.least_chars
+        """``docs`` (documents of the index) without the lines whose key is in ``least_docs``
+        documents, except in the last of them; adds n_lines and n_dropped."""
+        filters = self.spark.sparkContext.broadcast(self.filter_tables())                # bounded, see above
+        v, least = self._version(), self.least_chars
 
-        def probe():
+        def likely(batches):
             known = {s: f and CuckooFilter(0, np.frombuffer(f, np.uint16).reshape(-1, SLOTS))
                      for s, f in filters.value.items()}
-
-            def known_to_filter(hi, lo):
-                yes = np.zeros(len(hi), bool)
-                own = hi % SHARDS
+            for b in batches:
+                hi, lo = (b.column(c).to_numpy() for c in _KEY)
+                own, yes = hi % SHARDS, np.zeros(len(hi), bool)
                 for s in np.unique(own).tolist():
                     if s in known:
                         at = own == s
                         yes[at] = True if known[s] is None else known[s].contains(hi[at], lo[at])
-                return yes
-
-            return known_to_filter
-
-        likely = _postings(docs, doc_id, text, least, probe)
-        gone = (likely.join(common, ["hi", "lo"]).where("doc <> last_doc").distinct()
-                .groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("gone")))
+                yield b.filter(pa.array(yes))
+
+        columns = "doc long, hi long, lo long, change int"
+        none = self.spark.createDataFrame([], columns + ", batch long")
+        rows = self._read("postings", columns + ", batch long") if v else none
+        rows = rows.where(F.col("batch") <= v).select("doc", *_KEY, "change").mapInArrow(likely, columns)
+        held = rows.groupBy("doc", *_KEY).agg(F.sum("change").alias("n")).where("n > 0")
+        common = self._references(v) if v else none.select(*_KEY, F.col("doc").alias("last_doc"))
+        gone = (held.join(common, _KEY).where("doc <> last_doc")
+                .groupBy("doc").agg(F.collect_list(F.struct(*_KEY)).alias("gone")))
         link, lost = free_name(docs, "line_doc"), free_name(docs, "line_gone")
         joined = (docs.withColumn(link, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)))
                   .join(gone.select(F.col("doc").alias(link), F.col("gone").alias(lost)).hint("shuffle_hash"),
@@ -212,8 +302,18 @@ class LineIndex:
         return joined.mapInArrow(rebuild, schema)
 
 
+def _key_rows(t: pa.Table) -> np.ndarray:
+    return np.stack([t.column("hi").to_numpy(), t.column("lo").to_numpy()], 1)
+
+
+def _one_filter(t: pa.Table, made: bytes | None) -> pa.Table:
+    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "filter": pa.array([made], pa.binary())})
+
+
 def _build(t: pa.Table) -> pa.Table:
-    keys = np.stack([t.column("hi").to_numpy(), t.column("lo").to_numpy()], 1) if len(t) <= SHARD_BYTES else None
-    made = build_filter(keys) if keys is not None else None
-    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()),
-                     "filter": pa.array([made], pa.binary())})
+    return _one_filter(t, build_filter(_key_rows(t)))
+
+
+def _update(t: pa.Table) -> pa.Table:
+    keys, change = _key_rows(t), t.column("change").to_numpy()
+    return _one_filter(t, update_filter(t.column("filter")[0].as_py(), keys[change < 0], keys[change > 0]))
