@@ -9,6 +9,7 @@ from corpusworks.session import ensure_checkpoint_dir, scratch_dir, ship_package
 # Bounds of one Arrow batch: rows, and bytes (a batch ends with the row that reaches them),
 # as texts and packed sets can be long.
 ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
+ROWS_OF_A_TASK = 250_000     # narrow rows that one task writes
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -25,9 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write a derived table to the shared folder and read it back: lineage is
-    cut, later reads survive lost executors, and joins plan their own exchange."""
+    cut, later reads survive lost executors, and joins plan their own exchange.
+    ``rows``: about how many come out of the last shuffle at most; a table far smaller than
+    the shuffle is wide is then written by as many tasks as it needs, one a core at least."""
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_TASK)))
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

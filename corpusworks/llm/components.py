@@ -12,29 +12,29 @@ from pyspark.sql import functions as F
 from corpusworks.llm.common import keep
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.where("b < a")
-    least = keep(side.groupBy("a").agg(F.min("b").alias("m")), "least").withColumn("m", F.least("a", "m"))
+    least = keep(side.groupBy("a").agg(F.min("b").alias("m")), "least", 2 * rows).withColumn("m", F.least("a", "m"))
     joined = side.join(least, "a")
     moved = joined.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         moved = moved.unionAll(least.select("a", F.col("m").alias("b")))
-    return keep(moved.where("a <> b").distinct(), "star")
+    return keep(moved.where("a <> b").distinct(), "star", 2 * rows)
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (any orderable type). Returns node, root for every node with
-    an edge; the root is the smallest node of the component."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``edges``: a, b (any orderable type; about ``rows`` of them). Returns node, root for
+    every node with an edge; the root is the smallest node of the component."""
     now = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-               .where("a <> b").distinct(), "edges")
+               .where("a <> b").distinct(), "edges", rows)
     state = _state(now)
     while state[0]:
-        now = _star(_star(now, True), False)
+        now = _star(_star(now, True, state[0]), False, state[0])
         after = _state(now)
         if after == state:
             break

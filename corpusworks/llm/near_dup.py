@@ -197,10 +197,10 @@ def _pairs_of(percent: int):
     return run
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two members at least, with the node's size."""
-    sizes = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes")
-    return keep(rows.join(sizes, "node"), "members")
+def _sized(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (``most`` about) of nodes with two members at least, with the node's size."""
+    sizes = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "nodes", most)
+    return keep(rows.join(sizes, "node"), "members", most)
 
 
 def _small_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -271,17 +271,18 @@ def _compare_chunks(percent: int):
     return run
 
 
-def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame,
-                 percent: int) -> DataFrame:
+def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, most: int,
+                 members_of: int) -> DataFrame:
     """Links inside large nodes that are not yet in one component."""
     tagged = keep(large.join(roots, large["sid"] == roots["of"], "left")
-                  .select("node", "sid", "n", F.coalesce("root", "sid").alias("root")), "tagged")
+                  .select("node", "sid", "n", F.coalesce("root", "sid").alias("root")), "tagged", members_of)
     cut = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES))
     open_nodes = keep(tagged.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                                 cut.alias("chunks")).where("lo <> hi"), "open")
+                                                 cut.alias("chunks")).where("lo <> hi"), "open", members_of)
     placed = keep(tagged.join(open_nodes.select("node", "chunks"), "node")
-                  .withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "placed")
-    members = keep(placed.join(_sets_of(placed.select("sid").distinct(), classes, docs), "sid"), "chunk_sets")
+                  .withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("chunks"))), "placed", members_of)
+    members = keep(placed.join(_sets_of(placed.select("sid").distinct(), classes, docs, most), "sid"),
+                   "chunk_sets", 20 * members_of)
     chunks = keep(members.groupBy("node", "chunk").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("chunks").alias("chunks"),
         F.collect_list(F.struct("sid", "root", "x")).alias("m")), "chunks")       # of bounded size, see the cut
@@ -290,7 +291,7 @@ def _dense_links(large: DataFrame, roots: DataFrame, classes: DataFrame, docs: D
              .join(chunks.select("node", F.col("chunk").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb")),
                    ["node", "cb"])
              .where((F.col("la") != F.col("ha")) | (F.col("lb") != F.col("hb")) | (F.col("la") != F.col("lb"))))
-    pairs = keep(pairs.select("node", "ca", "cb"), "chunk_pairs")
+    pairs = keep(pairs.select("node", "ca", "cb"), "chunk_pairs", members_of)
     one = chunks.select("node", F.col("chunk").alias("ca"), F.col("m").alias("ma"))
     two = chunks.select("node", F.col("chunk").alias("cb"), F.col("m").alias("mb"))
     return pairs.join(one, ["node", "ca"]).join(two, ["node", "cb"]).select("ma", "mb") \
@@ -332,25 +333,25 @@ def _full_sets(batches):
                                           pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "x"])
 
 
-def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, most: int) -> DataFrame:
     """sid, x (packed full set) of the wanted classes, from their first documents."""
-    firsts = keep(classes.join(wanted, "sid", "left_semi").select(F.col("first").alias("doc"), "sid"), "wanted")
+    firsts = keep(classes.join(wanted, "sid", "left_semi").select(F.col("first").alias("doc"), "sid"), "wanted", most)
     texts = docs.join(firsts.select("doc").distinct(), "doc", "left_semi").select("body")
     found = texts.mapInArrow(_full_sets, "sid binary, x binary").join(firsts.select("sid"), "sid", "left_semi")
-    return keep(found.dropDuplicates(["sid"]), "sets")
+    return keep(found.dropDuplicates(["sid"]), "sets", 20 * most)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, most: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; ``most``: classes."""
     sig = classes.select("sid", "sig")
     sifted = keep(pairs.distinct().join(sig.select(F.col("sid").alias("a"), F.col("sig").alias("sa")), "a")
                   .join(sig.select(F.col("sid").alias("b"), F.col("sig").alias("sb")), "b")
-                  .select("a", "b", "sa", "sb").mapInArrow(_sift(percent), "a binary, b binary"), "sifted")
+                  .select("a", "b", "sa", "sb").mapInArrow(_sift(percent), "a binary, b binary"), "sifted", 20 * most)
     wanted = sifted.select(F.col("a").alias("sid")).unionAll(sifted.select(F.col("b").alias("sid"))).distinct()
-    sets = _sets_of(wanted, classes, docs)
+    sets = _sets_of(wanted, classes, docs, most)
     return keep(sifted.join(sets.select(F.col("sid").alias("a"), F.col("x").alias("xa")), "a")
                 .join(sets.select(F.col("sid").alias("b"), F.col("x").alias("xb")), "b")
-                .select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a binary, b binary"), "links")
+                .select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a binary, b binary"), "links", 20 * most)
 
 
 def _labelled(docs: DataFrame, percent: int, key: str = "") -> tuple[DataFrame, DataFrame]:
@@ -362,26 +363,31 @@ def _labelled(docs: DataFrame, percent: int, key: str = "") -> tuple[DataFrame,
                    .agg(F.min(head).alias("head"), F.first("n").alias("n"), F.first("sig").alias("sig"))
                    .withColumn("first", F.col("head.doc")), "classes")
 
-    planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant(percent), "node long, sid binary, n long"))
-    large = planted.where(F.col("size") > NODE).join(classes.select("sid", "sig"), "sid")
+    known = classes.count()
+    planted_rows = int(known * tree_count(percent) * 100 / percent)
+    planted = _sized(classes.select("sig", "sid", "n").mapInArrow(_plant(percent), "node long, sid binary, n long"), planted_rows)
+    wide = planted.where(F.col("size") > NODE)
+    grown_rows = int(wide.count() * sum((100 / percent) ** d for d in DEPTHS))
+    large = wide.join(classes.select("sid", "sig"), "sid")
     grown = _sized(large.select("node", "sid", "n", "sig")
-                   .mapInArrow(_grow(percent), "node long, sid binary, n long, depth int"))
+                   .mapInArrow(_grow(percent), "node long, sid binary, n long, depth int"), grown_rows)
     dense = keep(grown.where((F.col("size") > NODE) & (F.col("depth") == DEPTHS[-1])).select("node", "sid", "n"),
-                 "dense")
+                 "dense", grown_rows)
     links = _links(_small_pairs(planted, percent).unionAll(_small_pairs(grown, percent))
-                   .unionAll(_pivot_pairs(dense, percent)), classes, docs, percent)
+                   .unionAll(_pivot_pairs(dense, percent)), classes, docs, percent, known)
 
     def roots_of(edges: DataFrame) -> DataFrame:
-        return keep(components(edges).select(F.col("node").alias("of"), "root"), "roots")
+        return keep(components(edges, edges.count()).select(F.col("node").alias("of"), "root"), "roots", known)
 
     roots = roots_of(links)
-    if not dense.isEmpty():
-        roots = roots_of(links.unionAll(keep(_dense_links(dense, roots, classes, docs, percent), "dense_links")))
+    if not dense.isEmpty():                               # links found so far are stars now: few rounds more
+        more = keep(_dense_links(dense, roots, classes, docs, percent, known, grown_rows), "dense_links")
+        roots = roots_of(roots.where("of <> root").select(F.col("of").alias("a"), F.col("root").alias("b")).unionAll(more))
 
     class_root = classes.join(roots, classes["sid"] == roots["of"], "left").select(
         "sid", "head", F.coalesce("root", "sid").alias("root"))
     least = class_root.groupBy("root").agg(F.min("head").alias("least"))
-    labelled = keep(class_root.join(least, "root").select("sid", F.col("least").alias("head")), "labelled")
+    labelled = keep(class_root.join(least, "root").select("sid", F.col("least").alias("head")), "labelled", known)
     return rows, labelled
 
 
