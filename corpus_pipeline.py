@@ -9,10 +9,10 @@ the next one's documents.
 4. decontamination: documents that hold a benchmark item go.
 5. tokens: byte-level BPE ids, decoded back as a check.
 
-Rows with a null id can't be told apart and stay as they are in stages that
-decide by id. Rows that repeat an id share its decision in stage 4; stage 3
-decides by id and text, so only rows go whose own text is a copy. SQL can't
-express the classifier, so there is no SQL twin; tests/llm holds each stage
+Stages 1 and 4 decide by a row's own text, whatever its id. Stage 3 decides by
+id and text, so only rows go whose own text is a copy; rows with a null id can't
+be told apart there and stay. In stage 2 rows that repeat an id count as one
+document. Empty tables stay empty. SQL can't express the classifier, so there is no SQL twin; tests/llm holds each stage
 against a brute-force version.
 """
 
@@ -44,8 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(keep(hits.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
