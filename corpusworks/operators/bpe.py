@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 from corpusworks.operators.prefix import running_offsets
-from corpusworks.operators.tokens import PRETOKEN_PATTERN, word_counts
+from corpusworks.operators.tokens import PRETOKEN_PATTERN, array_blocks, lookup_ids, word_counts
 from corpusworks.session import stored
 
 
@@ -431,6 +431,31 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, word_ids: DataFram
     return j.select(id_col, (F.col("_off") + F.col("k")).cast("long").alias("pos"), F.col("token_id").cast("long"))
 
 
+def encode_arrays(docs: DataFrame, text_col: str, word_ids: DataFrame, pattern: str = PRETOKEN_PATTERN,
+                  unk_id: int = 1) -> DataFrame:
+    """C9 as one array per document: ``docs`` with ``text_col`` replaced by ``ids``. ``word_ids``: word, ids."""
+    cut = docs.withColumn(text_col, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 0))
+    return lookup_ids(cut, text_col, word_ids.withColumnRenamed("word", "token"), [unk_id])
+
+
+def separator_ids(spark: SparkSession, vocab: DataFrame, merges, text: str = K.PARAGRAPH_SEP, unk_id: int = 1) -> list[int]:
+    """Ids of the text between two documents of a corpus."""
+    words = word_counts(spark.createDataFrame([(text,)], "text string"))
+    ids = encode_words(apply_merges(words, merges), vocab, unk_id)
+    row = encode_arrays(spark.createDataFrame([(text,)], "text string"), "text", ids, unk_id=unk_id).first()
+    return list(row["ids"])
+
+
+def training_blocks(docs: DataFrame, order_cols: list[str], text_col: str, vocab: DataFrame, word_ids: DataFrame, merges,
+                    size: int = K.BLOCK_SIZE, stride: int = K.BLOCK_STRIDE, least_blocks: int = K.MIN_BLOCKS) -> DataFrame:
+    """P9 behind the vocabulary: documents in ``order_cols`` order, separators between them, cut into
+    blocks; fewer than ``least_blocks`` raise. Returns block_no, input_ids, labels."""
+    sep = separator_ids(docs.sparkSession, vocab, merges)
+    ids = encode_arrays(docs.select(*order_cols, text_col), text_col, word_ids)
+    blocks = array_blocks(ids, order_cols, "ids", size, stride, tuple(sep), least_blocks)
+    return blocks.select("block_no", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
+
+
 def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: int = K.VOCAB_SIZE,
                          min_frequency: int = K.MIN_PAIR_FREQUENCY, **kw):
     """C7 + C8 + C10 in one call: (vocab DataFrame, merges list, final words)."""
@@ -440,4 +465,5 @@ def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: in
 
 
 __all__ = ["train_bpe", "vocabulary", "merges_frame", "encode_words", "encode_texts", "train_from_documents",
-           "byte_symbols", "display", "byte_alphabet", "apply_merges", "merge_symbols", "encode_new_texts"]
+           "byte_symbols", "display", "byte_alphabet", "apply_merges", "merge_symbols", "encode_new_texts", "encode_arrays",
+           "separator_ids", "training_blocks"]

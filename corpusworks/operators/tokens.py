@@ -7,15 +7,24 @@ L = size + 1 gives one. A token at position p belongs to the blocks
 p div stride and p div stride - 1 (for size = 2 * stride), so blocks are
 built by a shuffle on the block number with at most ``size`` rows per group -
 no per-document or per-corpus arrays.
+
+``array_blocks`` is the plan for tokens that are arrays, one per document: blocks inside a
+document are slices of its array; only blocks over a border between documents are shuffled,
+as segments of at most ``size`` tokens, and stitched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 from corpusworks.operators.prefix import global_row_index, running_offsets
+from corpusworks.session import stored
 
 # Oracle-friendly tokens: runs of letters/digits, or one other non-space char.
 SIMPLE_TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0B\x0C\r ]"
@@ -86,6 +95,131 @@ def blocks_from_positions(tok: DataFrame, key_cols: list[str], pos_col: str, val
     return j.select(*key_cols, F.col("_h").alias("block_no"), F.concat("_ids", "_ids2").alias("ids"))
 
 
+LOOKUP_ROWS, LOOKUP_BYTES = 2_000_000, 64 << 20       # a table of ids that travels by broadcast, at most
+
+
+def lookup_ids(df: DataFrame, tokens_col: str, table: DataFrame, unknown: list[int], out_col: str = "ids",
+               max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """``df`` with the array ``tokens_col`` replaced by ``out_col``: the ids of all its tokens, one after
+    the other. ``table``: token, ids (array of long), a token once; others become ``unknown``. A table below
+    both bounds (counted first) travels by broadcast; a larger one meets the tokens in a join."""
+    keep_cols = [c for c in df.columns if c != tokens_col]
+    t = table.select("token", F.col("ids").cast("array<bigint>").alias("ids"))
+    n, size = t.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(
+        F.octet_length("token") + 8 * F.size("ids") + 8), F.lit(0))).first()
+    if n <= max_rows and size <= max_bytes:
+        return _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col)
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "lookup")
+    found = (rows.select("_row", F.posexplode(tokens_col).alias("_at", "token")).join(t, "token", "left")
+             .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
+                 "_at", F.coalesce("ids", F.array(*[F.lit(i).cast("long") for i in unknown])).alias("ids")))).alias("_m"))
+             .select("_row", F.flatten(F.transform("_m", lambda x: x["ids"])).alias(out_col)))
+    return rows.drop(tokens_col).join(found, "_row", "left").select(
+        *keep_cols, F.coalesce(out_col, F.array().cast("array<bigint>")).alias(out_col))
+
+
+def _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col):
+    rows = t.toArrow()
+    lists = rows.column("ids").combine_chunks()
+    ids = np.append(lists.flatten().to_numpy(zero_copy_only=False), np.array(unknown, np.int64)).astype(np.int64)
+    sizes = np.append(np.diff(lists.offsets.to_numpy()), len(unknown)).astype(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((rows.column("token").combine_chunks().cast(pa.string()), ids, sizes))
+
+    def run(batches):
+        tokens, flat, lengths = shared.value
+        starts = np.cumsum(lengths) - lengths
+        for b in batches:
+            column = b.column(tokens_col)
+            at = pc.fill_null(pc.index_in(column.flatten().cast(pa.string()), value_set=tokens), len(tokens)).to_numpy()
+            size = lengths[at]
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            values = flat[np.repeat(starts[at], size) + inside]
+            per_row = np.diff(column.offsets.to_numpy())
+            ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per_row))]
+            told = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_cols), told], names=[*keep_cols, out_col])
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep_cols).schema.fields]
+    source = df.select(*keep_cols, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias(tokens_col))
+    return source.mapInArrow(run, ", ".join([*types, f"`{out_col}` array<bigint>"]))
+
+
+def _local_starts(ids_col: str, sep: int):
+    def run(batches):
+        pid, here = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = np.diff(b.column(ids_col).offsets.to_numpy()).astype(np.int64)
+            ends = here + np.cumsum(n + sep)
+            if len(n):
+                here = int(ends[-1])
+            for name, values in (("_pid", np.full(len(n), pid, np.int32)), ("_start", ends - n - sep), ("_n", n)):
+                b = b.append_column(name, pa.array(values))
+            yield b
+    return run
+
+
+def array_blocks(rows: DataFrame, order_cols: list[str], ids_col: str = "ids", size: int = K.BLOCK_SIZE,
+                 stride: int = K.BLOCK_STRIDE, sep_ids: tuple[int, ...] = (), least_blocks: int = 0) -> DataFrame:
+    """C5 over the whole corpus from one array of ids per row: the rows in ``order_cols`` order, with
+    ``sep_ids`` between them, are one sequence; block b holds its ``size`` ids from b * stride on, for all
+    b * stride < L - size. Fewer than ``least_blocks`` blocks raise. Returns block_no, ids. Null arrays
+    are empty; rows with equal order keys stand in any order."""
+    if size < 1 or stride < 1:
+        raise ValueError("size and stride must be positive")
+    sep = len(sep_ids)
+    own = rows.select(*order_cols, F.coalesce(F.col(ids_col), F.array()).cast("array<bigint>").alias("_ids"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    placed = stored(own.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+                    .mapInArrow(_local_starts("_ids", sep), types + ", _pid int, _start long, _n long"), "block-rows")
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored(placed.groupBy("_pid").agg(F.sum(F.col("_n") + sep).alias("_tokens")).select(     # a row per partition
+        "_pid", F.coalesce(F.sum("_tokens").over(before), F.lit(0)).alias("_before"), "_tokens"), "block-offsets")
+    length = max(0, (totals.agg(F.coalesce(F.sum("_tokens"), F.lit(0))).first()[0]) - sep)
+    blocks = len(range(0, length - size, stride))
+    if blocks < least_blocks:
+        raise ValueError(f"token_blocks: {blocks} < {least_blocks}")
+    s, e = F.col("_s"), F.col("_e")
+    last = F.lit(blocks - 1).cast("long")
+    floor = lambda x: F.floor(x / stride).cast("long")
+    told = (placed.where(F.col("_n") + sep > 0).join(F.broadcast(totals.select("_pid", "_before")), "_pid")
+            .select(F.concat("_ids", F.array(*[F.lit(i).cast("long") for i in sep_ids]).cast("array<bigint>")).alias("_own"),
+                    (F.col("_before") + F.col("_start")).alias("_s"), "_n")
+            .withColumn("_e", s + F.col("_n") + sep)
+            .withColumn("_first", floor(s + stride - 1)).withColumn("_last", F.least(floor(e - size), last)))
+
+    def span(lo, hi):
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+    def cut(b, lo, hi):
+        return F.slice("_own", (lo - s + 1).cast("int"), (hi - lo).cast("int"))
+
+    inner = told.select(F.explode(F.transform(span(F.col("_first"), F.col("_last")), lambda b: F.struct(
+        b.alias("block_no"), cut(b, b * stride, b * stride + size).alias("ids")))).alias("x")).select("x.*")
+    lowest, highest = F.greatest(floor(s - size) + 1, F.lit(0).cast("long")), F.least(floor(e + stride - 1) - 1, last)
+    over = F.concat(span(lowest, F.least(F.col("_first") - 1, highest)),
+                    span(F.greatest(F.col("_first"), F.col("_last") + 1), highest))
+
+    def segment(b):
+        lo, hi = F.greatest(b * stride, s), F.least(b * stride + size, e)
+        return F.struct(b.alias("block_no"), lo.alias("at"), cut(b, lo, hi).alias("part"))
+
+    border = (told.select(F.explode(F.transform(over, segment)).alias("x")).select("x.*")
+              .groupBy("block_no").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("m"))     # size ids at most
+              .select("block_no", F.flatten(F.transform("m", lambda x: x["part"])).alias("ids")))
+    return inner.unionByName(border)
+
+
+def row_blocks(rows: DataFrame, key_cols: list[str], ids_col: str = "ids", size: int = K.BLOCK_SIZE,
+               stride: int = K.BLOCK_STRIDE) -> DataFrame:
+    """C5 per row from its array of ids, without a shuffle: key_cols, block_no, ids."""
+    n = F.size(ids_col)
+    starts = F.when(n > size, F.sequence(F.lit(0), F.floor((n - size - 1) / stride).cast("int"))).otherwise(
+        F.array().cast("array<int>"))
+    return rows.select(*key_cols, F.explode(F.transform(starts, lambda b: F.struct(
+        b.cast("long").alias("block_no"), F.slice(ids_col, b * stride + 1, F.lit(size)).alias("ids")))).alias("x")).select(
+        *key_cols, "x.*")
+
+
 def ids_digest(ids_col: str = "ids"):
     return F.md5(F.array_join(F.transform(F.col(ids_col), lambda x: x.cast("string")), ","))
 

@@ -1,5 +1,5 @@
 """Catalogue: byte-level BPE word table, training, vocabulary, encoding and
-the training-corpus build (P9). Training runs once per session and input."""
+the training-corpus build (P9). Every query trains for itself."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from corpusworks.operators import tokens as tk
 from corpusworks.plans.registry import query
 from corpusworks.session import load_table
 
-_TRAINED: dict[tuple, tuple] = {}
-
 # DuckDB twin of the GPT-2 style split. RE2 has no lookahead, so the words are
 # first cut with the same alternatives minus the lookahead one (whitespace runs
 # then stay whole) and the lookahead's effect is re-applied on the token list:
@@ -62,12 +60,9 @@ SELECT pr.l AS "left", pr.r AS "right", sum(n)::BIGINT AS n FROM p GROUP BY 1, 2
 
 
 def trained(spark, sf_dir, vocab_size=K.VOCAB_SIZE, min_frequency=K.MIN_PAIR_FREQUENCY):
-    """(vocab, merges, final_words), trained once per (session, input, params)."""
-    key = (spark.sparkContext.applicationId, sf_dir, vocab_size, min_frequency)
-    if key not in _TRAINED:
-        docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-        _TRAINED[key] = bpe.train_from_documents(docs, "text", vocab_size, min_frequency)
-    return _TRAINED[key]
+    """(vocab, merges, final_words) of the documents."""
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.train_from_documents(docs, "text", vocab_size, min_frequency)
 
 
 @query("c7_word_counts", SQL_C7)
@@ -96,29 +91,39 @@ def c10_vocabulary(spark, sf_dir):
     return vocab.select("id", "token", "kind", "count")
 
 
+def _fingerprints(ids):
+    """doc_id, n_tokens and an order-sensitive fingerprint of each array of ids."""
+    hashes = F.transform("ids", lambda x, i: F.pmod(F.xxhash64(i, x), F.lit(2147483647)))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_fingerprint"),
+                      F.array_max("ids").alias("max_id"))
+
+
 @query("c9_encode")
 def c9_encode(spark, sf_dir):
     """Every document as BPE ids: doc_id, n_tokens, fingerprint of (pos, id) pairs."""
     vocab, _, final = trained(spark, sf_dir)
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode_texts(docs, "doc_id", "text", bpe.encode_words(final, vocab))
-    # order-sensitive fingerprint as a sum of per-token hashes: distributive,
-    # so a huge document is aggregated partially like any other group
-    per_doc = ids.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.sum(F.pmod(F.xxhash64("pos", "token_id"), F.lit(2147483647))).alias("ids_fingerprint"),
-        F.max("token_id").alias("max_id"))
-    return per_doc
+    return _fingerprints(bpe.encode_arrays(docs, "text", bpe.encode_words(final, vocab)))
+
+
+@query("c9_encode_new")
+def c9_encode_new(spark, sf_dir):
+    """Texts that training has not seen, all turns of the conversations, by the documents' vocabulary."""
+    vocab, merges, _ = trained(spark, sf_dir)
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    words = bpe.encode_words(bpe.apply_merges(tk.word_counts(turns, "text"), merges), vocab)
+    ids = bpe.encode_arrays(turns, "text", words)
+    return ids.select("conv_id", "turn", F.size("ids").cast("long").alias("n_tokens"),
+                      F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
 
 
 @query("p9_training_blocks")
 def p9_training_blocks(spark, sf_dir):
-    """Corpus gate -> BPE -> encode whole corpus in document order ->
-    128-token blocks with stride 64 (labels = copy of input_ids)."""
+    """Corpus gate -> BPE -> encode whole corpus in (source, doc_id) order, separators between
+    documents -> 128-token blocks with stride 64 (labels = copy of input_ids) -> block gate."""
     from corpusworks.operators.gates import check, corpus_gates
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = load_table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     check(corpus_gates(docs, "text").filter(F.col("gate") == "corpus_chars"))
-    vocab, _, final = trained(spark, sf_dir)
-    ids = bpe.encode_texts(docs, "doc_id", "text", bpe.encode_words(final, vocab))
-    blocks = tk.corpus_blocks(ids, "doc_id")
-    return blocks.select("block_no", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
+    vocab, merges, final = trained(spark, sf_dir)
+    return bpe.training_blocks(docs, ["source", "doc_id"], "text", vocab, bpe.encode_words(final, vocab), merges)

@@ -11,7 +11,7 @@ from corpusworks.operators import sft
 from corpusworks.operators import tokens as tk
 from corpusworks.plans.registry import query
 from corpusworks.plans.sqlfrag import sql_str, sql_strip
-from corpusworks.session import load_table
+from corpusworks.session import load_table, stored
 
 SEP2 = "chr(10) || chr(10)"
 NOTICE = sql_str(K.CAP_NOTICE)
@@ -137,9 +137,12 @@ _SQL_TOKENS = f"""
   g AS (SELECT t.doc_id, t.pos, v.token_id FROM t JOIN v USING (token))"""
 
 
-def token_ids(spark, sf_dir, with_length=False):
-    toks = tk.regex_tokens(docs(spark, sf_dir), "doc_id", "text", with_length=with_length)
-    return tk.with_token_ids(toks, tk.token_vocabulary(toks))
+def token_arrays(spark, sf_dir):
+    """source, doc_id, ids: every document's tokens as their ranks among all distinct tokens."""
+    cut = docs(spark, sf_dir).select("source", "doc_id", F.regexp_extract_all(
+        F.col("text"), F.lit(tk.SIMPLE_TOKEN_PATTERN), 0).alias("tokens"))
+    vocab = stored(tk.token_vocabulary(cut.select(F.explode("tokens").alias("token"))), "vocabulary")
+    return tk.lookup_ids(cut, "tokens", vocab.select("token", F.array("token_id").alias("ids")), [])
 
 
 @query("c5_token_blocks_corpus", f"""
@@ -151,8 +154,23 @@ WITH {_SQL_TOKENS},
 SELECT block_no, md5(string_agg(token_id::VARCHAR, ',' ORDER BY gpos)) AS ids_md5
 FROM b, n WHERE block_no * 64 < n.n - 128 GROUP BY block_no""")
 def c5_token_blocks_corpus(spark, sf_dir):
-    counts = tk.token_counts(docs(spark, sf_dir), "doc_id", "text")
-    b = tk.corpus_blocks(token_ids(spark, sf_dir), "doc_id", counts=counts)
+    b = tk.array_blocks(token_arrays(spark, sf_dir), ["doc_id"])
+    return b.select("block_no", tk.ids_digest("ids").alias("ids_md5"))
+
+
+@query("c5_blocks_separated", f"""
+WITH {_SQL_TOKENS},
+  a AS (SELECT source, doc_id, pos, token_id FROM g JOIN documents USING (doc_id)
+        UNION ALL SELECT source, doc_id, 1000000000 + k, -k FROM documents, (VALUES (1), (2)) v(k)),
+  q AS (SELECT token_id, row_number() OVER (ORDER BY source, doc_id, pos) - 1 AS gpos FROM a),
+  n AS (SELECT count(*) - 2 AS n FROM q),
+  b AS (SELECT block_no, gpos, token_id FROM q, (VALUES (0), (1), (2)) v(k), LATERAL (SELECT gpos // 40 - k AS block_no) x
+        WHERE block_no >= 0 AND gpos < block_no * 40 + 96)
+SELECT block_no, md5(string_agg(token_id::VARCHAR, ',' ORDER BY gpos)) AS ids_md5
+FROM b, n WHERE block_no * 40 < n.n - 96 GROUP BY block_no""")
+def c5_blocks_separated(spark, sf_dir):
+    """Documents in (source, doc_id) order, two separator ids between them, blocks of 96 with stride 40."""
+    b = tk.array_blocks(token_arrays(spark, sf_dir), ["source", "doc_id"], size=96, stride=40, sep_ids=(-1, -2))
     return b.select("block_no", tk.ids_digest("ids").alias("ids_md5"))
 
 
@@ -164,7 +182,7 @@ WITH {_SQL_TOKENS},
 SELECT b.doc_id, block_no, md5(string_agg(token_id::VARCHAR, ',' ORDER BY pos)) AS ids_md5
 FROM b JOIN n USING (doc_id) WHERE block_no * 64 < n.n - 128 GROUP BY b.doc_id, block_no""")
 def c5_token_blocks_per_doc(spark, sf_dir):
-    b = tk.doc_blocks(token_ids(spark, sf_dir, with_length=True), "doc_id", length_col="n_tokens")
+    b = tk.row_blocks(token_arrays(spark, sf_dir), ["doc_id"])
     return b.select("doc_id", "block_no", tk.ids_digest("ids").alias("ids_md5"))
 
 

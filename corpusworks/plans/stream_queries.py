@@ -27,32 +27,40 @@ N_FILES = 4
 
 
 def token_events(spark, sf_dir):
-    """Conversation messages as token streams: tokens at seq 0..n-1 and a
-    'done' at n; system messages get a 'stop' at seq 3 instead of token 3."""
+    """Conversation messages as token streams: at seq 0 the source behind an answer or a system message (an
+    empty token for others), tokens at seq 1..n and a 'done' at n + 1; system messages get a
+    'stop' at seq 4 instead of that token."""
     c = load_table(spark, sf_dir, "conversations")
-    toks = c.select("conv_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_SPLIT), 0))
-                    .alias("seq", "token"))
+    sourced = F.col("role").isin("assistant", "system")
     base = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-    stopped = (F.col("role") == "system") & (F.col("seq") == STOP_AT)
-    tok = toks.select("conv_id", "turn", F.col("seq").cast("long").alias("seq"),
-                      F.when(stopped, F.lit("")).otherwise(F.col("token")).alias("token"),
-                      F.when(stopped, F.lit("stop")).otherwise(F.lit("token")).alias("event"),
-                      (base + F.make_dt_interval(secs=F.col("seq").cast("double") / 1000)).alias("ts"))
+
+    def at(seq):
+        return (base + F.make_dt_interval(secs=seq.cast("double") / 1000)).alias("ts")
+
+    toks = c.select("conv_id", "turn", "role", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_SPLIT), 0))
+                    .alias("place", "token")).withColumn("seq", (F.col("place") + 1).cast("long"))
+    stopped = (F.col("role") == "system") & (F.col("place") == STOP_AT)
+    tok = toks.select("conv_id", "turn", "seq", F.when(stopped, F.lit("")).otherwise(F.col("token")).alias("token"),
+                      F.when(stopped, F.lit("stop")).otherwise(F.lit("token")).alias("event"), at(F.col("seq")))
+    first = c.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"),
+                     F.when(sourced, F.concat(F.lit("base/c"), (F.col("conv_id") % 10).cast("string"), F.lit(".txt")))
+                     .otherwise("").alias("token"),
+                     F.when(sourced, "source").otherwise("token").alias("event"), at(F.lit(0)))
     n = toks.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
-    done = c.join(n, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", F.coalesce("n", F.lit(0)).cast("long").alias("seq"), F.lit("").alias("token"),
-        F.lit("done").alias("event"),
-        (F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
-         + F.make_dt_interval(secs=F.coalesce("n", F.lit(0)).cast("double") / 1000)).alias("ts"))
-    return tok.unionByName(done)
+    end = (F.coalesce("n", F.lit(0)) + 1).cast("long")
+    done = c.join(n, ["conv_id", "turn"], "left").select("conv_id", "turn", end.alias("seq"), F.lit("").alias("token"),
+                                                         F.lit("done").alias("event"), at(end))
+    return tok.unionByName(first).unionByName(done)
 
 
 _SQL_T1 = f"""
-WITH m AS (SELECT conv_id, turn, role, regexp_extract_all(text, '{TOKEN_SPLIT}') AS toks FROM conversations)
+WITH m AS (SELECT conv_id, turn, role, regexp_extract_all(text, '{TOKEN_SPLIT}') AS toks,
+                  CASE WHEN role IN ('assistant', 'system') THEN {sql_str(K.SOURCES_PREFIX)} || 'c' || (conv_id % 10) || '.txt'
+                       ELSE '' END AS footer FROM conversations)
 SELECT conv_id, turn,
        CASE WHEN role = 'system' AND len(toks) > {STOP_AT}
             THEN array_to_string(toks[1:{STOP_AT}], '') || {sql_str(K.STOP_NOTICE)}
-            ELSE array_to_string(toks, '') END AS text,
+            ELSE array_to_string(toks, '') END || footer AS text,
        CASE WHEN role = 'system' AND len(toks) > {STOP_AT} THEN 'stopped' ELSE 'done' END AS status
 FROM m"""
 

@@ -1,12 +1,20 @@
 """File scans: mixed document files -> documents + quarantine.
 
-One ``binaryFile`` listing feeds everything; the lower-cased extension routes
-each file (S6). Plain text is decoded JVM-side (strict UTF-8 check, no Python);
-CSV, JSON/JSONL and the zip+XML office formats go through one Arrow-batched
-extractor that returns ``STRUCT<docs ARRAY<STRING>, error STRING>`` per file,
-so a bad file becomes a quarantine row instead of failing the job (S7). Work
-is spread over files; a single huge file is one task (binaryFile rows hold
-whole files, capped by ``spark.sql.sources.binaryFile.maxLength``).
+The lower-cased extension routes each file (S6). Plain text is decoded JVM-side
+(strict UTF-8 check, no Python); JSON and the zip+XML office formats go through one
+Arrow-batched extractor that returns ``STRUCT<docs ARRAY<STRING>, error STRING>`` per
+file, so a bad file becomes a quarantine row instead of failing the job (S7).
+
+CSV and JSON lines are scanned as lines, so a huge file is many tasks. Per file an
+aggregate over its lines tells whether lines can be read one by one: a CSV file if
+no quoted cell goes on in the next line, a JSON-lines file if its first line is a whole
+value or can't begin one. Their rows come from native expressions alone; the few other
+files are put together again and go through the extractor.
+
+Every file is read once: the lines and the extracted rows are written to the shared
+folder and split into documents and quarantine from there. Files that are read whole
+must not be larger than ``spark.sql.sources.binaryFile.maxLength`` or ``max_bytes``;
+larger ones are quarantined by their listed size, unread.
 """
 
 from __future__ import annotations
@@ -20,12 +28,15 @@ from collections.abc import Callable
 from itertools import zip_longest
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusworks.functions import text as tf
+from corpusworks.session import stored
 
 DOC_COLUMNS = ["source", "ext", "ordinal", "text"]
 QUARANTINE_COLUMNS = ["source", "ext", "reason"]
@@ -45,7 +56,7 @@ def _decode(content: bytes) -> str:
 
 def extract_csv(content: bytes) -> list[str]:
     """One document per row: 'column: value' lines in header order; a missing
-    cell is empty, cells beyond the header share one line."""
+    cell is empty, cells beyond the header share one line without a name."""
     rows = filter(None, csv.reader(io.StringIO(_decode(content), newline="")))
     names = [n.strip() for n in next(rows, [])]
 
@@ -53,7 +64,7 @@ def extract_csv(content: bytes) -> list[str]:
         cells = [c.strip() for c in cells]
         own, beyond = cells[:len(names)], cells[len(names):]
         named = [f"{n}: {c}" for n, c in zip_longest(names, own, fillvalue="")]
-        return "\n".join(named + ["None: " + ",".join(beyond)] * bool(beyond))
+        return "\n".join(named + [",".join(beyond)] * bool(beyond))
 
     return list(map(document, rows))
 
@@ -178,13 +189,145 @@ def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
 
 def scan_documents(spark: SparkSession, paths: str | list[str],
                    extractors: dict[str, Callable[[bytes], list[str]]] | None = None,
-                   recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+                   recursive: bool = True, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, quarantine).
 
     documents: source, ext, ordinal, text - one row per document.
-    quarantine: source, ext, reason - unsupported formats and failed files.
+    quarantine: source, ext, reason - unsupported formats, files that are too large to be
+    read whole, and failed files.
     """
-    return split_documents(list_files(spark, paths, recursive), extractors)
+    most = max_bytes or int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    by_line = [e for e in (".csv", ".jsonl") if e not in (extractors or {})]
+    files = list_files(spark, paths, recursive).where(~tf.file_ext("path").isin(by_line))
+    docs, bad = split_documents(files.where(F.col("length") <= most), extractors)
+    too_large = files.where(F.col("length") > most).select(
+        F.col("path").alias("source"), tf.file_ext("path").alias("ext"),
+        F.concat(F.lit("too large to be read whole: "), F.col("length").cast("string"), F.lit(" bytes")).alias("reason"))
+    rows = _outcome(docs, bad.unionByName(too_large))
+    if by_line:
+        lines = stored(scan_lines(spark, paths, by_line, recursive), "file-lines")
+        rows = rows.unionByName(_outcome(*documents_of_lines(lines, extractors, most)))
+    rows = stored(rows, "file-rows")
+    return (rows.where("reason IS NULL").select(*DOC_COLUMNS),
+            rows.where("reason IS NOT NULL").select(*QUARANTINE_COLUMNS))
+
+
+def _outcome(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Documents and quarantine as one table."""
+    text = docs.select("source", "ext", F.col("ordinal").cast("long").alias("ordinal"), "text",
+                       F.lit(None).cast("string").alias("reason"))
+    return text.unionByName(bad.select("source", "ext", F.lit(None).cast("long").alias("ordinal"),
+                                       F.lit(None).cast("string").alias("text"), "reason"))
+
+
+# ------------------------------------------------------------ files by lines
+
+# a CSV cell: quoted (doubled quotes inside, anything up to the comma behind), or bare
+_CELL = r'"[^"]*+(?:""[^"]*+)*+"(?!")[^,]*|[^",][^,]*|'
+
+
+def _numbered(batches):
+    """Adds ``place``: how many filled lines of the same stretch of a file come before."""
+    last, carry = None, 0
+    for b in batches:
+        stretch, filled = b.column("stretch").to_numpy(), b.column("filled").to_numpy(zero_copy_only=False)
+        upto = np.cumsum(filled)
+        starts = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]]) if len(b) else np.zeros(0, np.int64)
+        before = np.append(0, upto)[starts]
+        if len(b):
+            begun = carry if last == stretch[0] else 0
+            before[0] -= begun
+            place = upto - filled - np.repeat(before, np.diff(np.append(starts, len(b))))
+            last, carry = stretch[-1], int(place[-1] + filled[-1])
+            yield b.append_column("place", pa.array(place.astype(np.int64)))
+
+
+def scan_lines(spark: SparkSession, paths: str | list[str], extensions: list[str], recursive: bool = True) -> DataFrame:
+    """Lines of the files with these extensions: source, ext, block (where the file's stretch
+    begins), id (order in the stretch), place (among its filled lines), filled, value."""
+    globs = ["*." + "".join(f"[{c.lower()}{c.upper()}]" for c in e[1:]) for e in extensions]
+    r = spark.read.option("pathGlobFilter", "{" + ",".join(globs) + "}")
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))     # a URI there, a path in listings
+    source = F.regexp_replace(path, "^file:/{2,3}", "file:/")
+    rows = r.text(paths if isinstance(paths, list) else [paths]).select(
+        source.alias("source"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), "value")
+    filled = F.when(tf.file_ext("source") == ".csv", F.length("value") > 0).otherwise(F.length(tf.strip("value")) > 0)
+    rows = rows.select("source", tf.file_ext("source").alias("ext"), "block", "id", F.xxhash64("source", "block").alias("stretch"),
+                       filled.alias("filled"), F.is_valid_utf8("value").alias("valid"), F.encode("value", "UTF-8").alias("raw"))
+    types = "source string, ext string, block long, id long, stretch long, filled boolean, valid boolean, raw binary"
+    return rows.mapInArrow(_numbered, types + ", place long").select(
+        "source", "ext", "block", "id", "place", "filled", "valid", F.col("raw").cast("string").alias("value"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _whole_value(line: pd.Series) -> pd.Series:
+    def whole(text):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            return False
+    return line.map(whole)
+
+
+def documents_of_lines(lines: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]] | None = None,
+                       max_bytes: int = 1 << 31) -> tuple[DataFrame, DataFrame]:
+    """(documents, quarantine) of scanned lines (a written table)."""
+    closed = F.col("value").rlike(f"^(?:{_CELL})(?:,(?:{_CELL}))*$")
+    first = F.min_by("value", F.when(F.col("filled"), F.struct("block", "id")))
+    per_file = stored(lines.groupBy("source", "ext").agg(
+        F.bool_and("valid").alias("valid"), F.count_if("filled").alias("n"), first.alias("first"),
+        F.min(F.when(F.col("filled"), F.struct("block", "id"))).alias("head"),
+        F.bool_and(closed | (F.col("ext") != ".csv")).alias("closed"),
+        F.sum(F.octet_length("value") + 1).alias("size")), "file-facts")
+    # rows of a file one by one: no cell goes on; the first JSON value ends where more follow, or none can begin
+    head = tf.strip("first")
+    apart = F.when(F.col("ext") == ".csv", F.col("closed")).otherwise(
+        (F.col("n") >= 2) & (~head.rlike("^[\\[{]") | _whole_value(F.coalesce(head, F.lit("")))))
+    facts = stored(per_file.where("valid").select("source", "ext", "n", "first", "head", "size", apart.alias("apart")), "file-kinds")
+    counts = lines.groupBy("source", "block").agg(F.count_if("filled").alias("filled_here"))
+    before = F.sum("filled_here").over(Window.partitionBy("source").orderBy("block")
+                                       .rowsBetween(Window.unboundedPreceding, -1))       # a row per block of a file
+    offsets = counts.select("source", "block", F.coalesce(before, F.lit(0)).alias("offset"))
+    rows = (lines.where("filled").join(facts.where("apart").drop("ext"), "source").join(offsets, ["source", "block"])
+            .withColumn("at", F.col("offset") + F.col("place")))
+    json_rows = rows.where("ext = '.jsonl'").select("source", "ext", F.col("at").alias("ordinal"), tf.strip("value").alias("text"))
+    csv_rows = rows.where(F.col("ext") == ".csv").where(F.struct("block", "id") != F.col("head")).select(
+        "source", "ext", (F.col("at") - 1).alias("ordinal"), _csv_document(_cells("first"), _cells("value")).alias("text"))
+    whole = facts.where("NOT apart AND n > 0")
+    texts = (lines.join(whole.where(F.col("size") <= max_bytes).select("source"), "source", "left_semi").groupBy("source", "ext")
+             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "id", "value"))),
+                                           lambda x: x["value"]), "\n").alias("text")))   # max_bytes at most, like a file read whole
+    table = dict(DEFAULT_EXTRACTORS)
+    table.update(extractors or {})
+    got = stored(texts.select("source", "ext", extractor_udf(table)("ext", F.encode("text", "UTF-8")).alias("_r")), "file-whole")
+    docs = json_rows.unionByName(csv_rows).unionByName(
+        got.where("_r.error IS NULL").select("source", "ext", F.posexplode("_r.docs").alias("ordinal", "text")))
+    bad = per_file.where("NOT valid").select("source", "ext", F.lit("UnicodeDecodeError: invalid utf-8").alias("reason")).unionByName(
+        whole.where(F.col("size") > max_bytes).select("source", "ext", F.lit("too large to be read whole").alias("reason"))).unionByName(
+        got.where("_r.error IS NOT NULL").select("source", "ext", F.col("_r.error").alias("reason")))
+    return docs, bad
+
+
+def _cells(line: str) -> F.Column:
+    """The stripped cells of a CSV line."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.col(line)), F.lit(f",({_CELL})"), 1)
+
+    def plain(cell):
+        inner = F.regexp_extract(cell, r'^"([^"]*+(?:""[^"]*+)*+)"', 1)
+        quoted = F.concat(F.replace(inner, F.lit('""'), F.lit('"')), F.substr(cell, F.length(inner) + 3))
+        return tf.strip(F.when(cell.startswith('"'), quoted).otherwise(cell))
+
+    return F.transform(found, plain)
+
+
+def _csv_document(names: F.Column, cells: F.Column) -> F.Column:
+    own = F.transform(names, lambda n, i: F.concat(n, F.lit(": "), F.coalesce(F.get(cells, i), F.lit(""))))
+    beyond = F.slice(cells, F.size(names) + 1, F.size(cells))
+    return F.concat_ws("\n", own, F.when(F.size(cells) > F.size(names), F.concat_ws(",", beyond)))
 
 
 def stream_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,

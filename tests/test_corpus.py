@@ -97,3 +97,36 @@ def test_gates(spark):
     assert rep == {"corpus_chars": False, "token_blocks": False}
     with pytest.raises(ValueError):
         check(corpus_gates(small, "text"))
+
+
+@pytest.mark.parametrize("size,stride,sep", [(128, 64, ()), (128, 64, (7, 8)), (10, 4, (9,)), (5, 9, ()), (3, 1, (1, 2)), (40, 40, ())])
+def test_array_blocks_equal_the_joined_sequence(spark, size, stride, sep):
+    rnd = random.Random(size * stride)
+    rows = [(f"s{rnd.randint(0, 2)}", i, [rnd.randint(10, 99) for _ in range(rnd.choice([0, 1, 2, 3, 60, 500]))]) for i in range(60)]
+    rows[7] = (*rows[7][:2], None)
+    df = spark.createDataFrame(rows, "source string, doc_id long, ids array<long>").repartition(5)
+    seq = []
+    for k, (_, _, ids) in enumerate(sorted(rows, key=lambda r: r[:2])):
+        seq += (list(sep) if k else []) + (ids or [])
+    want = {b: seq[i:i + size] for b, i in enumerate(range(0, len(seq) - size, stride))}
+    got = tk.array_blocks(df, ["source", "doc_id"], "ids", size, stride, sep)
+    assert {r["block_no"]: list(r["ids"]) for r in got.collect()} == want and got.count() == len(want)
+    with pytest.raises(ValueError):
+        tk.array_blocks(df, ["source", "doc_id"], "ids", size, stride, sep, least_blocks=len(want) + 1)
+    mine = tk.row_blocks(df, ["doc_id"], "ids", size, stride)
+    assert sorted((r["doc_id"], r["block_no"], list(r["ids"])) for r in mine.collect()) == sorted(
+        (d, b, ids[i:i + size]) for _, d, ids in rows if ids for b, i in enumerate(range(0, len(ids) - size, stride)))
+
+
+def test_array_blocks_take_four_shuffles(spark):
+    df = spark.createDataFrame([(i, [i] * 300) for i in range(20)], "doc_id long, ids array<long>")
+    plan = tk.array_blocks(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "rangepartitioning" not in plan     # range, totals and window are written
+
+
+@pytest.mark.parametrize("bounds", [{}, {"max_rows": 2}])
+def test_lookup_of_ids_by_broadcast_and_by_join(spark, bounds):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "?"]), (2, []), (3, None), (4, ["c"]), (1, ["b"])], "k long, toks array<string>")
+    table = spark.createDataFrame([("a", [1]), ("b", [2, 3]), ("c", [])], "token string, ids array<long>")
+    got = sorted((r["k"], list(r["ids"])) for r in tk.lookup_ids(df, "toks", table, [0], **bounds).collect())
+    assert got == [(1, [1, 2, 3, 1, 0]), (1, [2, 3]), (2, []), (3, []), (4, [])]

@@ -123,5 +123,57 @@ def test_ingest_totals_and_gate(spark, tmp_dir):
 
 def test_csv_missing_and_surplus_cells():
     got = fs.extract_csv(b"a, b\n1\n2,3,4,5\n\n x , y \n")
-    assert got == ["a: 1\nb: ", "a: 2\nb: 3\nNone: 4,5", "a: x\nb: y"]
+    assert got == ["a: 1\nb: ", "a: 2\nb: 3\n4,5", "a: x\nb: y"]
     assert fs.extract_csv(b"") == []
+
+
+CSVS = {"plain.csv": "a, b\n1\n2,3,4,5\n\n x , y \n", "Quoted.CSV": 'name,bio\r\n"ada, ""the"" first",x\r\n"bob"by,"" \r\n',
+        "lines.csv": 'name,bio\n"multi\nline",x\nlast,"two\n\nmore"\n', "open.csv": 'a,b\nx"y,"z\nw",q\n', "empty.csv": "",
+        "head.csv": "only,header\n", "blank.csv": "\n\na\n \n1\n", "literal.csv": 'a"b,c\nd"e"f,"g""h"\n'}
+JSONS = {"rows.jsonl": '{"a": 1}\n\n  {"b": 2} \n', "one.jsonl": '[{"a": "ç"}, 3]\n', "pretty.jsonl": '[\n {"a": 1},\n 2\n]\n',
+         "broken.jsonl": '{"a": 1\nbroken{\n', "words.jsonl": "hello\n[1, 2\n", "list.jsonl": "[1]\n[2]\n", "none.jsonl": "\n \n",
+         "scalar.jsonl": "3\n"}
+
+
+def test_files_by_lines_equal_whole_files(spark, tmp_dir):
+    """Whatever the split: small splits cut every file; results equal the whole-file extractors."""
+    for name, text in {**CSVS, **JSONS, "more rows/big one.jsonl": "".join('{"n": %d}\n' % i for i in range(4000)),
+                       "big.csv": "n,m\n" + "".join(f'{i},"x, {i}"\n' for i in range(4000))}.items():
+        put(tmp_dir, name, text)
+    put(tmp_dir, "bad.csv", b"a,b\n\xff\xfe,1\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = fs.scan_lines(spark, tmp_dir, [".csv", ".jsonl"])
+        assert lines.where("source LIKE '%big.csv'").select("block").distinct().count() > 3
+        docs, quarantine = fs.scan_documents(spark, tmp_dir)
+        got = {}
+        for r in docs.collect():
+            got.setdefault(r["source"], []).append((r["ordinal"], r["text"]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    listed = {r["path"]: bytes(r["content"]) for r in fs.list_files(spark, tmp_dir).collect()}
+    assert len(listed) == len(CSVS) + len(JSONS) + 2                       # files of no byte are not listed
+    for path, content in listed.items():
+        if not path.endswith("bad.csv"):
+            extract = fs.extract_csv if path.lower().endswith(".csv") else fs.extract_json
+            assert sorted(got.get(path, [])) == list(enumerate(extract(content))), path
+    assert {r["source"].rsplit("/", 1)[1]: r["reason"] for r in quarantine.collect()} == {
+        "bad.csv": "UnicodeDecodeError: invalid utf-8"}
+
+
+def test_each_file_is_read_once_and_large_ones_are_quarantined(spark, tmp_dir):
+    put(tmp_dir, "a.txt", "short")
+    put(tmp_dir, "b.json", "[1, 2]")
+    put(tmp_dir, "big.txt", "x" * 5000)
+    put(tmp_dir, "big.json", '["' + "x" * 5000 + '"]')
+    put(tmp_dir, "rows.csv", "n\n" + "1\n" * 4000)
+    put(tmp_dir, "pretty.jsonl", "[\n" + "1,\n" * 4000 + "1]")
+    docs, quarantine = fs.scan_documents(spark, tmp_dir, max_bytes=4000)
+    count = {r["source"].rsplit("/", 1)[1]: r["count"] for r in docs.groupBy("source").count().collect()}
+    assert count == {"a.txt": 1, "b.json": 2, "rows.csv": 4000}
+    reasons = {r["source"].rsplit("/", 1)[1]: r["reason"] for r in quarantine.collect()}
+    assert set(reasons) == {"big.txt", "big.json", "pretty.jsonl"} and all("too large" in x for x in reasons.values())
+    for result in (docs, quarantine):                      # both come from the written rows, no file is read again
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "binaryFile" not in plan and "FileScan text" not in plan and "FileScan parquet" in plan

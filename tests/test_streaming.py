@@ -56,6 +56,22 @@ def test_token_assembly_batch_twin(spark):
     assert got == {1: "ab", 2: "a" + K.STOP_NOTICE}
 
 
+def test_footer_on_done_and_stop_and_events_twice(spark):
+    b1 = [ev(1, 0, "dir/b.txt", "source", 0), ev(1, 2, "there", "token", 2), ev(1, 5, "", "done", 5),
+          ev(2, 0, "x/a.txt", "source", 0), ev(2, 1, "part", "token", 1), ev(2, 2, "", "stop", 2)]
+    b2 = [ev(1, 1, "so ", "token", 1), ev(1, 2, "there", "token", 2), ev(1, 3, "a.txt", "source", 3), ev(2, 3, "late", "token", 3)]
+    b3 = [ev(1, 4, "z/b.txt", "source", 4), ev(1, 1, "so ", "token", 1)]
+    src = stage(spark, [b1, b2, b3], "t1-foot")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    out = scratch_dir(spark, "t1-fo")
+    runner.run_available_now(assemble.assemble_messages(stream, ["conv_id"]), out, scratch_dir(spark, "t1-fc"))
+    want = {1: ("so there" + K.SOURCES_PREFIX + "a.txt, b.txt", "done"),
+            2: ("part" + K.STOP_NOTICE + K.SOURCES_PREFIX + "a.txt", "stopped")}
+    assert {r["conv_id"]: (r["text"], r["status"]) for r in spark.read.parquet(out).collect()} == want
+    batch = spark.createDataFrame([*b1, b2[0], b2[2], b2[3], b3[0]], SCHEMA)
+    assert {r["conv_id"]: (r["text"], r["status"]) for r in assemble.assemble_batch(batch, ["conv_id"]).collect()} == want
+
+
 def test_summary_stream_equals_batch(spark):
     rows = [(i % 5, T0 + dt.timedelta(minutes=i)) for i in range(40)]
     df = spark.createDataFrame(rows, "user_id long, ts timestamp")
