@@ -3,7 +3,7 @@ with a DuckDB oracle where SQL can express it."""
 
 from corpusworks.plans.registry import ORACLE, QUERIES
 from corpusworks.plans import (  # noqa: F401  (register the catalogue)
-    bpe_queries, corpus_queries, docs_queries, misc_queries, retrieval_queries, session_queries, stream_queries, text_queries)
+    bpe_queries, corpus_queries, docs_queries, file_queries, misc_queries, retrieval_queries, session_queries, stream_queries, text_queries)
 
 
 def all_queries():

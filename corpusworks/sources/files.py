@@ -189,15 +189,17 @@ def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = Tr
 
 def scan_documents(spark: SparkSession, paths: str | list[str],
                    extractors: dict[str, Callable[[bytes], list[str]]] | None = None,
-                   recursive: bool = True, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (documents, quarantine).
+                   recursive: bool = True, max_bytes: int | None = None,
+                   line_formats: tuple[str, ...] = (".csv", ".jsonl")) -> tuple[DataFrame, DataFrame]:
+    """Returns (documents, quarantine). Files of ``line_formats`` (".csv", others hold JSON)
+    without an extractor of the caller's are scanned by lines.
 
     documents: source, ext, ordinal, text - one row per document.
     quarantine: source, ext, reason - unsupported formats, files that are too large to be
     read whole, and failed files.
     """
     most = max_bytes or int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    by_line = [e for e in (".csv", ".jsonl") if e not in (extractors or {})]
+    by_line = [e for e in line_formats if e not in (extractors or {})]
     files = list_files(spark, paths, recursive).where(~tf.file_ext("path").isin(by_line))
     docs, bad = split_documents(files.where(F.col("length") <= most), extractors)
     too_large = files.where(F.col("length") > most).select(
@@ -294,7 +296,7 @@ def documents_of_lines(lines: DataFrame, extractors: dict[str, Callable[[bytes],
     offsets = counts.select("source", "block", F.coalesce(before, F.lit(0)).alias("offset"))
     rows = (lines.where("filled").join(facts.where("apart").drop("ext"), "source").join(offsets, ["source", "block"])
             .withColumn("at", F.col("offset") + F.col("place")))
-    json_rows = rows.where("ext = '.jsonl'").select("source", "ext", F.col("at").alias("ordinal"), tf.strip("value").alias("text"))
+    json_rows = rows.where("ext <> '.csv'").select("source", "ext", F.col("at").alias("ordinal"), tf.strip("value").alias("text"))
     csv_rows = rows.where(F.col("ext") == ".csv").where(F.struct("block", "id") != F.col("head")).select(
         "source", "ext", (F.col("at") - 1).alias("ordinal"), _csv_document(_cells("first"), _cells("value")).alias("text"))
     whole = facts.where("NOT apart AND n > 0")
