@@ -12,7 +12,9 @@ the matches themselves (``regexp_extract_all``); their lengths add up to starts
 in code points. Gaps are cut only for blobs that have a match long enough.
 
 Defined cases: null text = empty text, no findings; repeated rows and equal
-texts share a blob and are scanned once; null paths are kept as a path; other
+texts share a blob and are scanned once; rows that repeat path and text inside a scan are
+reported each, scanning the same table again adds none; null paths are kept as a path;
+very long texts and many matches in one take a time about linear in them; other
 columns are ignored; an empty table gives an empty ledger.
 """
 
@@ -56,23 +58,36 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 BLOBS, PAIRS, FINDINGS = "blobs", "pairs", "findings"
+BLOCK = 256         # matches whose places are added up at once
 
 
 def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _running(sizes: Column) -> Column:
+    """For every number the sum of those before it; the array grows with each, so for short ones."""
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")),
+                       lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all")))["all"]
+
+
+def _before(sizes: Column) -> Column:
+    """For every number the sum of those before it, by blocks of BLOCK and then inside them."""
+    count = F.ceil(F.size(sizes) / BLOCK).cast("int")
+    blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")),
+                         lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y))
+    return F.flatten(F.zip_with(blocks, _running(sums), lambda x, s: F.transform(_running(x), lambda v: v + s)))
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, found>> of a rule's matches, in code points."""
     wide = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, wide, F.lit(0))
     inner = F.regexp_extract_all(text, wide, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
-    at = F.aggregate(
-        F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))),
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["pos"] + x["gap"] + F.coalesce(x["len"], F.lit(0))).alias("pos"),
-                                F.concat(acc["starts"], F.array(acc["pos"] + x["gap"])).alias("starts")))["starts"]
+    sizes = F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
+    at = F.zip_with(_before(sizes), gaps, lambda s, g: s + F.length(g))
     rows = F.zip_with(F.arrays_zip(whole.alias("m"), inner.alias("g")), at,
                       lambda x, s: F.struct(s.alias("start"), (s + F.length(x["m"])).alias("end"),
                                             x["g"].alias("inner"), x["m"].alias("found")))
@@ -111,13 +126,16 @@ class BlobLedger:
                      "blob string, rule_version string, kind string, start int, end int, found string")
 
     def versions(self) -> DataFrame:
-        return _read(self.spark, f"{self.path}/{BLOBS}", "path string, blob string")
+        """path, blob, n: in how many rows of one scan, at most."""
+        return (_read(self.spark, f"{self.path}/{BLOBS}", "path string, blob string, n long")
+                .groupBy("path", "blob").agg(F.max("n").alias("n")))
 
     def scan(self, df: DataFrame, path: str, text: str, rules: tuple[Rule, ...] = RULES) -> None:
         """Record the versions in ``df`` and scan what the ledger has not seen."""
         rows = df.select(F.col(path).cast("string").alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         rows = rows.withColumn("blob", blob_id(F.col("text")))
-        rows.select("path", "blob").write.mode("append").parquet(f"{self.path}/{BLOBS}")
+        (rows.groupBy("path", "blob").agg(F.count(F.lit(1)).alias("n"))
+         .write.mode("append").parquet(f"{self.path}/{BLOBS}"))
         wanted = F.array(*[F.lit(r.version) for r in rules])
         seen = (self.pairs().where(F.col("rule_version").isin([r.version for r in rules]))
                 .groupBy("blob").agg(F.collect_set("rule_version").alias("seen")))
@@ -148,5 +166,6 @@ class BlobLedger:
             x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
             x["found"].alias("found"))).alias("findings"))
         none = F.array().cast("array<struct<kind:string,start:int,end:int,found:string>>")
+        copies = F.array_repeat(F.lit(0), F.col("n").cast("int"))
         return (self.versions().join(keep(shaped, "found"), "blob", "left")
-                .select("path", "blob", F.coalesce("findings", none).alias("findings")))
+                .select("path", "blob", F.coalesce("findings", none).alias("findings"), F.explode(copies).alias("copy")).drop("copy"))
