@@ -8,30 +8,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusworks import constants as K
+GRAM = 3        # characters of a gram; shorter preferences are a gram as they are
 
-MAX_PREFERENCES = 10_000     # substring (theta) join needs the list broadcast
-MAX_LITERAL_MAP = 10_000     # larger mappings are joined as a table instead
 
-
-def preference_table(spark, preferences: Sequence[str] = tuple(K.MODEL_PREFERENCES)) -> DataFrame:
+def preference_table(spark, preferences: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(i, p) for i, p in enumerate(preferences)], "pref_rank int, pref string")
 
 
+def _grams(text: str, sizes: list[int]) -> F.Column:
+    """The distinct stretches of the given lengths in a text."""
+    def of(k):
+        n = F.length(text) - k + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(F.col(text), i, F.lit(k)))) \
+            .otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) if k else F.array(F.lit("")) for k in sizes]))
+
+
+def containing(names: DataFrame, prefs: DataFrame, name_col: str = "name") -> DataFrame:
+    """Distinct names and the best rank of a preference that is a substring of the lower-cased name:
+    ``name_col``, pref_rank. Each preference is found by its rarest gram among the names, an equi-join, and
+    verified; both lists may be of any length."""
+    wanted = prefs.where(F.col("pref").isNotNull()).select("pref_rank", "pref")
+    sizes = sorted(r[0] for r in wanted.select(F.least(F.length("pref"), F.lit(GRAM))).distinct().collect())      # 4 at most
+    if not sizes:
+        return names.select(name_col, F.lit(None).cast("int").alias("pref_rank")).limit(0)
+    low = names.select(name_col).where(F.col(name_col).isNotNull()).distinct().withColumn("_low", F.lower(name_col))
+    grams = low.select(name_col, "_low", F.explode(_grams("_low", sizes)).alias("_gram"))
+    often = grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
+    own = wanted.select("pref_rank", "pref", F.explode(_grams("pref", sizes)).alias("_gram")).where(
+        F.length("_gram") == F.least(F.length("pref"), F.lit(GRAM)))
+    keys = own.join(often, "_gram").groupBy("pref_rank", "pref").agg(F.min_by("_gram", F.struct("_often", "_gram")).alias("_gram"))
+    return (grams.join(keys, "_gram").where(F.contains(F.col("_low"), F.col("pref")))
+            .groupBy(name_col).agg(F.min("pref_rank").alias("pref_rank")))
+
+
 def ranked_preference(names: DataFrame, prefs: DataFrame, group_cols: list[str], name_col: str = "name",
                       pos_col: str = "pos") -> DataFrame:
     """Per group pick the name matching the best-ranked preference
     (preference is a substring of the lower-cased name), earliest position
-    first; if nothing matches, the group's first name.
-
-    The preference list is a user-given list, checked to be at most
-    ``MAX_PREFERENCES`` entries and then broadcast, so the substring test
-    runs as a broadcast nested-loop join against it only.
-    """
-    n = prefs.limit(MAX_PREFERENCES + 1).count()
-    if n > MAX_PREFERENCES:
-        raise ValueError(f"preference list longer than {MAX_PREFERENCES}; a substring join needs it broadcast")
-    m = names.join(F.broadcast(prefs), F.instr(F.lower(F.col(name_col)), F.col("pref")) > 0)
+    first; if nothing matches, the group's first name."""
+    m = names.join(containing(names, prefs, name_col), name_col)
     best = m.groupBy(*group_cols).agg(F.min_by(name_col, F.struct("pref_rank", pos_col)).alias("_best"))
     first = names.groupBy(*group_cols).agg(F.min_by(name_col, pos_col).alias("_first"))
     return first.join(best, group_cols, "left").select(
@@ -41,14 +57,10 @@ def ranked_preference(names: DataFrame, prefs: DataFrame, group_cols: list[str],
 
 def lookup_with_default(df: DataFrame, mapping: dict[str, str], key_col: str, default: str,
                         out_col: str = "mapped") -> DataFrame:
-    """Key -> value from a fixed mapping, ``default`` for missing keys.
-    A small mapping is a literal map (no join); a large one is joined as a
-    table (left join, AQE decides broadcast vs shuffle)."""
-    if len(mapping) > MAX_LITERAL_MAP:
-        table = df.sparkSession.createDataFrame(list(mapping.items()), f"{key_col} string, _v string")
-        return lookup_table_with_default(df, table, key_col, "_v", default, out_col)
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumn(out_col, F.coalesce(m[F.col(key_col)], F.lit(default)))
+    """Key -> value from a fixed mapping, ``default`` for missing keys: joined as a table
+    (left join, AQE decides broadcast vs shuffle)."""
+    table = df.sparkSession.createDataFrame(list(mapping.items()), f"`{key_col}` string, _v string")
+    return lookup_table_with_default(df, table, key_col, "_v", default, out_col)
 
 
 def lookup_table_with_default(df: DataFrame, table: DataFrame, key_col: str, value_col: str,
