@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusworks.functions import text as tf
-from corpusworks.session import stored
+from corpusworks.session import bound_batches, broadcast_if_small, stored
 
 DOC_COLUMNS = ["source", "ext", "ordinal", "text"]
 QUARANTINE_COLUMNS = ["source", "ext", "reason"]
@@ -148,6 +148,8 @@ DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {
     ".xlsx": extract_xlsx,
 }
 
+WHOLE_BYTES = 8 << 20       # JSON files up to this size are read whole, larger ones by lines
+
 ACCEPTED = (".txt", ".pdf", ".docx", ".doc", ".xlsx", ".xls", ".csv", ".json", ".jsonl")
 
 
@@ -192,22 +194,26 @@ def scan_documents(spark: SparkSession, paths: str | list[str],
                    recursive: bool = True, max_bytes: int | None = None,
                    line_formats: tuple[str, ...] = (".csv", ".jsonl")) -> tuple[DataFrame, DataFrame]:
     """Returns (documents, quarantine). Files of ``line_formats`` (".csv", others hold JSON)
-    without an extractor of the caller's are scanned by lines.
+    without an extractor of the caller's are scanned by lines, and so are ".json" files above WHOLE_BYTES.
 
     documents: source, ext, ordinal, text - one row per document.
     quarantine: source, ext, reason - unsupported formats, files that are too large to be
     read whole, and failed files.
     """
+    bound_batches(spark)
     most = max_bytes or int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     by_line = [e for e in line_formats if e not in (extractors or {})]
-    files = list_files(spark, paths, recursive).where(~tf.file_ext("path").isin(by_line))
-    docs, bad = split_documents(files.where(F.col("length") <= most), extractors)
+    large = [e for e in (".json",) if e not in [*by_line, *(extractors or {})]]
+    # conditions on _metadata choose files before any is opened; those on columns would read contents first
+    ext, size = tf.file_ext(F.col("_metadata.file_name")), F.col("_metadata.file_size")
+    files = list_files(spark, paths, recursive).where(~ext.isin(by_line) & (~ext.isin(large) | (size <= WHOLE_BYTES)))
+    docs, bad = split_documents(files.where(size <= most), extractors)
     too_large = files.where(F.col("length") > most).select(
         F.col("path").alias("source"), tf.file_ext("path").alias("ext"),
         F.concat(F.lit("too large to be read whole: "), F.col("length").cast("string"), F.lit(" bytes")).alias("reason"))
     rows = _outcome(docs, bad.unionByName(too_large))
-    if by_line:
-        lines = stored(scan_lines(spark, paths, by_line, recursive), "file-lines")
+    if by_line or large:
+        lines = stored(scan_lines(spark, paths, by_line + large, recursive, dict.fromkeys(large, WHOLE_BYTES)), "file-lines")
         rows = rows.unionByName(_outcome(*documents_of_lines(lines, extractors, most)))
     rows = stored(rows, "file-rows")
     return (rows.where("reason IS NULL").select(*DOC_COLUMNS),
@@ -244,8 +250,9 @@ def _numbered(batches):
             yield b.append_column("place", pa.array(place.astype(np.int64)))
 
 
-def scan_lines(spark: SparkSession, paths: str | list[str], extensions: list[str], recursive: bool = True) -> DataFrame:
-    """Lines of the files with these extensions: source, ext, block (where the file's stretch
+def scan_lines(spark: SparkSession, paths: str | list[str], extensions: list[str], recursive: bool = True,
+               larger_than: dict[str, int] | None = None) -> DataFrame:
+    """Lines of the files with these extensions, of some only files above a size (``larger_than``): source, ext, block (where the file's stretch
     begins), id (order in the stretch), place (among its filled lines), filled, value."""
     globs = ["*." + "".join(f"[{c.lower()}{c.upper()}]" for c in e[1:]) for e in extensions]
     r = spark.read.option("pathGlobFilter", "{" + ",".join(globs) + "}")
@@ -253,7 +260,10 @@ def scan_lines(spark: SparkSession, paths: str | list[str], extensions: list[str
         r = r.option("recursiveFileLookup", "true")
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))     # a URI there, a path in listings
     source = F.regexp_replace(path, "^file:/{2,3}", "file:/")
-    rows = r.text(paths if isinstance(paths, list) else [paths]).select(
+    rows = r.text(paths if isinstance(paths, list) else [paths])
+    for ext, size in (larger_than or {}).items():
+        rows = rows.where((F.col("_metadata.file_size") > size) | (tf.file_ext(F.col("_metadata.file_name")) != ext))
+    rows = rows.select(
         source.alias("source"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"), "value")
     filled = F.when(tf.file_ext("source") == ".csv", F.length("value") > 0).otherwise(F.length(tf.strip("value")) > 0)
@@ -278,29 +288,37 @@ def _whole_value(line: pd.Series) -> pd.Series:
 def documents_of_lines(lines: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]] | None = None,
                        max_bytes: int = 1 << 31) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine) of scanned lines (a written table)."""
-    closed = F.col("value").rlike(f"^(?:{_CELL})(?:,(?:{_CELL}))*$")
-    first = F.min_by("value", F.when(F.col("filled"), F.struct("block", "id")))
-    per_file = stored(lines.groupBy("source", "ext").agg(
-        F.bool_and("valid").alias("valid"), F.count_if("filled").alias("n"), first.alias("first"),
-        F.min(F.when(F.col("filled"), F.struct("block", "id"))).alias("head"),
-        F.bool_and(closed | (F.col("ext") != ".csv")).alias("closed"),
-        F.sum(F.octet_length("value") + 1).alias("size")), "file-facts")
+    closed = (F.col("ext") != ".csv") | F.col("value").rlike(f"^(?:{_CELL})(?:,(?:{_CELL}))*$")
+    told = lines.select("source", "ext", "valid", "filled", F.when(F.col("filled"), F.struct("block", "id")).alias("at"),
+                        closed.alias("closed"), (F.octet_length("value") + 1).alias("size"))
+    per_file = stored(told.groupBy("source", "ext").agg(
+        F.bool_and("valid").alias("valid"), F.count_if("filled").alias("n"), F.min("at").alias("head"),
+        F.bool_and("closed").alias("closed"), F.sum("size").alias("size")), "file-facts")
+    # first filled lines: names of CSV columns, or what tells how JSON goes on
+    heads = broadcast_if_small(per_file.where("valid AND n > 0").select("source", "head.block", "head.id"))
+    firsts = stored(lines.where("filled").select("source", "block", "id", F.col("value").alias("first"))
+                    .join(heads, ["source", "block", "id"]).select("source", "first"), "file-heads")
     # rows of a file one by one: no cell goes on; the first JSON value ends where more follow, or none can begin
     head = tf.strip("first")
     apart = F.when(F.col("ext") == ".csv", F.col("closed")).otherwise(
         (F.col("n") >= 2) & (~head.rlike("^[\\[{]") | _whole_value(F.coalesce(head, F.lit("")))))
-    facts = stored(per_file.where("valid").select("source", "ext", "n", "first", "head", "size", apart.alias("apart")), "file-kinds")
+    facts = stored(per_file.where("valid").join(firsts, "source", "left").select(
+        "source", "ext", "n", "head", "size", apart.alias("apart")), "file-kinds")
     counts = lines.groupBy("source", "block").agg(F.count_if("filled").alias("filled_here"))
     before = F.sum("filled_here").over(Window.partitionBy("source").orderBy("block")
                                        .rowsBetween(Window.unboundedPreceding, -1))       # a row per block of a file
-    offsets = counts.select("source", "block", F.coalesce(before, F.lit(0)).alias("offset"))
-    rows = (lines.where("filled").join(facts.where("apart").drop("ext"), "source").join(offsets, ["source", "block"])
+    offsets = stored(counts.join(facts.where("apart").select("source", "head"), "source").select(
+        "source", "block", "head", F.coalesce(before, F.lit(0)).alias("offset")), "file-offsets")
+    # small tables of files and blocks travel to the lines, which stay where they were written
+    rows = (lines.where("filled").join(broadcast_if_small(offsets), ["source", "block"])
             .withColumn("at", F.col("offset") + F.col("place")))
     json_rows = rows.where("ext <> '.csv'").select("source", "ext", F.col("at").alias("ordinal"), tf.strip("value").alias("text"))
-    csv_rows = rows.where(F.col("ext") == ".csv").where(F.struct("block", "id") != F.col("head")).select(
+    names = broadcast_if_small(firsts.join(facts.where("apart AND ext = '.csv'").select("source"), "source", "left_semi"))
+    csv_rows = rows.where(F.col("ext") == ".csv").where(F.struct("block", "id") != F.col("head")).join(names, "source").select(
         "source", "ext", (F.col("at") - 1).alias("ordinal"), _csv_document(_cells("first"), _cells("value")).alias("text"))
     whole = facts.where("NOT apart AND n > 0")
-    texts = (lines.join(whole.where(F.col("size") <= max_bytes).select("source"), "source", "left_semi").groupBy("source", "ext")
+    put_together = broadcast_if_small(whole.where(F.col("size") <= max_bytes).select("source"))
+    texts = (lines.join(put_together, "source", "left_semi").groupBy("source", "ext")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "id", "value"))),
                                            lambda x: x["value"]), "\n").alias("text")))   # max_bytes at most, like a file read whole
     table = dict(DEFAULT_EXTRACTORS)
