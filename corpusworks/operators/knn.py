@@ -2,7 +2,8 @@
 
 Both sides are packed, batch by batch and without a shuffle, into rows of bounded
 bytes: slices of the corpus and blocks of queries. Every block meets every slice by an
-equi-join on the slice's bucket; one task holds one block and one slice at a time.
+equi-join on the slice's bucket; one task holds one block and one slice at a time
+(an Arrow batch ends with the row that fills it), and the distances of MAX_CELLS pairs.
 Distances come as one matrix product; everything within rounding of a query's k best
 is computed again exactly, so results and ties (the smaller id) are exact. A pair of
 block and slice returns at most k rows per query, and ``row_number() <= k`` per query
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusworks import constants as K
-from corpusworks.session import stored
+from corpusworks.session import bound_batches, stored
 
 SLICE_BYTES = 8 * 1024 ** 2      # vectors of a corpus slice
 BLOCK_BYTES = 2 * 1024 ** 2      # vectors of a query block
-MAX_BLOCK_ROWS = 4096            # queries of a block: bounds the distance matrix
+MAX_BLOCK_ROWS = 4096            # queries of a block
+MAX_CELLS = 1 << 21              # distances that are held at once
 _NEAR = 1e-9                     # relative error that the matrix product is allowed
 
 
@@ -91,10 +93,9 @@ def _ordinals(ids: list) -> np.ndarray:
 
 
 def _search(k: int, metric: str, exclude_self: bool):
-    def nearest(dims, qids, qmat, cids, cmat):
-        q = np.frombuffer(qmat, np.float64).reshape(len(qids), dims)
-        x = np.frombuffer(cmat, np.float64).reshape(len(cids), dims)
-        qn, xn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    def nearest(q, qids, x, xn, numbers, ordinals):
+        """(query, row, distance) of the k best rows x of each query; ``numbers``: of the ids of x."""
+        qn = np.einsum("ij,ij->i", q, q)
         if metric == "cosine":
             den = np.sqrt(qn)[:, None] * np.sqrt(xn)[None, :]
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -104,13 +105,13 @@ def _search(k: int, metric: str, exclude_self: bool):
             d = qn[:, None] + xn[None, :] - 2.0 * (q @ x.T)
             slack = _NEAR * (qn + xn.max(initial=0))
         if exclude_self:
-            number = {c: i for i, c in enumerate(dict.fromkeys(cids))}
+            number, of_x = numbers
             own = np.array([number.get(i, -1) for i in qids])
-            d = np.where(own[:, None] == np.array([number[c] for c in cids])[None, :], np.inf, d)
+            d[own[:, None] == of_x[None, :]] = np.inf
         bound = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1] + slack
         at_q, at_x = np.nonzero((d <= bound[:, None]) & ~np.isinf(d) | np.isnan(d))
         exact = _exact(metric, q[at_q], x[at_x])
-        order = np.lexsort((_ordinals(cids)[at_x], exact, at_q))
+        order = np.lexsort((ordinals[at_x], exact, at_q))
         at_q, at_x, exact = at_q[order], at_x[order], exact[order]
         first = np.searchsorted(at_q, np.arange(len(q)))
         top = np.arange(len(at_q)) - first[at_q] < k
@@ -119,12 +120,17 @@ def _search(k: int, metric: str, exclude_self: bool):
     def run(batches):
         for b in batches:
             for r in range(len(b)):
-                qids, cids = b.column("qids")[r].as_py(), b.column("cids")[r].as_py()
-                at_q, at_x, dist = nearest(b.column("dims")[r].as_py(), qids, b.column("qvecs")[r].as_buffer(), cids,
-                                           b.column("cvecs")[r].as_buffer())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("qids")[r].values.take(pa.array(at_q)), b.column("cids")[r].values.take(pa.array(at_x)),
-                     pa.array(dist)], names=["query_id", "vec_id", "dist"])
+                qids, cids, dims = b.column("qids")[r].as_py(), b.column("cids")[r].as_py(), b.column("dims")[r].as_py()
+                q = np.frombuffer(b.column("qvecs")[r].as_buffer(), np.float64).reshape(len(qids), dims)
+                x = np.frombuffer(b.column("cvecs")[r].as_buffer(), np.float64).reshape(len(cids), dims)
+                number = {c: i for i, c in enumerate(dict.fromkeys(cids))}
+                numbers, xn, ordinals = (number, np.array([number[c] for c in cids])), np.einsum("ij,ij->i", x, x), _ordinals(cids)
+                step = max(1, MAX_CELLS // len(cids))
+                for at in range(0, len(qids), step):
+                    at_q, at_x, dist = nearest(q[at:at + step], qids[at:at + step], x, xn, numbers, ordinals)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("qids")[r].values.take(pa.array(at + at_q)), b.column("cids")[r].values.take(pa.array(at_x)),
+                         pa.array(dist)], names=["query_id", "vec_id", "dist"])
     return run
 
 
@@ -146,6 +152,7 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = K.TOP_K, query_id:
     """
     if metric not in ("l2", "cosine"):
         raise ValueError("metric must be 'l2' or 'cosine'")
+    bound_batches(queries.sparkSession)
 
     def packed(df: DataFrame, id_col: str, vec: str, name: str, max_bytes: int, rows: int) -> DataFrame:
         own = df.select(_id(df, id_col).alias("id"), F.col(vec).alias("vec")).where(F.col("vec").isNotNull() & (F.size("vec") > 0))
