@@ -21,10 +21,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusworks import constants as K
 from corpusworks.operators.prefix import global_row_index, running_offsets
-from corpusworks.session import stored
+from corpusworks.session import bound_batches, stored
 
 # Oracle-friendly tokens: runs of letters/digits, or one other non-space char.
 SIMPLE_TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\t\n\x0B\x0C\r ]"
@@ -95,27 +96,98 @@ def blocks_from_positions(tok: DataFrame, key_cols: list[str], pos_col: str, val
     return j.select(*key_cols, F.col("_h").alias("block_no"), F.concat("_ids", "_ids2").alias("ids"))
 
 
-LOOKUP_ROWS, LOOKUP_BYTES = 2_000_000, 64 << 20       # a table of ids that travels by broadcast, at most
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 8 << 20          # a table of ids that travels by broadcast, at most
+BLOCK_TOKENS = 1 << 22      # tokens, about, of a block of rows that shares one list of distinct tokens
+OUT_IDS = 1 << 20           # ids, about, of a batch of rows that come out
 
 
 def lookup_ids(df: DataFrame, tokens_col: str, table: DataFrame, unknown: list[int], out_col: str = "ids",
                max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
     """``df`` with the array ``tokens_col`` replaced by ``out_col``: the ids of all its tokens, one after
     the other. ``table``: token, ids (array of long), a token once; others become ``unknown``. A table below
-    both bounds (counted first) travels by broadcast; a larger one meets the tokens in a join."""
+    both bounds (counted first) travels by broadcast; a larger one meets the distinct tokens of each block of
+    rows in a join, so a token is shuffled once a block and not once a place."""
+    bound_batches(df.sparkSession)
     keep_cols = [c for c in df.columns if c != tokens_col]
     t = table.select("token", F.col("ids").cast("array<bigint>").alias("ids"))
     n, size = t.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(
         F.octet_length("token") + 8 * F.size("ids") + 8), F.lit(0))).first()
     if n <= max_rows and size <= max_bytes:
         return _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col)
-    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "lookup")
-    found = (rows.select("_row", F.posexplode(tokens_col).alias("_at", "token")).join(t, "token", "left")
-             .groupBy("_row").agg(F.sort_array(F.collect_list(F.struct(
-                 "_at", F.coalesce("ids", F.array(*[F.lit(i).cast("long") for i in unknown])).alias("ids")))).alias("_m"))
-             .select("_row", F.flatten(F.transform("_m", lambda x: x["ids"])).alias(out_col)))
-    return rows.drop(tokens_col).join(found, "_row", "left").select(
-        *keep_cols, F.coalesce(out_col, F.array().cast("array<bigint>")).alias(out_col))
+    return _lookup_by_blocks(df, keep_cols, tokens_col, t, unknown, out_col)
+
+
+def _row_blocks(keep_cols: list[str], tokens_col: str):
+    """Blocks of rows: their columns and numbers of tokens, all tokens as numbers, and the distinct tokens."""
+    def run(batches):
+        pid, made, held, count = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed():
+            nonlocal made, held, count
+            lists = [b.column(tokens_col) for b in held]
+            sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]).astype(np.int32)
+            tokens = pa.concat_arrays([c.flatten() for c in lists]).cast(pa.string()).dictionary_encode(null_encoding="encode")
+            columns = [pa.concat_arrays([b.column(c) for b in held]) for c in keep_cols]
+            rows = pa.StructArray.from_arrays([pa.array(sizes), *columns], names=["_n", *keep_cols])
+            codes, made, held, count = tokens.indices.to_numpy().astype(np.int32), made + 1, [], 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pid << 33 | made]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                 pa.array([codes.tobytes()], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0, len(tokens.dictionary)], pa.int32()), tokens.dictionary)],
+                names=["_block", "_rows", "_codes", "_tokens"])
+
+        for b in batches:
+            if len(b):
+                held.append(b)
+                count += len(b.column(tokens_col).flatten())
+            if count >= BLOCK_TOKENS:
+                yield packed()
+        if held:
+            yield packed()
+    return run
+
+
+def _spread_ids(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The ids of rows of ``sizes`` tokens: token ``at`` has ``lengths`` of ``flat``."""
+    starts, size = np.cumsum(lengths) - lengths, lengths[at]
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(sizes))]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[np.repeat(starts[at], size) + inside]))
+
+
+def _unpacked(keep_cols: list[str], out_col: str):
+    def run(batches):
+        for b in batches:
+            for r in range(len(b)):
+                sizes, *columns = b.column("_rows")[r].values.flatten()
+                codes, sizes = np.frombuffer(b.column("_codes")[r].as_py(), np.int32), sizes.to_numpy()
+                ids = b.column("_ids")[r].values
+                flat = np.zeros(0, np.int64) if ids is None else ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lengths = np.zeros(0, np.int64) if ids is None else ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+                made = np.append(0, np.cumsum(lengths[codes]))[ends]                  # ids up to each row
+                at = 0
+                while at < len(sizes):
+                    end = max(at + 1, int(np.searchsorted(made, made[at] + OUT_IDS, side="right")) - 1)
+                    told = _spread_ids(flat, lengths, codes[ends[at]:ends[end]], sizes[at:end])
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in columns), told], names=[*keep_cols, out_col])
+                    at = end
+    return run
+
+
+def _lookup_by_blocks(df, keep_cols, tokens_col, t, unknown, out_col):
+    own = df.select(*keep_cols, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias(tokens_col))
+    fields = [f for f in own.schema.fields if f.name in keep_cols]
+    row = T.StructType([T.StructField("_n", T.IntegerType()), *fields])
+    blocks = stored(own.mapInArrow(_row_blocks(keep_cols, tokens_col), T.StructType([
+        T.StructField("_block", T.LongType()), T.StructField("_rows", T.ArrayType(row)), T.StructField("_codes", T.BinaryType()),
+        T.StructField("_tokens", T.ArrayType(T.StringType()))])), "lookup")
+    none = F.array(*[F.lit(i).cast("long") for i in unknown]).cast("array<bigint>")
+    found = (blocks.select("_block", F.posexplode("_tokens").alias("_code", "token")).join(t, "token", "left")
+             .groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_code", F.coalesce("ids", none).alias("ids")))).alias("_m"))
+             .select("_block", F.transform("_m", lambda x: x["ids"]).alias("_ids")))            # BLOCK_TOKENS entries at most
+    return blocks.select("_block", "_rows", "_codes").join(found, "_block", "left").mapInArrow(
+        _unpacked(keep_cols, out_col), T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.LongType()))]))
 
 
 def _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col):
@@ -127,16 +199,10 @@ def _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col):
 
     def run(batches):
         tokens, flat, lengths = shared.value
-        starts = np.cumsum(lengths) - lengths
         for b in batches:
             column = b.column(tokens_col)
             at = pc.fill_null(pc.index_in(column.flatten().cast(pa.string()), value_set=tokens), len(tokens)).to_numpy()
-            size = lengths[at]
-            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            values = flat[np.repeat(starts[at], size) + inside]
-            per_row = np.diff(column.offsets.to_numpy())
-            ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per_row))]
-            told = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+            told = _spread_ids(flat, lengths, at, np.diff(column.offsets.to_numpy()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_cols), told], names=[*keep_cols, out_col])
 
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep_cols).schema.fields]
