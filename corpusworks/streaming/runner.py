@@ -36,13 +36,20 @@ def latest_by_key(log: DataFrame, keys: list[str], version_col: str = "_batch")
     return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", version_col)
 
 
-def stage_as_stream_source(spark: SparkSession, df: DataFrame, name: str, split_col: str | None = None,
+def files_and_trigger(table: DataFrame, batches: int) -> tuple[int, int]:
+    """How many files a stream's source made from ``table`` has, as many as the table has
+    partitions, and how many of them a trigger reads so that there are about ``batches`` micro-batches."""
+    n = max(batches, table.rdd.getNumPartitions())
+    return n, -(-n // batches)
+
+
+def stage_as_stream_source(spark: SparkSession, df: DataFrame, name: str, split_cols: list[str] | None = None,
                            n_files: int = 1) -> str:
     """Write a derived table as the file source of a stream. With
-    ``split_col``, rows are spread over ``n_files`` files by that integer
-    column so that a stream with maxFilesPerTrigger=1 sees several batches."""
+    ``split_cols``, rows are spread over ``n_files`` files by these
+    columns so that a stream with maxFilesPerTrigger sees several batches."""
     path = scratch_dir(spark, name)
-    if split_col:
-        df = df.repartition(n_files, F.pmod(F.col(split_col), F.lit(n_files)))
+    if split_cols:
+        df = df.repartition(n_files, *split_cols)
     df.write.mode("overwrite").parquet(path)
     return path
