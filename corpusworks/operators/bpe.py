@@ -93,6 +93,19 @@ def _neighbours(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, ids[at].astype(np.int64) << 32 | ids[at + 1]
 
 
+def _larger(batches, rows: int = 1 << 16):
+    """Batches of words joined to ``rows`` rows, about: what a task counts is added up before it leaves."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _start(batches):
     for b in batches:
         raw = [np.frombuffer(w.encode(), np.uint8).astype(np.int32).tobytes() for w in b.column("word").to_pylist()]
@@ -101,7 +114,7 @@ def _start(batches):
 
 
 def _count_pairs(batches):
-    for b in batches:
+    for b in _larger(batches):
         ids, lengths = _flat(b.column("ids"))
         at, pair = _neighbours(ids, lengths)
         times = np.repeat(b.column("n").to_numpy(), lengths)[at]
@@ -128,7 +141,7 @@ def _runs(ids: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> tuple[np.
 
 def _cut(chosen):
     def run(batches):
-        for b in batches:
+        for b in _larger(batches):
             ids, lengths = _flat(b.column("ids"))
             first, end = _runs(ids, lengths, chosen.value)
             raw, times = ids.tobytes(), np.repeat(b.column("n").to_numpy(), lengths)[first].tolist()
