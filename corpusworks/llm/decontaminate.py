@@ -12,9 +12,8 @@
 2. Randomised SVD of the passage x term matrix A: every task multiplies its
    rows, A'(A G) for a random G, and the products are summed per term; an
    orthogonal basis of the sum and its spectrum give RANK right singular
-   directions and their weights. The directions are an index: they are fitted on a
-   draw of about SAMPLE passages from all documents; all windows of all
-   documents are projected on them.
+   directions and their weights, fitted on every passage of every document. The
+   tasks' sums are added up FAN at a time, level by level.
 3. Retrieval: windows of the documents and the benchmark items are projected and
    scaled by the root of each direction's weight (whole weights would drown what
    many passages share). Items of more than PART words are cut
@@ -55,7 +54,6 @@ from corpusworks.llm.common import free_name, keep
 
 TERMS, RANK = 1 << 14, 64
 PASSAGE = 64
-SAMPLE = 1 << 18             # passages that the directions are fitted on, about
 SPANS = (8, 16, 24, 32, 48)
 PART = 60                   # words of an item that is projected as a whole
 GRID = 24                   # where documents may start among joined ones: a multiple of every step
@@ -64,7 +62,7 @@ TOGETHER = 20_000           # words of documents that are searched at once, a lo
 SLAB = 6_144                # words whose windows are projected at once (a multiple of GRID)
 MULTIPLIED = 1_000          # passages that are multiplied at once
 TERMS_OF_A_ROW = 1024       # of a task's sums in one row
-FIT_TASKS = 16              # tasks that fit the directions
+FAN = 16                    # tasks whose sums are added at once
 ITEMS = 4096                # distinct item texts of a block, about
 ITEM_CHARS = 1 << 23        # and their characters
 LEAST_WORDS = 5
@@ -230,21 +228,6 @@ def inverse_frequencies(counts: DataFrame) -> tuple[np.ndarray, int]:
     return idf.astype(np.float32), n
 
 
-def drawn(docs: DataFrame, share: float) -> DataFrame:
-    """A share of the passages, drawn one by one, as texts of their own in FIT_TASKS partitions: what is
-    fitted on them is summed over a bounded number of tasks."""
-    def run(batches):
-        draw = np.random.default_rng([7, TaskContext.get().partitionId()])
-        for b in batches:
-            rows = []
-            for words in _unpack(b.column("body")):
-                chosen = np.flatnonzero(draw.random(-(-len(words) // PASSAGE)) < share)
-                rows += [words[k * PASSAGE:(k + 1) * PASSAGE].tobytes() for k in chosen.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["body"])
-
-    return keep(docs.mapInArrow(run, "body binary").repartition(FIT_TASKS), "passages")
-
-
 def _multiply(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis), summed over all tasks; rows of A have unit length."""
     shared = docs.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
@@ -274,10 +257,15 @@ def _multiply(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray
         for k in range(0, TERMS, TERMS_OF_A_ROW):
             part = np.ascontiguousarray(total[:, k:k + TERMS_OF_A_ROW])
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], names=["first", "sums"])
-
-    schema = "first long, sums binary"
-    sums = docs.mapInArrow(run, schema).groupBy("first").applyInArrow(_add_sums, schema)     # a row per task: FIT_TASKS
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([k]),
+                                                  pa.array([part.tobytes()], pa.binary())],
+                                                 names=["part", "first", "sums"])
+
+    schema = "part long, first long, sums binary"
+    sums, parts = docs.mapInArrow(run, schema), docs.rdd.getNumPartitions()
+    while parts > 1:                                                     # FAN rows of a group at most
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "first").applyInArrow(_add_sums, schema)
+        parts = -(-parts // FAN)
     out = np.zeros((TERMS, width))
     for r in sums.collect():                                             # TERMS x width numbers
         out[r["first"]:r["first"] + TERMS_OF_A_ROW] = np.frombuffer(r["sums"]).reshape(width, -1).T
@@ -286,15 +274,16 @@ def _multiply(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray
 
 def _add_sums(t: pa.Table) -> pa.Table:
     total = np.sum([np.frombuffer(x.as_buffer()) for x in t.column("sums")], axis=0)
-    return pa.table({"first": t.column("first").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": t.column("part").slice(0, 1), "first": t.column("first").slice(0, 1),
+                     "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def latent_space(docs: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Term weights of a query or window (TERMS x RANK: idf squared times the
     scaled directions) and the spectrum."""
-    idf, n = inverse_frequencies(counts)
+    idf, _ = inverse_frequencies(counts)
     start = np.random.default_rng(7).standard_normal((TERMS, RANK))
-    basis, r = np.linalg.qr(_multiply(drawn(docs, min(1.0, SAMPLE / max(1, n))), idf, start))
+    basis, r = np.linalg.qr(_multiply(docs, idf, start))
     u, s, _ = np.linalg.svd(r)
     scaled = (basis @ u) / np.sqrt(np.maximum(s, 1e-6 * max(1e-6, s[0])))
     return ((idf * idf)[:, None] * scaled).astype(np.float32), s
