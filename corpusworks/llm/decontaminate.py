@@ -12,8 +12,9 @@
 2. Randomised SVD of the passage x term matrix A: every task multiplies its
    rows, A'(A G) for a random G, and the products are summed per term; an
    orthogonal basis of the sum and its spectrum give RANK right singular
-   directions and their weights, fitted on every passage of every document. The
-   tasks' sums are added up FAN at a time, level by level.
+   directions and their weights, fitted on every passage of every document. A task
+   takes PASSAGES passages or an even part of them, so there are far fewer sums than
+   files; they are added up FAN at a time, level by level.
 3. Retrieval: windows of the documents and the benchmark items are projected and
    scaled by the root of each direction's weight (whole weights would drown what
    many passages share). Items of more than PART words are cut
@@ -63,6 +64,7 @@ SLAB = 6_144                # words whose windows are projected at once (a multi
 MULTIPLIED = 1_000          # passages that are multiplied at once
 TERMS_OF_A_ROW = 1024       # of a task's sums in one row
 FAN = 16                    # tasks whose sums are added at once
+PASSAGES = 250_000          # about, of a task that multiplies: 64 MB of words to 8 MB of sums
 ITEMS = 4096                # distinct item texts of a block, about
 ITEM_CHARS = 1 << 23        # and their characters
 LEAST_WORDS = 5
@@ -228,6 +230,12 @@ def inverse_frequencies(counts: DataFrame) -> tuple[np.ndarray, int]:
     return idf.astype(np.float32), n
 
 
+def _joined(docs: DataFrame, passages: int) -> DataFrame:
+    """``docs`` in as many partitions as their passages need, two a core at least: every task's sums
+    are as large as all others', however few its rows."""
+    return docs.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-passages // PASSAGES)))
+
+
 def _multiply(docs: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis), summed over all tasks; rows of A have unit length."""
     shared = docs.sparkSession.sparkContext.broadcast((idf, basis.astype(np.float32)))
@@ -281,9 +289,9 @@ def _add_sums(t: pa.Table) -> pa.Table:
 def latent_space(docs: DataFrame, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Term weights of a query or window (TERMS x RANK: idf squared times the
     scaled directions) and the spectrum."""
-    idf, _ = inverse_frequencies(counts)
+    idf, passages = inverse_frequencies(counts)
     start = np.random.default_rng(7).standard_normal((TERMS, RANK))
-    basis, r = np.linalg.qr(_multiply(docs, idf, start))
+    basis, r = np.linalg.qr(_multiply(_joined(docs, passages), idf, start))
     u, s, _ = np.linalg.svd(r)
     scaled = (basis @ u) / np.sqrt(np.maximum(s, 1e-6 * max(1e-6, s[0])))
     return ((idf * idf)[:, None] * scaled).astype(np.float32), s

@@ -145,3 +145,24 @@ def test_directions_are_fitted_on_every_passage(spark):
     want = a.T @ (a @ basis)
     assert np.allclose(many, want, atol=1e-3) and np.allclose(one, want, atol=1e-3)
     assert not hasattr(decontaminate, "drawn")
+
+
+def test_sums_of_directions_do_not_grow_with_the_files(spark, monkeypatch):
+    """pipeline: what is shuffled are the sums of each task, so many small files must not make as many tasks."""
+    common.prepare(spark)
+    texts = [(d, prose(4000 + d, 150)) for d in range(90)]
+    docs = spark.createDataFrame(texts, "doc long, body string").repartition(40)
+    body, counts = decontaminate.hashed(docs)
+    idf, passages = decontaminate.inverse_frequencies(counts)
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert decontaminate._joined(body.repartition(40), passages).rdd.getNumPartitions() == least
+    monkeypatch.setattr(decontaminate, "PASSAGES", -(-passages // 20))
+    assert least < decontaminate._joined(body.repartition(40), passages).rdd.getNumPartitions() <= 20
+    monkeypatch.setattr(decontaminate, "PASSAGES", 1)
+    many, _ = decontaminate.latent_space(body.select("body").repartition(40), counts)
+    monkeypatch.undo()
+    asked = []
+    multiply = decontaminate._multiply
+    monkeypatch.setattr(decontaminate, "_multiply", lambda d, *a: asked.append(d.rdd.getNumPartitions()) or multiply(d, *a))
+    few, _ = decontaminate.latent_space(body.select("body").repartition(40), counts)
+    assert asked == [least] and np.allclose(np.abs(few), np.abs(many), atol=1e-4)
