@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from corpusworks import constants as K
 from corpusworks.operators.prefix import running_offsets
-from corpusworks.operators.tokens import PRETOKEN_PATTERN, array_blocks, lookup_ids, word_counts
+from corpusworks.operators.tokens import (PRETOKEN_PATTERN, array_blocks, lookup_ids, lookup_packed, packed_counts, packed_tokens,
+                                          word_counts)
 from corpusworks.session import stored
 
 
@@ -189,12 +190,12 @@ def train_bpe(words: DataFrame, vocab_size: int = K.VOCAB_SIZE, min_frequency: i
     state = stored(words.select("word", F.col("n").cast("long").alias("n")).mapInArrow(_start, _STATE), "bpe-words")
     names = [f"{b:02x}" for b in range(256)]                        # of the symbols, by number
     number = {name: i for i, name in enumerate(names)}
-    alphabet = sorted(names[r[0]] for r in state.mapInArrow(_symbols, "id int").distinct().collect())
+    alphabet = sorted(names[r[0]] for r in state.select("ids").mapInArrow(_symbols, "id int").distinct().collect())
     budget = vocab_size - len(specials) - len(alphabet)
     merges: list[tuple[int, str, str, int]] = []
     wanted = FIRST_CANDIDATES
     while len(merges) < budget:
-        pairs = state.mapInArrow(_count_pairs, "pair long, cnt long").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
+        pairs = state.select("n", "ids").mapInArrow(_count_pairs, "pair long, cnt long").groupBy("pair").agg(F.sum("cnt").alias("cnt"))
         top = pairs.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt")).limit(max(wanted, 1) + 1).collect()
         if not top:
             break
@@ -202,7 +203,7 @@ def train_bpe(words: DataFrame, vocab_size: int = K.VOCAB_SIZE, min_frequency: i
         while fragments is None:
             least, chosen, alone = _candidates(pairs, top, wanted, min_frequency, max_tied, names)
             shared = sc.broadcast(np.sort(np.array(chosen, np.int64)))
-            found = (state.mapInArrow(_cut(shared), "fragment binary, n long").groupBy("fragment")
+            found = (state.select("n", "ids").mapInArrow(_cut(shared), "fragment binary, n long").groupBy("fragment")
                      .agg(F.sum("n").alias("n")).limit(max_fragments + 1).collect())
             if len(found) <= max_fragments or alone:
                 fragments = found
@@ -447,8 +448,11 @@ def encode_texts(docs: DataFrame, id_col: str, text_col: str, word_ids: DataFram
 def encode_arrays(docs: DataFrame, text_col: str, word_ids: DataFrame, pattern: str = PRETOKEN_PATTERN,
                   unk_id: int = 1) -> DataFrame:
     """C9 as one array per document: ``docs`` with ``text_col`` replaced by ``ids``. ``word_ids``: word, ids."""
-    cut = docs.withColumn(text_col, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 0))
-    return lookup_ids(cut, text_col, word_ids.withColumnRenamed("word", "token"), [unk_id])
+    return lookup_ids(_cut_words(docs, text_col, pattern), text_col, word_ids.withColumnRenamed("word", "token"), [unk_id])
+
+
+def _cut_words(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
+    return docs.withColumn(text_col, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(pattern), 0))
 
 
 def separator_ids(spark: SparkSession, vocab: DataFrame, merges, text: str = K.PARAGRAPH_SEP, unk_id: int = 1) -> list[int]:
@@ -459,16 +463,26 @@ def separator_ids(spark: SparkSession, vocab: DataFrame, merges, text: str = K.P
     return list(row["ids"])
 
 
-def training_blocks(docs: DataFrame, order_cols: list[str], text_col: str, vocab: DataFrame, word_ids: DataFrame, merges,
-                    size: int = K.BLOCK_SIZE, stride: int = K.BLOCK_STRIDE, least_blocks: int = K.MIN_BLOCKS) -> DataFrame:
-    """P9 behind the vocabulary: documents in ``order_cols`` order, separators between them, cut into
-    blocks; fewer than ``least_blocks`` raise. Returns block_no, input_ids, labels."""
-    sep = separator_ids(docs.sparkSession, vocab, merges)
-    ids = encode_arrays(docs.select(*order_cols, text_col), text_col, word_ids)
-    blocks = array_blocks(ids, order_cols, "ids", size, stride, tuple(sep), least_blocks)
+def training_blocks(ids: DataFrame, order_cols: list[str], vocab: DataFrame, merges, size: int = K.BLOCK_SIZE,
+                    stride: int = K.BLOCK_STRIDE, least_blocks: int = K.MIN_BLOCKS) -> DataFrame:
+    """P9 behind the encoding (``ids``: order_cols, ids): documents in ``order_cols`` order, separators between
+    them, cut into blocks; fewer than ``least_blocks`` raise. Returns block_no, input_ids, labels."""
+    sep = separator_ids(ids.sparkSession, vocab, merges)
+    blocks = array_blocks(ids.select(*order_cols, "ids"), order_cols, "ids", size, stride, tuple(sep), least_blocks)
     return blocks.select("block_no", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
 
 
+def train_and_encode(docs: DataFrame, text_col: str = "text", vocab_size: int = K.VOCAB_SIZE,
+                     min_frequency: int = K.MIN_PAIR_FREQUENCY, unk_id: int = 1, **kw):
+    """C7 to C10 over the same documents, whose texts are cut into words once: (vocab, merges, ``docs``
+    with ``text_col`` replaced by ``ids``)."""
+    blocks = packed_tokens(_cut_words(docs, text_col, PRETOKEN_PATTERN), text_col)
+    merges, alphabet, final = train_bpe(packed_counts(blocks), vocab_size, min_frequency, **kw)
+    vocab = vocabulary(docs.sparkSession, merges, alphabet)
+    ids = encode_words(final, vocab, unk_id).withColumnRenamed("word", "token").withColumn("ids", F.col("ids").cast("array<bigint>"))
+    return vocab, merges, lookup_packed(blocks, ids, [unk_id])
+
+
 def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: int = K.VOCAB_SIZE,
                          min_frequency: int = K.MIN_PAIR_FREQUENCY, **kw):
     """C7 + C8 + C10 in one call: (vocab DataFrame, merges list, final words)."""
@@ -479,4 +493,4 @@ def train_from_documents(docs: DataFrame, text_col: str = "text", vocab_size: in
 
 __all__ = ["train_bpe", "vocabulary", "merges_frame", "encode_words", "encode_texts", "train_from_documents",
            "byte_symbols", "display", "byte_alphabet", "apply_merges", "merge_symbols", "encode_new_texts", "encode_arrays",
-           "separator_ids", "training_blocks"]
+           "separator_ids", "training_blocks", "train_and_encode"]

@@ -109,12 +109,12 @@ def lookup_ids(df: DataFrame, tokens_col: str, table: DataFrame, unknown: list[i
     rows in a join, so a token is shuffled once a block and not once a place."""
     bound_batches(df.sparkSession)
     keep_cols = [c for c in df.columns if c != tokens_col]
-    t = table.select("token", F.col("ids").cast("array<bigint>").alias("ids"))
+    t = stored(table.select("token", F.col("ids").cast("array<bigint>").alias("ids")), "lookup-ids")
     n, size = t.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(
         F.octet_length("token") + 8 * F.size("ids") + 8), F.lit(0))).first()
     if n <= max_rows and size <= max_bytes:
         return _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col)
-    return _lookup_by_blocks(df, keep_cols, tokens_col, t, unknown, out_col)
+    return lookup_packed(packed_tokens(df, tokens_col), t, unknown, out_col)
 
 
 def _row_blocks(keep_cols: list[str], tokens_col: str):
@@ -175,19 +175,40 @@ def _unpacked(keep_cols: list[str], out_col: str):
     return run
 
 
-def _lookup_by_blocks(df, keep_cols, tokens_col, t, unknown, out_col):
+def packed_tokens(df: DataFrame, tokens_col: str) -> DataFrame:
+    """``df`` in blocks of rows, written once: the rows' other columns, the distinct values of the array
+    ``tokens_col`` in the block, and its tokens as numbers of them. Null arrays are empty."""
+    bound_batches(df.sparkSession)
+    keep_cols = [c for c in df.columns if c != tokens_col]
     own = df.select(*keep_cols, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias(tokens_col))
-    fields = [f for f in own.schema.fields if f.name in keep_cols]
-    row = T.StructType([T.StructField("_n", T.IntegerType()), *fields])
-    blocks = stored(own.mapInArrow(_row_blocks(keep_cols, tokens_col), T.StructType([
+    row = T.StructType([T.StructField("_n", T.IntegerType()), *[f for f in own.schema.fields if f.name in keep_cols]])
+    return stored(own.mapInArrow(_row_blocks(keep_cols, tokens_col), T.StructType([
         T.StructField("_block", T.LongType()), T.StructField("_rows", T.ArrayType(row)), T.StructField("_codes", T.BinaryType()),
         T.StructField("_tokens", T.ArrayType(T.StringType()))])), "lookup")
+
+
+def _times(batches):
+    for b in batches:
+        for r in range(len(b)):
+            tokens, codes = b.column("_tokens")[r].values, np.frombuffer(b.column("_codes")[r].as_py(), np.int32)
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(np.bincount(codes, minlength=len(tokens)).astype(np.int64))],
+                                             names=["word", "n"])
+
+
+def packed_counts(blocks: DataFrame) -> DataFrame:
+    """``word_counts`` of ``packed_tokens``: a word leaves a block once."""
+    return blocks.select("_codes", "_tokens").mapInArrow(_times, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def lookup_packed(blocks: DataFrame, t: DataFrame, unknown: list[int], out_col: str = "ids") -> DataFrame:
+    """The rows of ``packed_tokens`` with ``out_col``: the ids (table ``t``: token, ids) of all their tokens."""
+    fields = blocks.schema["_rows"].dataType.elementType.fields[1:]
     none = F.array(*[F.lit(i).cast("long") for i in unknown]).cast("array<bigint>")
     found = (blocks.select("_block", F.posexplode("_tokens").alias("_code", "token")).join(t, "token", "left")
              .groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_code", F.coalesce("ids", none).alias("ids")))).alias("_m"))
              .select("_block", F.transform("_m", lambda x: x["ids"]).alias("_ids")))            # BLOCK_TOKENS entries at most
     return blocks.select("_block", "_rows", "_codes").join(found, "_block", "left").mapInArrow(
-        _unpacked(keep_cols, out_col), T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.LongType()))]))
+        _unpacked([f.name for f in fields], out_col), T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.LongType()))]))
 
 
 def _lookup_by_broadcast(df, keep_cols, tokens_col, t, unknown, out_col):

@@ -102,9 +102,8 @@ def _fingerprints(ids):
 @query("c9_encode")
 def c9_encode(spark, sf_dir):
     """Every document as BPE ids: doc_id, n_tokens, fingerprint of (pos, id) pairs."""
-    vocab, _, final = trained(spark, sf_dir)
-    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _fingerprints(bpe.encode_arrays(docs, "text", bpe.encode_words(final, vocab)))
+    _, _, ids = bpe.train_and_encode(load_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _fingerprints(ids)
 
 
 @query("c9_encode_new")
@@ -125,5 +124,5 @@ def p9_training_blocks(spark, sf_dir):
     from corpusworks.operators.gates import check, corpus_gates
     docs = load_table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     check(corpus_gates(docs, "text").filter(F.col("gate") == "corpus_chars"))
-    vocab, merges, final = trained(spark, sf_dir)
-    return bpe.training_blocks(docs, ["source", "doc_id"], "text", vocab, bpe.encode_words(final, vocab), merges)
+    vocab, merges, ids = bpe.train_and_encode(docs)
+    return bpe.training_blocks(ids, ["source", "doc_id"], vocab, merges)
