@@ -19,8 +19,11 @@ end, so a vector that a third of all rows share costs no more than one. An id
 with one vector has one row of its own among the k + 1 best at most. An id with
 several vectors is searched apart from the others: its own members are left out
 before the k best are taken, and with them the classes that it holds alone. Slices
-and query blocks have bounded sizes; a block meets every slice by an equi-join
-on the slice's number.
+and query blocks have bounded sizes. Slices are dealt to lanes and blocks to bands; a
+slice goes to every band and a block to every lane, where they meet by an equi-join on
+both numbers. A lane's share of a band is bounded, and nothing is broadcast: files of
+vectors are far smaller than their rows, and Spark's estimate of a join's side knows
+nothing of copies.
 
 Scores are integers; they are exact as long as they fit 64 bits (products of
 doubles while they are below 2^53, 64-bit integers beyond).
@@ -43,6 +46,8 @@ from corpusworks.llm.common import keep
 
 LISTS = 4
 SLICE, BLOCK = 2048, 256        # vectors of a slice, queries of a block (on average)
+LANE = 16                       # slices of a lane at most (on average)
+BAND_BYTES = 16 << 20           # vectors of the query blocks that a lane's slices meet at once, about
 LOWEST = -(1 << 62)
 
 
@@ -143,6 +148,28 @@ _OUT = "rep long, apart boolean, own long, id long, tie long, score long"
 _QUERY = ["rep", "apart", "own"]
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sorts both sides, however small Spark takes them for."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def lanes(slices: int, cores: int) -> int:
+    """How many lanes the slices are dealt to: each of them gets a copy of every query block."""
+    return min(slices, max(-(-slices // LANE), 4 * cores))
+
+
+def meet(slices: DataFrame, blocks: DataFrame, lanes_of: int, blocks_of: int) -> DataFrame:
+    """Every slice (dims, at, slice) beside every block (dims, block_at, block) of its dims."""
+    bands = F.ceil(F.col("dims") * (8 * BLOCK * blocks_of / BAND_BYTES))
+    first = F.lit(0).cast("long")
+    return joined(
+        slices.select("dims", F.pmod("at", F.lit(lanes_of)).alias("lane"),
+                      F.explode(F.sequence(first, bands - 1)).alias("band"), "slice"),
+        blocks.select("dims", F.explode(F.sequence(first, F.lit(lanes_of - 1).cast("long"))).alias("lane"),
+                      F.pmod("block_at", bands).alias("band"), "block"),     # this side is held, a band at a time
+        ["dims", "lane", "band"]).select("slice", "block")
+
+
 def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """For every row with ``is_query``: its k best other rows by integer inner
     product of floor(scale * component): query_id, rank, vec_id, score."""
@@ -158,8 +185,8 @@ def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5,
     several = keep(rows.groupBy("id").agg(F.count(F.lit(1)).alias("vectors"), F.max("asks").alias("asks"))
                    .where("vectors > 1 AND asks").select(F.col("id").alias("query_id"), F.lit(True).alias("apart")),
                    "several")
-    asked = keep(rows.where("asks").select(F.col("id").alias("query_id"), "q")
-                 .join(classes.select("q", "rep", "dims"), "q").join(several, "query_id", "left")
+    asked = rows.where("asks").select(F.col("id").alias("query_id"), "q")
+    asked = keep(joined(joined(asked, classes.select("q", "rep", "dims"), "q"), several, "query_id", "left")
                  .withColumn("apart", F.coalesce("apart", F.lit(False)))
                  .withColumn("own", F.when(F.col("apart"), F.col("query_id")).otherwise(F.lit(0))), "asked")
 
@@ -170,27 +197,27 @@ def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5,
                   .groupBy("dims", "at").agg(F.collect_list(entry).alias("slice")), "slices")
     askers = keep(asked.groupBy(*_QUERY, "q", "dims").agg(F.count(F.lit(1)).alias("n")), "askers")
     blocks_of = max(1, -(-askers.count() // BLOCK))
+    lanes_of = lanes(slices_of, df.sparkSession.sparkContext.defaultParallelism)
 
     def blocks(queries: DataFrame, *more) -> DataFrame:
-        return (queries.groupBy("dims", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks_of)).alias("block_at"))
-                .agg(F.collect_list(F.struct(*_QUERY, "q", *more)).alias("block"))
-                .withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(slices_of - 1))))
-                .join(slices, ["dims", "at"]).select("slice", "block"))
+        dealt = (queries.groupBy("dims", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks_of)).alias("block_at"))
+                 .agg(F.collect_list(F.struct(*_QUERY, "q", *more)).alias("block")))
+        return meet(slices, dealt, lanes_of, blocks_of)
 
     by_score = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "tie")
     gathered = blocks(askers).mapInArrow(_phase(need, False), _OUT)
     bounds = keep(gathered.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == need)
                   .select(*_QUERY, F.col("score").alias("bound")), "bounds")
-    resolved = blocks(askers.join(bounds, _QUERY, "left"), "bound").mapInArrow(_phase(need, True), _OUT)
+    resolved = blocks(joined(askers, bounds, _QUERY, "left"), "bound").mapInArrow(_phase(need, True), _OUT)
     best = keep(resolved.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= need)
                 .select(*_QUERY, "id", "score"), "best")
 
     members = classes.select(F.col("rep").alias("id"), F.explode("ids").alias("member"))
     by_member = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "member")
-    listed = keep(best.join(members, "id").where(~F.col("apart") | (F.col("own") != F.col("member")))
+    listed = keep(joined(best, members, "id").where(~F.col("apart") | (F.col("own") != F.col("member")))
                   .withColumn("place", F.row_number().over(by_member)).where(F.col("place") <= need)
                   .select(*_QUERY, "member", "score"), "listed")
     by_query = Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "member")
-    return (asked.select("query_id", *_QUERY).join(listed, _QUERY).where(F.col("query_id") != F.col("member"))
+    return (joined(asked.select("query_id", *_QUERY), listed, _QUERY).where(F.col("query_id") != F.col("member"))
             .withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
             .select("query_id", "rank", F.col("member").alias("vec_id"), "score"))
