@@ -23,7 +23,8 @@ and query blocks have bounded sizes. Slices are dealt to lanes and blocks to ban
 slice goes to every band and a block to every lane, where they meet by an equi-join on
 both numbers. A lane's share of a band is bounded, and nothing is broadcast: files of
 vectors are far smaller than their rows, and Spark's estimate of a join's side knows
-nothing of copies.
+nothing of copies. Slices are put together after the shuffle, and never read from files,
+as a reader takes thousands of rows at once.
 
 Scores are integers; they are exact as long as they fit 64 bits (products of
 doubles while they are below 2^53, 64-bit integers beyond).
@@ -158,16 +159,16 @@ def lanes(slices: int, cores: int) -> int:
     return min(slices, max(-(-slices // LANE), 4 * cores))
 
 
-def meet(slices: DataFrame, blocks: DataFrame, lanes_of: int, blocks_of: int) -> DataFrame:
-    """Every slice (dims, at, slice) beside every block (dims, block_at, block) of its dims."""
+def meet(entries: DataFrame, blocks: DataFrame, lanes_of: int, blocks_of: int) -> DataFrame:
+    """Every slice (its rows: dims, at, entry) beside every block (dims, block_at, block) of its dims."""
+    grid, first = ["dims", "lane", "band"], F.lit(0).cast("long")
     bands = F.ceil(F.col("dims") * (8 * BLOCK * blocks_of / BAND_BYTES))
-    first = F.lit(0).cast("long")
-    return joined(
-        slices.select("dims", F.pmod("at", F.lit(lanes_of)).alias("lane"),
-                      F.explode(F.sequence(first, bands - 1)).alias("band"), "slice"),
-        blocks.select("dims", F.explode(F.sequence(first, F.lit(lanes_of - 1).cast("long"))).alias("lane"),
-                      F.pmod("block_at", bands).alias("band"), "block"),     # this side is held, a band at a time
-        ["dims", "lane", "band"]).select("slice", "block")
+    slices = (entries.select("dims", F.pmod("at", F.lit(lanes_of)).alias("lane"),
+                             F.explode(F.sequence(first, bands - 1)).alias("band"), "at", "entry")
+              .repartition(*grid).groupBy(*grid, "at").agg(F.collect_list("entry").alias("slice")))
+    dealt = blocks.select("dims", F.explode(F.sequence(first, F.lit(lanes_of - 1).cast("long"))).alias("lane"),
+                          F.pmod("block_at", bands).alias("band"), "block")     # this side is held, a band at a time
+    return joined(slices, dealt, grid).select("slice", "block")
 
 
 def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -193,8 +194,7 @@ def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5,
     slices_of = max(1, -(-classes.count() // SLICE))
     entry = F.struct("rep", "q", F.col("ids")[0].alias("first"), F.get("ids", F.lit(1)).alias("second"),
                      (F.size("ids") == 1).alias("single"))
-    slices = keep(classes.withColumn("at", F.pmod(F.xxhash64("rep"), F.lit(slices_of)))
-                  .groupBy("dims", "at").agg(F.collect_list(entry).alias("slice")), "slices")
+    entries = classes.select("dims", F.pmod(F.xxhash64("rep"), F.lit(slices_of)).alias("at"), entry.alias("entry"))
     askers = keep(asked.groupBy(*_QUERY, "q", "dims").agg(F.count(F.lit(1)).alias("n")), "askers")
     blocks_of = max(1, -(-askers.count() // BLOCK))
     lanes_of = lanes(slices_of, df.sparkSession.sparkContext.defaultParallelism)
@@ -202,7 +202,7 @@ def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5,
     def blocks(queries: DataFrame, *more) -> DataFrame:
         dealt = (queries.groupBy("dims", F.pmod(F.xxhash64(*_QUERY), F.lit(blocks_of)).alias("block_at"))
                  .agg(F.collect_list(F.struct(*_QUERY, "q", *more)).alias("block")))
-        return meet(slices, dealt, lanes_of, blocks_of)
+        return meet(entries, dealt, lanes_of, blocks_of)
 
     by_score = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "tie")
     gathered = blocks(askers).mapInArrow(_phase(need, False), _OUT)

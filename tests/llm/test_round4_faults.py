@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from corpusworks.llm import common, topk
 
 
-def test_top_k_broadcasts_nothing(spark, monkeypatch):
+def test_top_k_broadcasts_nothing_and_stores_no_slices(spark, monkeypatch):
     """Small files of vectors must not make Spark send them, or query blocks copied to every
     slice, through the driver."""
     common.prepare(spark)
-    plans, keep = [], topk.keep
+    plans, stored, keep = [], set(), topk.keep
 
     def seen(df, *more):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
+        stored.update(df.columns)
         return keep(df, *more)
 
     monkeypatch.setattr(topk, "keep", seen)
@@ -32,15 +33,18 @@ def test_top_k_broadcasts_nothing(spark, monkeypatch):
     assert sorted(map(tuple, best.collect())) == want
     assert len(plans) > 5 and sum("Join" in p for p in plans) > 3
     assert not [p for p in plans if "Broadcast" in p]
+    assert stored and "slice" not in stored                     # a reader would hold thousands of slices at once
 
 
 def test_every_block_meets_every_slice_once(spark, monkeypatch):
     monkeypatch.setattr(topk, "BAND_BYTES", 8 * topk.BLOCK * 2 * 3)         # 3 blocks of 2 dims, 1 of 6
-    slices = [(d, a, f"{d}s{a}") for d in (2, 6) for a in range(7)]
+    rows = [(d, i % 7, f"{d}s{i}") for d in (2, 6) for i in range(20)]
+    slices = [(d, sorted(e for c, at, e in rows if c == d and at == a)) for d in (2, 6) for a in range(7)]
     blocks = [(d, b, f"{d}b{b}") for d in (2, 6, 9) for b in range(8)]
-    met = topk.meet(spark.createDataFrame(slices, "dims int, at long, slice string"),
+    met = topk.meet(spark.createDataFrame(rows, "dims int, at long, entry string"),
                     spark.createDataFrame(blocks, "dims int, block_at long, block string"), 3, 8)
-    assert sorted(map(tuple, met.collect())) == sorted((s, b) for d, _, s in slices for e, _, b in blocks if d == e)
+    assert sorted((sorted(r["slice"]), r["block"]) for r in met.collect()) == \
+        sorted((s, b) for d, s in slices for e, _, b in blocks if d == e)
 
 
 def test_lanes_grow_slower_than_slices():
